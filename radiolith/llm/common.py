@@ -20,6 +20,17 @@ from pyspark.sql import functions as F
 _LOCAL_SCRATCH: list[str] = []
 
 
+#: Rows and bytes that go to a Python worker at a time; documents can be long.
+BATCH_ROWS = 1024
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small, so that a worker's memory doesn't follow the length of the texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder for intermediate tables."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
@@ -35,6 +46,7 @@ def scratch_root(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
     spark = df.sparkSession
+    bound_batches(spark)
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
@@ -53,6 +65,7 @@ def discard(df: DataFrame | None) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, simhash, suffix_dedup, toxicity
+from . import ann, bpe, embed_dedup, html_main, packing, simhash, suffix_dedup, toxicity, warc
 from .common import remainder_of_crc32, table
 
 
@@ -25,6 +25,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), lambda vec_id: vec_id % 20 == 0)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.in_training_folds)
@@ -32,15 +36,27 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (remainder_of_crc32(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_main.extract_pages(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op5_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return groups.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op6_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary())
 
 
+def op8_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
@@ -51,5 +67,43 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_toxicity, op5_simhash_groups, op7_best_fit_packing, op9_suffix_array_dedup, pipeline)}
-ORACLES: dict[str, str] = {}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_bpe_round_trip,
+        op2_nearest_neighbours,
+        op3_toxicity,
+        op4_main_text,
+        op5_simhash_groups,
+        op6_warc_round_trip,
+        op7_best_fit_packing,
+        op8_embedding_near_dedup,
+        op9_suffix_array_dedup,
+        pipeline,
+    )
+}
+
+ORACLES: dict[str, str] = {
+    # SHA-1 in base32: the digest's 160 bits in groups of five.
+    "op6_warc_round_trip": """
+        WITH p AS (SELECT page_id, url, coalesce(html, '') AS body FROM pages),
+        d AS (SELECT page_id, url, strlen(body) AS payload_bytes, body, unhex(sha1(body))::BIT::VARCHAR AS bits FROM p),
+        g AS (SELECT body, max(page_id) AS top FROM p GROUP BY body)
+        SELECT d.page_id, d.payload_bytes::BIGINT AS payload_bytes,
+               array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + 16 * substr(bits, (5 * i + 1)::INT, 1)::INT + 8 * substr(bits, (5 * i + 2)::INT, 1)::INT + 4 * substr(bits, (5 * i + 3)::INT, 1)::INT
+                   + 2 * substr(bits, (5 * i + 4)::INT, 1)::INT + substr(bits, (5 * i + 5)::INT, 1)::INT, 1)), '') AS payload_digest,
+               CASE WHEN d.page_id < g.top THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN d.page_id < g.top THEN g.top END AS refers_to, d.url
+        FROM d JOIN g USING (body)""",
+    "op8_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e, sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x))) AS n FROM embeddings),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+            WHERE list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.98),
+        reach AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+        c AS (SELECT a AS vec_id, min(b) AS component_id FROM reach GROUP BY a)
+        SELECT c.vec_id, (SELECT count(*) FROM links WHERE links.a = c.vec_id)::BIGINT AS n_links, c.component_id, c.vec_id = c.component_id AS kept
+        FROM c""",
+}
