@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, embed_dedup, html_main, packing, simhash, suffix_dedup, toxicity, warc
+from . import ann, bpe, embed_dedup, html_main, lm, packing, simhash, suffix_dedup, toxicity, warc
 from .common import remainder_of_crc32, table
 
 
@@ -61,6 +61,10 @@ def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"))
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -79,6 +83,7 @@ QUERIES = {
         op7_best_fit_packing,
         op8_embedding_near_dedup,
         op9_suffix_array_dedup,
+        op10_lm_scores,
         pipeline,
     )
 }
