@@ -17,6 +17,7 @@ Scoring.  The state is carried over the whole document, so the score is the log-
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import Counter
@@ -38,7 +39,9 @@ RARE_CLASSES = 32
 HIDDEN = 16
 WINDOW = 16
 LANES = 512
-SCORE_LANES = 2048
+#: Tokens that a task lays out in lanes at a time.
+GROUP_TOKENS = 4 << 20
+SCORE_TOKENS = 2 << 20
 RATE = 0.01
 FIRST_SHARE = 8  # one document in so many trains in the first round, the rest in the second
 FAN_IN = 64
@@ -238,14 +241,15 @@ class Gru:
                 ds[at] += q @ self.word[k].T
         return logp, ds
 
-    def gradients(self, h: np.ndarray, tokens: list[np.ndarray]) -> tuple[np.ndarray, dict, float]:
-        """One window: ``tokens[t]`` are those of the first lanes at its t-th place.  The state after it, the gradients of the mean
-        negative log-likelihood, and that."""
+    def gradients(self, h: np.ndarray, tokens: list[np.ndarray], fresh: list[np.ndarray]) -> tuple[np.ndarray, dict, float]:
+        """One window: ``tokens[t]`` are those of the first lanes at its t-th place, ``fresh[t]`` the lanes that start a document
+        there.  The state after it, the gradients of the negative log-likelihood, and its mean."""
         kept: list = []
         states = []
         tail = h
-        for ids in tokens:
+        for ids, new in zip(tokens, fresh):
             own = tail[: len(ids)]
+            own[new] = 0.0
             states.append(own)
             tail = self.step(own, ids, kept)
         grads: dict = {}
@@ -270,9 +274,12 @@ class Gru:
             hidden[:, 2 * d :] = dn * r
             here = ds[a:b] + dh * z
             here += hidden @ self.state.T
+            here[fresh[t]] = 0.0
             if t:
-                back = np.zeros((len(tokens[t - 1]), d), dtype=np.float32)
-                back[: b - a] = here
+                back = here
+                if len(tokens[t - 1]) > b - a:
+                    back = np.zeros((len(tokens[t - 1]), d), dtype=np.float32)
+                    back[: b - a] = here
         grads["state"], grads["bias"] = s.T @ d_state, d_in.sum(axis=0)
         order = np.argsort(flat.astype(np.int16), kind="stable")
         ids = flat[order]
@@ -282,17 +289,33 @@ class Gru:
         return tail, grads, -float(logp.mean())
 
 
-def lanes_of(documents: list[np.ndarray], window: int) -> Iterator[tuple[int, list[np.ndarray]]]:
-    """Windows over documents sorted from long to short: number of lanes that go on, and the lanes' tokens at each place."""
-    lengths = np.array([len(x) for x in documents])
-    order = np.cumsum(np.append(0, lengths))[:-1]
-    whole = np.concatenate(documents)
-    for start in range(0, int(lengths[0]), window):
-        places = []
-        for t in range(start, min(start + window, int(lengths[0]))):
-            alive = int(np.searchsorted(-lengths, -t, side="left"))  # lengths > t
-            places.append(whole[order[:alive] + t])
-        yield len(places[0]), places
+def lanes_of(documents: list[np.ndarray], lanes: int, window: int) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], list[np.ndarray]]]:
+    """Windows over documents laid end to end in lanes of nearly equal length: of each place, the lanes' tokens, which lanes
+    start a document there, and the documents.  Lanes are ordered from long to short, so those that go on come first."""
+    longest = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
+    heap = [(0, k) for k in range(min(lanes, len(documents)))]
+    laid: list[list[int]] = [[] for _ in heap]
+    for i in longest:
+        size, k = heap[0]
+        laid[k].append(i)
+        heapq.heapreplace(heap, (size + len(documents[i]), k))
+    laid = [laid[k] for _, k in sorted(heap, reverse=True)]
+    order = np.array([i for lane in laid for i in lane])
+    sizes = np.array([len(documents[i]) for i in order])
+    whole = np.concatenate([documents[i] for i in order])
+    owner = np.repeat(order, sizes).astype(np.int32)
+    starts = np.zeros(len(whole), dtype=bool)
+    starts[np.cumsum(sizes) - sizes] = True
+    lengths = np.array([sum(len(documents[i]) for i in lane) for lane in laid])
+    offsets = np.cumsum(lengths) - lengths
+    for begin in range(0, int(lengths[0]), window):
+        tokens, fresh, owners = [], [], []
+        for t in range(begin, min(begin + window, int(lengths[0]))):
+            at = offsets[: int(np.searchsorted(-lengths, -t, side="left"))] + t  # lanes longer than t
+            tokens.append(whole[at])
+            fresh.append(np.flatnonzero(starts[at]))
+            owners.append(owner[at])
+        yield tokens, fresh, owners
 
 
 def train(model: Gru, documents: Iterator[list[np.ndarray]], rate: float = RATE, window: int = WINDOW) -> int:
@@ -301,12 +324,9 @@ def train(model: Gru, documents: Iterator[list[np.ndarray]], rate: float = RATE,
     v = {n: np.zeros_like(getattr(model, n)) for n in Gru.NAMES}
     step = tokens = 0
     for group in documents:
-        group = sorted(group, key=len, reverse=True)
-        h = np.zeros((len(group), model.hidden), dtype=np.float32)
-        for lanes, places in lanes_of(group, window):
-            state, grads, _ = model.gradients(h[:lanes], places)
-            h = np.zeros_like(h[:lanes])
-            h[: len(state)] = state
+        h = np.zeros((min(LANES, len(group)), model.hidden), dtype=np.float32)
+        for places, fresh, _ in lanes_of(group, LANES, window):
+            h, grads, _ = model.gradients(h[: len(places[0])], places, fresh)
             n = sum(map(len, places))
             tokens += n
             step += 1
@@ -325,21 +345,18 @@ def train(model: Gru, documents: Iterator[list[np.ndarray]], rate: float = RATE,
 
 def log_likelihoods(model: Gru, documents: list[np.ndarray], window: int = 64) -> np.ndarray:
     """Natural log-probability of each document's tokens (rare words by class only), the state carried from end to end."""
-    place = sorted(range(len(documents)), key=lambda i: -len(documents[i]))
-    ordered = [documents[i] for i in place]
     out = np.zeros(len(documents))
-    h = np.zeros((len(documents), model.hidden), dtype=np.float32)
-    for lanes, places in lanes_of(ordered, window):
-        h = h[:lanes]
+    h = np.zeros((min(LANES, len(documents)), model.hidden), dtype=np.float32)
+    for places, fresh, owners in lanes_of(documents, LANES, window):
         states = []
-        for ids in places:
-            states.append(h[: len(ids)])
-            h = model.step(h[: len(ids)], ids)
+        for ids, new in zip(places, fresh):
+            h = h[: len(ids)]
+            h[new] = 0.0
+            states.append(h)
+            h = model.step(h, ids)
         logp, _ = model.output(np.concatenate(states), np.concatenate(places))
-        out[:lanes] += np.bincount(np.concatenate([np.arange(len(x)) for x in places]), weights=logp, minlength=lanes)
-    result = np.empty(len(documents))
-    result[place] = out
-    return result
+        out += np.bincount(np.concatenate(owners), weights=logp, minlength=len(out))
+    return out
 
 
 # --- over the corpus -----------------------------------------------------------------------------------------------
@@ -395,13 +412,14 @@ def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.nd
     model = Gru(coder.lexicon).load(start)
 
     def groups():
-        held = []
+        held, size = [], 0
         for batch in batches:
             for text in batch.column(0):
-                held.append(coder(text.as_py())[1])
-                if len(held) == LANES:
+                held.append(coder(text.as_py())[1].astype(np.int16))
+                size += len(held[-1])
+                if size >= GROUP_TOKENS:
                     yield held
-                    held = []
+                    held, size = [], 0
         if held:
             yield held
 
@@ -468,7 +486,7 @@ def _score_part(batches: Iterator[pa.RecordBatch], shared: _Shared, flat: np.nda
         for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             held.append((doc, test, coder(text.as_py())))
             size += len(held[-1][2][0])
-            if len(held) == SCORE_LANES or size > 1 << 21:
+            if size >= SCORE_TOKENS:
                 yield from rows(held)
                 held, size = [], 0
     if held:
