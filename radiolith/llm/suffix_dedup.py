@@ -32,9 +32,9 @@ from .common import discard, materialize, parts_for, shuffle_width
 
 LENGTH = 100
 #: Runs that a task settles at a time, windows of a text hashed at a time, bytes of spans in a shard.
-BUFFER = 1 << 20
-STRETCH = 1 << 20
-SHARD_BYTES = 3 << 20
+BUFFER = 1 << 19
+STRETCH = 1 << 19
+SHARD_BYTES = 1 << 20
 #: Spans with one hash in one shard.
 CROWD = 2048
 _BASE = 0x9E3779B97F4A7C15
