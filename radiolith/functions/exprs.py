@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,8 +79,6 @@ def blake2b_number(value: str) -> int:
 
 def blake2b_shard(value: C, shards: int) -> Column:
     """Shard number by BLAKE2b-64 (little-endian), for files already sharded that way; an Arrow UDF since Spark has none."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def shard(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else blake2b_number(t) % shards).astype("Int32")
@@ -89,8 +88,6 @@ def blake2b_shard(value: C, shards: int) -> Column:
 
 def blake2b_fraction(value: C) -> Column:
     """Place in [0, 1] by the same digest."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def fraction(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: None if t is None else blake2b_number(t) / ((1 << 64) - 1))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,7 +65,8 @@ def normalized(df: DataFrame, keys: list[str], values: str, method: str) -> Data
         stats = long.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q")).select(*keys, F.get("_q", F.lit(0)).alias("_a"), F.get("_q", F.lit(1)).alias("_z"))
         stats = stats.withColumn("_b", F.greatest(F.col("_z") - F.col("_a"), F.lit(1e-6)))
         x = F.greatest(F.least((F.col("x") - F.col("_a")) / F.col("_b"), F.lit(1.0)), F.lit(0.0))
-    return long.join(stats, keys).select(*keys, "place", F.coalesce(x, F.lit(0.0)).alias("x"))
+    # greatest() and least() pass over NULLs, so what isn't finite is set apart before they see it.
+    return long.join(stats, keys).select(*keys, "place", F.when(F.col("x").isNull(), F.lit(0.0)).otherwise(x).alias("x"))
 
 
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -85,8 +87,6 @@ def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:
 
 def resized(df: DataFrame, values: str, rows: int, columns: int, height: int, width: int, name: str = "resized") -> DataFrame:
     """Arrays that hold images row by row, resized, by an Arrow UDF."""
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def run(images: pd.Series) -> pd.Series:
         return images.map(lambda v: resize_bilinear(np.asarray(v, dtype=np.float64).reshape(rows, columns), height, width).ravel())
