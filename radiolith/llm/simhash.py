@@ -95,7 +95,7 @@ def _replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links_of(home_fp: np.ndarray, home_doc: np.ndarray, fp: np.ndarray, doc: np.ndarray, threshold: int) -> list[tuple[int, int]]:
     """Spanning links between those at home and those that came, by breadth-first search of the bipartite links."""
-    close = np.bitwise_count(home_fp[:, None] ^ fp[None, :]) <= threshold
+    close = np.bitwise_count(home_fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)[None, :]) <= threshold  # unsigned: bits are counted, not those of absolute values
     out, left_home, left = [], close.sum(axis=1) > 0, np.ones(len(fp), dtype=bool)
     for start in np.flatnonzero(left_home):
         if not left_home[start]:
@@ -137,7 +137,7 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
                 homes.append(here[:, home[a:b]])
             carried = np.concatenate(homes, axis=1) if homes else np.empty((2, 0), dtype=np.int64)
             if carried.shape[1] and carried.shape[1] + (b - a) > 2 - (n_home[g] < b - a):
-                edges += _links_of(carried[0], carried[1], here[0], here[1], threshold)
+                edges += _links_of(np.ascontiguousarray(carried[0]), carried[1], np.ascontiguousarray(here[0]), here[1], threshold)
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
@@ -189,4 +189,4 @@ def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD, shingle: int
     if keep.where("n > 1").limit(1).count():
         repeated = keep.where("n > 1").select("doc_id")
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    return out.select(docs.columns)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns))
