@@ -33,7 +33,7 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), toxicity.in_training_folds)
     scored = toxicity.score(docs, model)
-    return scored.select("doc_id", (remainder_of_crc32(F.col("doc_id"), 3) == 1).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
+    return scored.select("doc_id", F.coalesce(remainder_of_crc32(F.col("doc_id"), 3) == 1, F.lit(False)).alias("held_out"), "score", "predicted", "n_sentences", "worst_start", "worst_end", "worst_score")
 
 
 def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -542,7 +542,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, s
 
     Every row stays, with an empty text where all of it was repeated; a null text becomes empty.
     """
-    out = _remove(docs, length, True, crowd, shard_bytes).withColumnRenamed("_rl_text", "text")
+    safe = [c if c in ("doc_id", "text", "n_chars") else f"_rl_c{i}" for i, c in enumerate(docs.columns)]
+    out = _remove(docs.toDF(*safe), length, True, crowd, shard_bytes).withColumnRenamed("_rl_text", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(docs.columns)
+    return out.select(*safe).toDF(*docs.columns)
