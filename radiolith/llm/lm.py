@@ -155,24 +155,28 @@ def build_lexicon(counts: DataFrame, most: int = LEXICON, vocabulary: int = VOCA
 
 
 class Gru:
-    """Parameters by name, all float32: ``input`` (token to gates), ``state`` and ``bias`` of the gates (update, reset,
-    candidate), ``cls``/``cls_b`` for classes (of known tokens, then rare), ``word``/``word_b`` for the words of each class."""
+    """Parameters by name, all float32; states and gates have a row for each unit and a column for each lane, so that every
+    gate and every softmax works on contiguous memory.
 
-    NAMES = ("input", "state", "bias", "cls", "cls_b", "word", "word_b")
+    ``input`` (token to its share of the gates: update, reset, candidate) and ``state`` (state to gates); ``cls``/``cls_b`` for classes
+    (of known tokens, then rare) and ``word``/``word_b`` for the words of each class.
+    """
+
+    NAMES = ("input", "state", "cls", "cls_b", "word", "word_b")
 
     def __init__(self, lexicon: Lexicon, hidden: int = HIDDEN, seed: int = SEED):
         rng = np.random.default_rng(seed)
         h, k, r = hidden, lexicon.classes, RARE_CLASSES
         self.hidden, self.classes = h, k
         small = lambda *shape: (rng.standard_normal(shape) * 0.1).astype(np.float32)
-        self.input, self.state, self.bias = small(k * CLASS_SIZE + r, 3 * h), (rng.standard_normal((h, 3 * h)) / math.sqrt(h)).astype(np.float32), np.zeros(3 * h, dtype=np.float32)
-        self.cls, self.word = small(h, k + r), small(k, h, CLASS_SIZE)
+        self.input, self.state = small(3 * h, k * CLASS_SIZE + r), (rng.standard_normal((3 * h, h)) / math.sqrt(h)).astype(np.float32)
+        self.cls, self.word = small(k + r, h), small(k, CLASS_SIZE, h)
         # Output biases start at the corpus frequencies.
         c = np.zeros(k * CLASS_SIZE)
         c[: lexicon.known] = lexicon.counts[: lexicon.known]
-        word = np.where(np.arange(len(c)) < lexicon.known, c + 0.5, 1e-9).reshape(k, CLASS_SIZE)
+        word = np.where(np.arange(len(c)) < lexicon.known, c + 0.5, 1e-9).reshape(k, CLASS_SIZE, 1)
         self.word_b = np.log(word / word.sum(axis=1, keepdims=True)).astype(np.float32)
-        total = np.concatenate([c.reshape(k, -1).sum(axis=1), lexicon.rare_tokens]) + 0.5
+        total = np.concatenate([c.reshape(k, -1).sum(axis=1), lexicon.rare_tokens])[:, None] + 0.5
         self.cls_b = np.log(total / total.sum()).astype(np.float32)
 
     def flat(self) -> np.ndarray:
@@ -189,57 +193,64 @@ class Gru:
     def step(self, h: np.ndarray, tokens: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The state after ``tokens``."""
         d = self.hidden
-        x = self.input[tokens]
-        x += self.bias
-        u = h @ self.state
-        zr = x[:, : 2 * d] + u[:, : 2 * d]
-        zr *= 0.5
-        np.tanh(zr, out=zr)
-        zr *= 0.5
-        zr += 0.5  # logistic
-        z, r = zr[:, :d], zr[:, d:]
-        n = np.tanh(x[:, 2 * d :] + r * u[:, 2 * d :])
+        x = np.take(self.input, tokens, axis=1)
+        u = self.state @ h
+        gates = x[: 2 * d]
+        gates += u[: 2 * d]
+        np.tanh(gates, out=gates)
+        gates *= 0.5
+        gates += 0.5
+        m = u[2 * d :]
+        n = gates[d:] * m
+        n += x[2 * d :]
+        np.tanh(n, out=n)
         if keep is not None:
-            keep.append((h, z, r, n, u[:, 2 * d :]))
-        return n + z * (h - n)
+            keep.append((h, gates, n, m))
+        out = h - n
+        out *= gates[:d]
+        out += n
+        return out
 
     def output(self, s: np.ndarray, tokens: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probability of each token (of its class only, if rare) from the states ``s``, and the gradient on ``s``."""
-        rows, known = np.arange(len(s)), self.classes * CLASS_SIZE
-        cls = np.where(tokens < known, tokens // CLASS_SIZE, tokens - known + self.classes)
-        p = s @ self.cls
+        known = self.classes * CLASS_SIZE
+        cls = np.where(tokens < known, tokens // CLASS_SIZE, tokens - known + self.classes).astype(np.int16)
+        order = np.argsort(cls, kind="stable")
+        s, cls, tokens = np.take(s, order, axis=1), cls[order], tokens[order]
+        columns = np.arange(len(cls))
+        p = self.cls @ s
         p += self.cls_b
-        p -= p.max(axis=1, keepdims=True)
-        logp = p[rows, cls]
+        p -= p.max(axis=0)
+        logp = p[cls, columns]
         np.exp(p, out=p)
-        total = p.sum(axis=1)
-        logp = logp - np.log(total)
-        ds = None
+        total = p.sum(axis=0)
+        logp -= np.log(total)
         if grads is not None:
-            p /= total[:, None]
-            p[rows, cls] -= 1.0
-            grads["cls"], grads["cls_b"], ds = s.T @ p, p.sum(axis=0), p @ self.cls.T
+            p /= total
+            p[cls, columns] -= 1.0
+            grads["cls"], grads["cls_b"], ds = p @ s.T, p.sum(axis=1, keepdims=True), self.cls.T @ p
             grads["word"], grads["word_b"] = np.zeros_like(self.word), np.zeros_like(self.word_b)
-        order = np.argsort(cls.astype(np.int16), kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(self.classes + 1))
+        bounds = np.searchsorted(cls, np.arange(self.classes + 1)).tolist()
         for k in range(self.classes):
-            at = order[bounds[k] : bounds[k + 1]]
-            if not len(at):
+            a, b = bounds[k], bounds[k + 1]
+            if a == b:
                 continue
-            own, w = s[at], tokens[at] - k * CLASS_SIZE
-            q = own @ self.word[k]
+            own, w, here = s[:, a:b], tokens[a:b] - k * CLASS_SIZE, columns[: b - a]
+            q = self.word[k] @ own
             q += self.word_b[k]
-            q -= q.max(axis=1, keepdims=True)
-            picked = q[np.arange(len(at)), w]
+            q -= q.max(axis=0)
+            logp[a:b] += q[w, here]
             np.exp(q, out=q)
-            mass = q.sum(axis=1)
-            logp[at] += picked - np.log(mass)
+            mass = q.sum(axis=0)
+            logp[a:b] -= np.log(mass)
             if grads is not None:
-                q /= mass[:, None]
-                q[np.arange(len(at)), w] -= 1.0
-                grads["word"][k], grads["word_b"][k] = own.T @ q, q.sum(axis=0)
-                ds[at] += q @ self.word[k].T
-        return logp, ds
+                q /= mass
+                q[w, here] -= 1.0
+                grads["word"][k], grads["word_b"][k] = q @ own.T, q.sum(axis=1, keepdims=True)
+                ds[:, a:b] += self.word[k].T @ q
+        back = np.empty(len(order), dtype=np.int64)
+        back[order] = columns
+        return logp[back], None if grads is None else np.take(ds, back, axis=1)
 
     def gradients(self, h: np.ndarray, tokens: list[np.ndarray], fresh: list[np.ndarray]) -> tuple[np.ndarray, dict, float]:
         """One window: ``tokens[t]`` are those of the first lanes at its t-th place, ``fresh[t]`` the lanes that start a document
@@ -248,44 +259,51 @@ class Gru:
         states = []
         tail = h
         for ids, new in zip(tokens, fresh):
-            own = tail[: len(ids)]
-            own[new] = 0.0
+            own = tail if tail.shape[1] == len(ids) else tail[:, : len(ids)].copy()
+            own[:, new] = 0.0
             states.append(own)
             tail = self.step(own, ids, kept)
         grads: dict = {}
-        s, flat = np.concatenate(states), np.concatenate(tokens)
+        s, flat = np.concatenate(states, axis=1), np.concatenate(tokens)
         logp, ds = self.output(s, flat, grads)
-        ends = np.cumsum([len(x) for x in tokens])
+        ends = np.cumsum([len(x) for x in tokens]).tolist()
         d = self.hidden
-        back = np.zeros((len(tokens[-1]), d), dtype=np.float32)
-        d_in, d_state = np.empty((len(flat), 3 * d), dtype=np.float32), np.empty((len(flat), 3 * d), dtype=np.float32)
+        back = np.zeros_like(tail)
+        d_in, d_state = [], []
         for t in range(len(tokens) - 1, -1, -1):
-            a, b = ends[t] - len(tokens[t]), ends[t]
-            old, z, r, n, m = kept[t]
-            dh = back
-            dn = dh * (1.0 - z)
+            old, gates, n, m = kept[t]
+            z, r = gates[:d], gates[d:]
+            gate = np.empty((3 * d, back.shape[1]), dtype=back.dtype)
+            dn = gate[2 * d :]
+            np.subtract(1.0, z, out=dn)
+            dn *= back
             dn *= 1.0 - n * n
-            gate = d_in[a:b]
-            gate[:, :d] = dh * (old - n) * z * (1.0 - z)
-            gate[:, d : 2 * d] = dn * m * r * (1.0 - r)
-            gate[:, 2 * d :] = dn
-            hidden = d_state[a:b]
-            hidden[:, : 2 * d] = gate[:, : 2 * d]
-            hidden[:, 2 * d :] = dn * r
-            here = ds[a:b] + dh * z
-            here += hidden @ self.state.T
-            here[fresh[t]] = 0.0
-            if t:
-                back = here
-                if len(tokens[t - 1]) > b - a:
-                    back = np.zeros((len(tokens[t - 1]), d), dtype=np.float32)
-                    back[: b - a] = here
-        grads["state"], grads["bias"] = s.T @ d_state, d_in.sum(axis=0)
+            np.subtract(old, n, out=gate[:d])
+            gate[:d] *= back
+            np.multiply(dn, m, out=gate[d : 2 * d])
+            slope = 1.0 - gates
+            slope *= gates
+            slope *= 2.0
+            gate[: 2 * d] *= slope
+            d_in.append(gate)
+            hidden = gate.copy()
+            hidden[2 * d :] *= r
+            d_state.append(hidden)
+            here = self.state.T @ hidden
+            here += ds[:, ends[t] - len(tokens[t]) : ends[t]]
+            back *= z
+            here += back
+            here[:, fresh[t]] = 0.0
+            back = here
+            if t and len(tokens[t - 1]) > back.shape[1]:
+                back = np.zeros((d, len(tokens[t - 1])), dtype=here.dtype)
+                back[:, : here.shape[1]] = here
+        grads["state"] = np.concatenate(d_state[::-1], axis=1) @ s.T
         order = np.argsort(flat.astype(np.int16), kind="stable")
         ids = flat[order]
         first = np.flatnonzero(np.append(True, ids[1:] != ids[:-1]))
         grads["input"] = np.zeros_like(self.input)
-        grads["input"][ids[first]] = np.add.reduceat(d_in[order], first, axis=0)
+        grads["input"][:, ids[first]] = np.add.reduceat(np.take(np.concatenate(d_in[::-1], axis=1), order, axis=1), first, axis=1)
         return tail, grads, -float(logp.mean())
 
 
@@ -324,9 +342,9 @@ def train(model: Gru, documents: Iterator[list[np.ndarray]], rate: float = RATE,
     v = {n: np.zeros_like(getattr(model, n)) for n in Gru.NAMES}
     step = tokens = 0
     for group in documents:
-        h = np.zeros((min(LANES, len(group)), model.hidden), dtype=np.float32)
+        h = np.zeros((model.hidden, min(LANES, len(group))), dtype=np.float32)
         for places, fresh, _ in lanes_of(group, LANES, window):
-            h, grads, _ = model.gradients(h[: len(places[0])], places, fresh)
+            h, grads, _ = model.gradients(h, places, fresh)
             n = sum(map(len, places))
             tokens += n
             step += 1
@@ -343,18 +361,19 @@ def train(model: Gru, documents: Iterator[list[np.ndarray]], rate: float = RATE,
     return tokens
 
 
-def log_likelihoods(model: Gru, documents: list[np.ndarray], window: int = 64) -> np.ndarray:
+def log_likelihoods(model: Gru, documents: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
     """Natural log-probability of each document's tokens (rare words by class only), the state carried from end to end."""
     out = np.zeros(len(documents))
-    h = np.zeros((min(LANES, len(documents)), model.hidden), dtype=np.float32)
+    h = np.zeros((model.hidden, min(LANES, len(documents))), dtype=np.float32)
     for places, fresh, owners in lanes_of(documents, LANES, window):
         states = []
         for ids, new in zip(places, fresh):
-            h = h[: len(ids)]
-            h[new] = 0.0
+            if h.shape[1] > len(ids):
+                h = h[:, : len(ids)].copy()
+            h[:, new] = 0.0
             states.append(h)
             h = model.step(h, ids)
-        logp, _ = model.output(np.concatenate(states), np.concatenate(places))
+        logp, _ = model.output(np.concatenate(states, axis=1), np.concatenate(places))
         out += np.bincount(np.concatenate(owners), weights=logp, minlength=len(out))
     return out
 
@@ -407,15 +426,41 @@ class _Shared:
         return self.handle.value
 
 
-def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
+_CODED = "_rl_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, outside double, rare array<struct<word:binary,n:int>>, ids binary"
+
+
+def _code_part(batches: Iterator[pa.RecordBatch], shared: _Shared) -> Iterator[pa.RecordBatch]:
+    """Of each document: its tokens in the model, what its words add to the scores by counts alone, and its rare words."""
     coder = _coder(shared)
-    model = Gru(coder.lexicon).load(start)
+    lexicon = coder.lexicon
+    seen = np.append(lexicon.counts, 0)  # the last is what code -1 finds
+    log_c = np.log10(seen + 1.0)
+    floor = math.log10(lexicon.tokens + lexicon.types + 1)
+    class_floor = np.log10(lexicon.rare_tokens + lexicon.rare_types + 1)
+    row = TaskContext.get().partitionId() << 33
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.binary())
+    for batch in batches:
+        out = []
+        for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            codes, ids, missing = coder(text.as_py())
+            known = log_c[codes]
+            rare = ids >= coder.known
+            outside = known[rare].sum() - class_floor[ids[rare] - coder.known].sum()
+            words = [{"word": w, "n": n} for w, n in Counter(missing).items()]
+            out.append((row, doc, test, len(ids), int((seen[codes] > 0).sum()), float(known.sum() - len(ids) * floor), float(outside), words, ids.astype("<i2").tobytes()))
+            row += 1
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "outside", "rare", "ids"])
+
+
+def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
+    model = Gru(_coder(shared).lexicon).load(start)
 
     def groups():
         held, size = [], 0
         for batch in batches:
-            for text in batch.column(0):
-                held.append(coder(text.as_py())[1].astype(np.int16))
+            for blob in batch.column(0):
+                held.append(np.frombuffer(blob.as_py(), dtype="<i2"))
                 size += len(held[-1])
                 if size >= GROUP_TOKENS:
                     yield held
@@ -438,13 +483,13 @@ def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "total"])
 
 
-def fit(docs: DataFrame, shared: _Shared, rate: float = RATE) -> Gru:
-    """Train on all rows of ``docs``: tasks on their partitions, averaged by tokens up a tree, in two rounds."""
+def fit(coded: DataFrame, shared: _Shared, rate: float = RATE) -> Gru:
+    """Train on all rows of ``coded`` that aren't held out: tasks on their partitions, averaged by tokens up a tree, in two rounds."""
     model = Gru(shared.value)
-    share = F.pmod(F.xxhash64("text", F.lit(SEED)), F.lit(FIRST_SHARE))
+    learn = coded.where("not held_out")
+    share = F.pmod(F.xxhash64("_rl_row", F.lit(SEED)), F.lit(FIRST_SHARE))
     for chosen, pace in ((share == 0, rate), (share != 0, rate / 2)):
-        parts = docs.where(F.coalesce(chosen, F.lit(False))).select("text").mapInArrow(partial(_train_part, shared=shared, start=model.flat(), rate=pace), "tokens long, total binary")
-        parts = materialize(parts, "trained")
+        parts = materialize(learn.where(chosen).select("ids").mapInArrow(partial(_train_part, shared=shared, start=model.flat(), rate=pace), "tokens long, total binary"), "trained")
         while (width := parts.count()) > 1:
             parts = materialize(parts.repartition(-(-width // FAN_IN)).mapInArrow(_add_up, "tokens long, total binary"), "trained")
         for tokens, total in parts.collect():
@@ -453,43 +498,27 @@ def fit(docs: DataFrame, shared: _Shared, rate: float = RATE) -> Gru:
     return model
 
 
-_SCORED = "_rl_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score_part double, rare array<struct<word:binary,n:int>>"
+_SCORED = "_rl_row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_part double, score_part double"
 
 
 def _score_part(batches: Iterator[pa.RecordBatch], shared: _Shared, flat: np.ndarray) -> Iterator[pa.RecordBatch]:
-    coder = _coder(shared)
-    lexicon = coder.lexicon
-    model = Gru(lexicon).load(flat)
-    seen = np.append(lexicon.counts, 0)  # the last is what code -1 finds
-    log_c = np.log10(seen + 1.0)
-    floor = math.log10(lexicon.tokens + lexicon.types + 1)
-    class_floor = np.log10(lexicon.rare_tokens + lexicon.rare_types + 1)
-    row = TaskContext.get().partitionId() << 33
-    rare_type = pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))
+    model = Gru(_coder(shared).lexicon).load(flat)
 
     def rows(held):
-        nonlocal row
-        gru = log_likelihoods(model, [x[2][1] for x in held]) / math.log(10)
-        out = []
-        for (doc, test, (codes, ids, missing)), log_p in zip(held, gru.tolist()):
-            rare = ids[ids >= coder.known] - coder.known
-            outside = log_c[codes[ids >= coder.known]].sum() - class_floor[rare].sum()
-            tally = Counter(missing)
-            out.append((row, doc, test, len(ids), int((seen[codes] > 0).sum()), float(log_c[codes].sum() - len(ids) * floor), float(log_p + outside), [{"word": w, "n": n} for w, n in tally.items()]))
-            row += 1
-        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), rare_type)
-        for a in range(0, len(out), 512):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out[a : a + 512]), kinds)], ["_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "score_part", "rare"])
+        whole = pa.Table.from_batches(held)
+        gru = log_likelihoods(model, [np.frombuffer(x.as_py(), dtype="<i2") for x in whole.column("ids")]) / math.log(10)
+        names = ["_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part"]
+        out = whole.select(names).append_column("score_part", pa.array(gru + whole.column("outside").to_numpy()))
+        yield from out.combine_chunks().to_batches(max_chunksize=8192)
 
     held, size = [], 0
     for batch in batches:
-        for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            held.append((doc, test, coder(text.as_py())))
-            size += len(held[-1][2][0])
-            if size >= SCORE_TOKENS:
-                yield from rows(held)
-                held, size = [], 0
-    if held:
+        held.append(batch)
+        size += batch.nbytes // 2
+        if size >= SCORE_TOKENS:
+            yield from rows(held)
+            held, size = [], 0
+    if size:
         yield from rows(held)
 
 
@@ -507,16 +536,16 @@ def score(docs: DataFrame, held_out=is_held_out, lexicon_words: int = LEXICON, r
     """
     spark = docs.sparkSession
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    learn = source.where(~held_out(F.col("doc_id")))
-    counts = materialize(count_words(learn), "words")
+    counts = materialize(count_words(source.where(~held_out(F.col("doc_id")))), "words")
     shared = _Shared(spark, build_lexicon(counts, lexicon_words))
     lexicon = shared.value
-    model = fit(learn, shared, rate)
-    scored = materialize(source.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(partial(_score_part, shared=shared, flat=model.flat()), _SCORED), "scored")
+    coded = materialize(source.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text").mapInArrow(partial(_code_part, shared=shared), _CODED), "coded")
+    model = fit(coded, shared, rate)
+    scored = coded.select("_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "outside", "ids").mapInArrow(partial(_score_part, shared=shared, flat=model.flat()), _SCORED)
     # What a word outside the lexicon adds needs its count: c + 1 stands in both scores' numerators.
-    rare = scored.select("_rl_row", F.inline("rare")).join(counts, "word")
+    rare = coded.select("_rl_row", F.inline("rare")).join(counts, "word")
     added = rare.groupBy("_rl_row").agg(F.sum(F.col("n") * F.log10(F.col("c") + 1.0)).alias("added"), F.sum("n").alias("found"))
-    out = scored.drop("rare").join(added, "_rl_row", "left")
+    out = scored.join(added, "_rl_row", "left")
     more = F.coalesce("added", F.lit(0.0))
     return out.select(
         "doc_id",
