@@ -126,10 +126,12 @@ def search(points: np.ndarray, ids: np.ndarray, queries: np.ndarray, query_ids:
             new_p.append(a + j)
             new_s.append((queries[who[i]] * block[j]).sum(axis=1))
         q, p, s = np.concatenate(new_q), np.concatenate(new_p), np.concatenate(new_s)
+        if not len(q):
+            continue
         order = np.lexsort((ids[p], -s, q))
         q, p, s = q[order], p[order], s[order]
         first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
-        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) if len(q) else first
+        rank = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q))))
         full = rank == k - 1
         worst[q[full]] = s[full]
         keep = rank < k
