@@ -1,10 +1,11 @@
 """Byte-level BPE encoding and decoding.
 
 A text is split at special tokens and by the byte-level pre-tokenization pattern; every piece is encoded by
-a contiguous rank array: the boundaries of the parts and the rank of every adjacent pair lie in two short
-lists, the least rank is found by a scan, its inner boundary is deleted and the two neighbouring ranks are
-refreshed, until no pair has a rank.  Pieces longer than ``ARRAY_LIMIT`` symbols take the same merges
-from a heap over a linked list, so a run of 100,000 letters costs n log n and not n squared.
+a contiguous rank array: the parts between the remaining boundaries and the rank of every adjacent pair lie in two
+short arrays, the least rank is found by a scan, its inner boundary is deleted and the two neighbouring ranks are
+refreshed, until no pair has a rank.  The new pieces of a batch of texts go through this together, a row each of two
+numpy matrices.  Pieces longer than ``ARRAY_LIMIT`` bytes take the same merges from a heap over a linked list, so
+a run of 100,000 letters costs n log n and not n squared.
 """
 
 from __future__ import annotations
@@ -14,14 +15,15 @@ import heapq
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ARRAY_LIMIT = 256
+ARRAY_LIMIT = 32
 #: Pieces in each of the two generations of the memory of pieces; about 45 MB a generation.
 CACHE_LIMIT = 200_000
 #: White space of the pre-tokenization pattern, and its contractions.
@@ -52,24 +54,33 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """Remembers what pieces became: a young generation, and the one before it, from which hits come back."""
+    """Remembers the ids of pieces (packed, four bytes each): a young generation, and the one before it, from which hits come
+    back."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.old: dict[str, bytes] = {}
 
-    def __missing__(self, piece: str):
+    def __missing__(self, piece: str) -> bytes:
         ids = self.old.get(piece)
         if ids is None:
-            ids = self.encode(piece.encode("utf-8"))
+            ids = self.encode([piece.encode("utf-8")])[0]
         if len(piece) <= 64:
-            if len(self) >= CACHE_LIMIT:
-                self.old = dict(self)
-                self.clear()
             self[piece] = ids
         return ids
 
+    def learn(self, pieces: Iterable[str]) -> None:
+        """Encode together what isn't remembered, and start a new generation if there is much."""
+        if len(self) >= CACHE_LIMIT:
+            self.old = dict(self)
+            self.clear()
+        old = self.old
+        new = [p for p in pieces if p not in self and p not in old and len(p) <= 64]
+        for at in range(0, len(new), 1 << 14):
+            some = new[at : at + (1 << 14)]
+            self.update(zip(some, self.encode([p.encode("utf-8") for p in some])))
+
 
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE vocabulary file."""
@@ -96,6 +107,15 @@ class ByteBPE:
             left, right = pair.split(" ") if isinstance(pair, str) else pair
             self.pair_rank[vocab[left] << self.shift | vocab[right]] = rank
             self.merged.append(vocab[left + right])
+        pairs = np.fromiter(self.pair_rank, dtype=np.int64, count=len(self.pair_rank))
+        order = np.argsort(pairs)
+        #: The pairs that merge in order, each one's rank (and that of no pair, behind), and what ranks merge into.
+        self.pairs = np.append(pairs[order], np.int64(1) << 62)
+        self.pair_ranks = np.append(np.fromiter(self.pair_rank.values(), dtype=np.int32, count=len(pairs))[order], np.int32(len(pairs)))
+        self.merged_ids = np.array([*self.merged, 0], dtype=np.int32)
+        self.first_ids = np.array(self.byte_ids, dtype=np.int32)
+        two = np.arange(1 << 16)
+        self.byte_ranks = self._ranks(self.first_ids[two >> 8], self.first_ids[two & 255])
         self.id_text = [str(i) for i in range(size)]
         old = unicodedata.ucd_3_2_0.category
         letters = _ranges(lambda c: old(c)[0] == "L")
@@ -104,27 +124,60 @@ class ByteBPE:
         #: Characters whose class differs between Unicode versions: texts with them are split by the library.
         self.unsettled = re.compile(f"[{_ranges(lambda c: old(c) == 'Cn' or old(c)[0] != unicodedata.category(c)[0])}]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.pieces = _Pieces(self.encode_piece)
-
-    def encode_piece(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of one pre-tokenized piece."""
-        if len(piece) > ARRAY_LIMIT:
-            return self._encode_long(piece)
-        rank_of, merged, shift, none = self.pair_rank.get, self.merged, self.shift, len(self.merged)
-        ids = [self.byte_ids[b] for b in piece]  # the part that starts at each remaining boundary
-        ranks = [rank_of(a << shift | b, none) for a, b in zip(ids, ids[1:])]
-        while ranks:
-            least = min(ranks)
-            if least == none:
-                break
-            at = ranks.index(least)
-            ids[at] = merged[least]
-            del ids[at + 1], ranks[at]
-            if at:
-                ranks[at - 1] = rank_of(ids[at - 1] << shift | ids[at], none)
-            if at < len(ranks):
-                ranks[at] = rank_of(ids[at] << shift | ids[at + 1], none)
-        return tuple(ids)
+        self.pieces = _Pieces(self.encode_pieces)
+
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of ids; the number of merges where a pair has none."""
+        key = (left.astype(np.int64) << self.shift) | right
+        at = np.searchsorted(self.pairs, key)
+        return np.where(self.pairs[at] == key, self.pair_ranks[at], np.int32(len(self.merged)))
+
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids of pre-tokenized pieces, packed as four little-endian bytes each."""
+        sizes = np.array([len(p) for p in pieces], dtype=np.int64)
+        out: list[bytes] = [b""] * len(pieces)
+        for least, most in ((1, 8), (9, 16), (17, ARRAY_LIMIT)):
+            own = np.flatnonzero((sizes >= least) & (sizes <= most))
+            if len(own):
+                self._encode_short([pieces[i] for i in own.tolist()], sizes[own], most, own, out)
+        for i in np.flatnonzero(sizes > ARRAY_LIMIT).tolist():
+            out[i] = np.array(self._encode_long(pieces[i]), dtype="<u4").tobytes()
+        return out
+
+    def _encode_short(self, pieces: list[bytes], sizes: np.ndarray, width: int, place: np.ndarray, out: list[bytes]) -> None:
+        none = np.int32(len(self.merged))
+        raw = np.frombuffer(b"".join(p.ljust(width, b"\0") for p in pieces), dtype=np.uint8).reshape(len(pieces), width)
+        column = np.arange(width)
+        ids = self.first_ids[raw]
+        ranks = np.full((len(pieces), width), none, dtype=np.int32)
+        ranks[:, :-1] = self.byte_ranks[(raw[:, :-1].astype(np.int32) << 8) | raw[:, 1:]]
+        ranks[column >= sizes[:, None] - 1] = none
+        left = sizes.copy()
+        while len(ids):
+            row = np.arange(len(ids))
+            at = ranks.argmin(axis=1)
+            least = ranks[row, at]
+            done = least == none
+            if done.any():
+                packed, lengths = ids[done].astype("<u4"), left[done].tolist()
+                for i, values, n in zip(place[done].tolist(), packed, lengths):
+                    out[i] = values[:n].tobytes()
+                on = ~done
+                ids, ranks, left, place, at, least = ids[on], ranks[on], left[on], place[on], at[on], least[on]
+                row = np.arange(len(ids))
+                if not len(ids):
+                    break
+            # The boundary after part ``at`` goes: parts and ranks behind it move up by one.
+            moved = column[:-1] > at[:, None]
+            ids[:, :-1] = np.where(moved, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(moved | (column[:-1] == at[:, None]), ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = none
+            left -= 1
+            ids[row, at] = self.merged_ids[least]
+            before, after = np.flatnonzero(at > 0), np.flatnonzero(at + 1 < left)
+            b, a = at[before], at[after]
+            ranks[before, b - 1] = self._ranks(ids[before, b - 1], ids[before, b])
+            ranks[after, a] = self._ranks(ids[after, a], ids[after, a + 1])
 
     def _encode_long(self, piece: bytes) -> tuple[int, ...]:
         """The same merges in the same order for a piece of any length."""
@@ -150,26 +203,32 @@ class ByteBPE:
         return tuple(x for x, on in zip(ids, alive) if on)
 
     def split_pieces(self, text: str) -> list[str]:
-        if self.unsettled(text):
-            from tokenizers.pre_tokenizers import ByteLevel
+        try:
+            text.encode("latin-1")  # all settled
+        except UnicodeEncodeError:
+            if self.unsettled(text):
+                from tokenizers.pre_tokenizers import ByteLevel
 
-            return [text[i:j] for _, (i, j) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
+                return [text[i:j] for _, (i, j) in ByteLevel(add_prefix_space=False).pre_tokenize_str(text)]
         return self.split(text)
 
+    def _parts(self, text: str) -> list[list[str] | int]:
+        """A text as runs of pieces and ids of special tokens."""
+        if not any(token in text for token in self.special):
+            return [self.split_pieces(text)]
+        return [self.special[part] if part in self.special else self.split_pieces(part) for part in self.specials.split(text) if part]
+
+    def encode_packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """Ids of whole texts, packed as four little-endian bytes each; None is the empty text."""
+        parts = [self._parts(t) if t else [] for t in texts]
+        self.pieces.learn(set().union(*(p for text in parts for p in text if isinstance(p, list))))
+        look = self.pieces.__getitem__
+        for text in parts:
+            yield b"".join([b"".join(map(look, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in text])
+
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; None is the empty text, special tokens in it become their ids."""
-        if not text:
-            return []
-        look = self.pieces.__getitem__
-        if self.specials is None or not self.specials.search(text):
-            return list(chain.from_iterable(map(look, self.split_pieces(text))))
-        out: list[int] = []
-        for part in self.specials.split(text):
-            if part in self.special:
-                out.append(self.special[part])
-            elif part:
-                out.extend(chain.from_iterable(map(look, self.split_pieces(part))))
-        return out
+        return np.frombuffer(next(self.encode_packed([text])), dtype="<u4").tolist()
 
     def decode(self, ids) -> str:
         """Text of ids, special tokens included; bytes that aren't UTF-8 become U+FFFD."""
@@ -192,7 +251,7 @@ def encode_texts(df: DataFrame, vocabulary: str, text: str = "text", ids: str =
     @F.pandas_udf("array<int>")
     def run(texts):
         bpe = load_bpe(vocabulary)
-        return texts.map(bpe.encode, na_action=None)
+        return pd.Series([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in bpe.encode_packed(texts)], dtype=object)
 
     return df.withColumn(ids, run(F.coalesce(df[text], F.lit(""))))
 
@@ -219,8 +278,8 @@ def round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
         bpe = load_bpe(vocabulary)
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for text in batch.column(1):
-                ids = bpe.encode(text.as_py())
+            for packed in bpe.encode_packed(batch.column(1).to_pylist()):
+                ids = np.frombuffer(packed, dtype="<u4").tolist()
                 counts.append(len(ids))
                 encoded.append(hashlib.sha256(",".join(map(bpe.id_text.__getitem__, ids)).encode()).hexdigest())
                 decoded.append(hashlib.sha256(bpe.decode(ids).encode("utf-8")).hexdigest())

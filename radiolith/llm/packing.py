@@ -36,19 +36,19 @@ BINS = "bin long, fill int, members array<struct<doc_id:long,piece:int,start:lon
 
 
 def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    bpe = load_bpe(vocabulary)
+    bpe, end = load_bpe(vocabulary), end_id.to_bytes(4, "little")
     for batch in batches:
         doc, piece, start, length, crc = [], [], array("q"), array("q"), array("q")
-        for i, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            ids = np.array([*bpe.encode(text.as_py()), end_id], dtype="<u4")
-            n = len(ids)
+        for i, packed in zip(batch.column(0).to_pylist(), bpe.encode_packed(batch.column(1).to_pylist())):
+            ids = packed + end
+            n = len(ids) // 4
             at, number, take = 0, 0, n % capacity or min(capacity, n)
             while at < n:
                 doc.append(i)
                 piece.append(number)
                 start.append(at)
                 length.append(take)
-                crc.append(zlib.crc32(ids[at : at + take]))
+                crc.append(zlib.crc32(ids[4 * at : 4 * (at + take)]))
                 at, number, take = at + take, number + 1, capacity
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
