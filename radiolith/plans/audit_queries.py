@@ -267,12 +267,12 @@ def duplicate_groups(spark, sf):
 
 
 @query("""WITH g AS (SELECT sha256(text) AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1), h AS (SELECT md5(html) AS k, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1),
-    c AS (SELECT role || left(text, 6) AS k, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1)
+    c AS (SELECT role || md5(text) AS k, count(*) AS n FROM conversations GROUP BY 1 HAVING count(*) > 1)
     SELECT * FROM (SELECT 'sop' AS level, count(*) AS groups, sum(n)::BIGINT AS members FROM g UNION ALL SELECT 'pixel', count(*), sum(n)::BIGINT FROM h UNION ALL SELECT 'series_signature', count(*), sum(n)::BIGINT FROM c) WHERE groups > 0""")
 def duplicate_levels(spark, sf):
     a = duplicates.duplicate_groups(R.table(spark, sf, "documents").select(F.sha2("text", 256).alias("k"), F.col("doc_id").cast("string").alias("m")), "k", "m", "sop")
     b = duplicates.duplicate_groups(R.table(spark, sf, "pages").select(F.md5("html").alias("k"), F.col("page_id").cast("string").alias("m")), "k", "m", "pixel")
-    c = duplicates.duplicate_groups(R.table(spark, sf, "conversations").select(F.concat("role", F.substring("text", 1, 6)).alias("k"), F.col("conv_id").cast("string").alias("m")), "k", "m", "series_signature")
+    c = duplicates.duplicate_groups(R.table(spark, sf, "conversations").select(F.concat("role", F.md5("text")).alias("k"), F.col("conv_id").cast("string").alias("m")), "k", "m", "series_signature")
     return duplicates.level_counts(a.unionByName(b).unionByName(c))
 
 

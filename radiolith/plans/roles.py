@@ -77,10 +77,11 @@ def on_disk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Studies on disk: documents of 14 in 20 sources, and some that the table doesn't know."""
     docs = table(spark, sf_dir, "documents")
     known = docs.where(F.substring("source", 4, 2).cast("int") < 14).select(F.col("doc_id").cast("string").alias("study_uid"))
-    return known.unionByName(docs.where(F.col("doc_id") % 97 == 0).select(F.concat(F.lit("x"), F.col("doc_id")).alias("study_uid")))
+    strange = table(spark, sf_dir, "conversations").select(F.concat(F.lit("x"), F.col("conv_id")).alias("study_uid"))
+    return known.unionByName(strange)
 
 
-ON_DISK = "SELECT doc_id::VARCHAR AS study_uid FROM documents WHERE substr(source, 4, 2)::INT < 14 UNION ALL SELECT 'x' || doc_id FROM documents WHERE doc_id % 97 = 0"
+ON_DISK = "SELECT doc_id::VARCHAR AS study_uid FROM documents WHERE substr(source, 4, 2)::INT < 14 UNION ALL SELECT 'x' || conv_id FROM conversations"
 
 
 def windows(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,18 +64,18 @@ def first_patient(spark, sf):
 
 
 def _select_sql(keep: str) -> str:
-    return f"""WITH o AS (SELECT label AS study, vec_id AS "window", row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE vec_id % 3 <> 0)
+    return f"""WITH o AS (SELECT label AS study, vec_id AS "window", row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS i, count(*) OVER (PARTITION BY label) AS n FROM embeddings WHERE embedding[1] > 0)
     SELECT study, "window" FROM o WHERE {keep}"""
 
 
 @query(_select_sql(f"list_contains({_UNIFORM.format(k=15, d=14)}, i)"))
 def uniform_select(spark, sf):
-    return selection.uniform(R.windows(spark, sf), "study", "window", 15, F.col("window") % 3 != 0).select("study", "window")
+    return selection.uniform(R.windows(spark, sf), "study", "window", 15, F.get("scores", F.lit(0)) > 0).select("study", "window")
 
 
 @query(_select_sql("i >= (n - least(15, n)) // 2 AND i < (n - least(15, n)) // 2 + 15"))
 def central_select(spark, sf):
-    return selection.central(R.windows(spark, sf), "study", "window", 15, F.col("window") % 3 != 0).select("study", "window")
+    return selection.central(R.windows(spark, sf), "study", "window", 15, F.get("scores", F.lit(0)) > 0).select("study", "window")
 
 
 @query(f"""WITH o AS (SELECT user_id::VARCHAR AS study_id, event_type AS plane, event_id % 2 AS fluid, event_id::VARCHAR AS path, row_number() OVER (PARTITION BY user_id, event_type, event_id % 2 ORDER BY event_id) - 1 AS i,
@@ -117,11 +117,11 @@ def gather_selected(spark, sf):
 
 def _edges(spark, sf):
     docs = R.table(spark, sf, "documents")
-    keyed = docs.select(F.col("doc_id").alias("study"), F.sha2("text", 256).alias("k")).unionByName(docs.select(F.col("doc_id").alias("study"), F.substring("text", 1, 24).alias("k")))
+    keyed = docs.select(F.col("doc_id").alias("study"), F.sha2("text", 256).alias("k")).unionByName(docs.select(F.col("doc_id").alias("study"), F.concat_ws("/", "lang", "n_chars").alias("k")))
     return duplicates.cross_study_edges(keyed, "k", "study")
 
 
-_EDGES = """k AS (SELECT doc_id, sha256(text) AS k FROM documents UNION ALL SELECT doc_id, left(text, 24) FROM documents), m AS (SELECT k, min(doc_id) AS a FROM k GROUP BY 1),
+_EDGES = """k AS (SELECT doc_id, sha256(text) AS k FROM documents UNION ALL SELECT doc_id, concat_ws('/', lang, n_chars) FROM documents), m AS (SELECT k, min(doc_id) AS a FROM k GROUP BY 1),
     e AS (SELECT DISTINCT a, doc_id AS b FROM k JOIN m USING (k) WHERE a < doc_id)"""
 
 
