@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ARRAY_LIMIT = 32
-#: Pieces in each of the two generations of the memory of pieces; about 45 MB a generation.
-CACHE_LIMIT = 200_000
+#: Pieces that are remembered, at about 220 bytes each.
+CACHE_LIMIT = 400_000
 #: White space of the pre-tokenization pattern, and its contractions.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -54,33 +54,27 @@ def _byte_symbols() -> dict[str, int]:
 
 
 class _Pieces(dict):
-    """Remembers the ids of pieces (packed, four bytes each): a young generation, and the one before it, from which hits come
-    back."""
+    """Remembers the ids of pieces, packed in four bytes each; when there are too many, only those of the texts at hand stay."""
 
     def __init__(self, encode):
         super().__init__()
         self.encode = encode
-        self.old: dict[str, bytes] = {}
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.old.get(piece)
-        if ids is None:
-            ids = self.encode([piece.encode("utf-8")])[0]
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        return self.encode([piece.encode("utf-8")])[0]
 
     def learn(self, pieces: Iterable[str]) -> None:
-        """Encode together what isn't remembered, and start a new generation if there is much."""
-        if len(self) >= CACHE_LIMIT:
-            self.old = dict(self)
-            self.clear()
-        old = self.old
-        new = [p for p in pieces if p not in self and p not in old and len(p) <= 64]
+        """Encode together what isn't remembered, if it isn't too long to be."""
+        new = [p for p in pieces if len(p) <= 64]
         for at in range(0, len(new), 1 << 14):
             some = new[at : at + (1 << 14)]
             self.update(zip(some, self.encode([p.encode("utf-8") for p in some])))
 
+    def forget_all_but(self, pieces: set[str]) -> None:
+        kept = {p: self[p] for p in pieces if p in self}
+        self.clear()
+        self.update(kept)
+
 
 class ByteBPE:
     """Encoder and decoder of a byte-level BPE vocabulary file."""
@@ -121,6 +115,10 @@ class ByteBPE:
         letters = _ranges(lambda c: old(c)[0] == "L")
         numbers = _ranges(lambda c: old(c)[0] == "N")
         self.split = re.compile(f"{CONTRACTIONS}| ?[{letters}]+| ?[{numbers}]+| ?[^{WHITE}{letters}{numbers}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+").findall
+        #: The same for texts of Latin-1 characters only, whose classes are small.
+        latin = [_ranges(lambda c, k=k: c < "\u0100" and old(c)[0] == k) for k in "LN"]
+        narrow = WHITE[: WHITE.index("\\u1680")]
+        self.split_latin = re.compile(f"{CONTRACTIONS}| ?[{latin[0]}]+| ?[{latin[1]}]+| ?[^{narrow}{''.join(latin)}]+|[{narrow}]+(?![^{narrow}])|[{narrow}]+").findall
         #: Characters whose class differs between Unicode versions: texts with them are split by the library.
         self.unsettled = re.compile(f"[{_ranges(lambda c: old(c) == 'Cn' or old(c)[0] != unicodedata.category(c)[0])}]").search
         self.specials = re.compile("(" + "|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
@@ -205,6 +203,7 @@ class ByteBPE:
     def split_pieces(self, text: str) -> list[str]:
         try:
             text.encode("latin-1")  # all settled
+            return self.split_latin(text)
         except UnicodeEncodeError:
             if self.unsettled(text):
                 from tokenizers.pre_tokenizers import ByteLevel
@@ -220,11 +219,26 @@ class ByteBPE:
 
     def encode_packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """Ids of whole texts, packed as four little-endian bytes each; None is the empty text."""
-        parts = [self._parts(t) if t else [] for t in texts]
-        self.pieces.learn(set().union(*(p for text in parts for p in text if isinstance(p, list))))
+        get, held, missing = self.pieces.get, [], set()
+        for text in texts:
+            parts = self._parts(text) if text else []
+            found = []
+            for p in parts:
+                if isinstance(p, list):
+                    ids = list(map(get, p))
+                    gaps = None in ids
+                    if gaps:
+                        missing.update(w for w, x in zip(p, ids) if x is None)
+                    found.append((p, ids, gaps))
+                else:
+                    found.append(([], [p.to_bytes(4, "little")], False))
+            held.append(found)
+        self.pieces.learn(missing)
         look = self.pieces.__getitem__
-        for text in parts:
-            yield b"".join([b"".join(map(look, p)) if isinstance(p, list) else p.to_bytes(4, "little") for p in text])
+        for found in held:
+            yield b"".join([b"".join([look(w) if x is None else x for w, x in zip(p, ids)] if gaps else ids) for p, ids, gaps in found])
+        if len(self.pieces) > CACHE_LIMIT:
+            self.pieces.forget_all_but({w for found in held for p, _, _ in found for w in p})
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a whole text; None is the empty text, special tokens in it become their ids."""
