@@ -46,7 +46,7 @@ def test_bpe_pieces_of_every_length_take_the_same_merges():
         assert list(own._encode_long(piece)) == np.frombuffer(own.encode_pieces([piece])[0], "<u4").tolist()
 
 
-def test_bpe_pieces_survive_a_new_generation(monkeypatch):
+def test_bpe_pieces_survive_forgetting(monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_LIMIT", 5)
     own = bpe.ByteBPE(VOCABULARY)
     texts = ["alpha beta gamma delta epsilon zeta eta theta iota"] * 3 + ["kappa lambda mu nu xi omicron pi rho sigma"] * 2
