@@ -1,24 +1,19 @@
-"""Pieces the text and embedding operators share: scratch tables, input guards, components.
+"""Pieces the text and embedding operators share: written tables, small Arrow batches, remainders, components.
 
-Intermediate results are written as Parquet below the folder in ``spark.checkpoint.dir`` (shared by
-all executors on a cluster) and read back, so a lost executor costs a re-read and never a re-run of the
-whole lineage.  Where the setting is absent, as in local tests, a temporary folder is chosen once and
-removed when the Python process ends.
+Intermediate results are written as Parquet below the folder in ``spark.checkpoint.dir`` (shared by all executors on a
+cluster) and read back, so a lost executor costs a re-read and never a re-run of the whole lineage.
 """
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL_SCRATCH: list[str] = []
-
+from ..functions import scratch
+from ..functions.scratch import discard, scratch_root
+from ..operators.graph import components
 
 #: Rows and bytes that go to a Python worker at a time; documents can be long.
 BATCH_ROWS = 1024
@@ -31,37 +26,10 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if base:
-        return base.rstrip("/")
-    if not _LOCAL_SCRATCH:
-        folder = tempfile.mkdtemp(prefix="radiolith-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        _LOCAL_SCRATCH.append(folder)
-    return "file://" + _LOCAL_SCRATCH[0]
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, which cuts its lineage."""
-    spark = df.sparkSession
-    bound_batches(spark)
-    path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    out = spark.read.schema(schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(df: DataFrame | None) -> None:
-    """Delete the files of a table that :func:`materialize` wrote and nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        jvm, jsc = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(jsc.hadoopConfiguration()).delete(target, True)
+    """``df`` as a written table, which cuts its lineage."""
+    bound_batches(df.sparkSession)
+    return scratch.materialize(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -83,28 +51,12 @@ def remainder_of_crc32(column: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(modulus))
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """Smallest vertex reachable from each vertex of an undirected graph.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """``node`` and ``component``, the smallest vertex reachable, for every vertex that has an edge to another.
 
-    ``edges`` has long columns ``a`` and ``b``; the result has ``node`` and ``component`` for every vertex
-    that has an edge.  Every round takes the least label among a vertex and its neighbours and then
-    jumps to the label of that label, so rounds grow with the logarithm of the longest path.  State is a
-    table in the shared folder after each round; nothing but a count of changes reaches the driver.
-    Null end points are ignored; an empty edge table gives an empty result.
+    ``edges`` has long columns ``a`` and ``b``; null ends are ignored and an empty table gives an empty result.
     """
-    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).where("node is not null and other is not null and node <> other")
-    both = materialize(both.unionByName(both.select(F.col("other").alias("node"), F.col("node").alias("other"))).distinct(), "edges")
-    labels = materialize(both.groupBy("node").agg(F.least(F.col("node"), F.min("other")).alias("component")), "labels")
-    for _ in range(max_rounds):
-        heard = both.join(labels.select(F.col("node").alias("other"), "component"), "other").groupBy("node").agg(F.min("component").alias("heard"))
-        near = materialize(labels.join(heard, "node").select("node", F.least("component", "heard").alias("component"), F.col("component").alias("was")), "labels")
-        jump = near.select(F.col("node").alias("component"), F.col("component").alias("next"))
-        following = materialize(near.join(jump, "component", "left").select("node", F.least("component", F.coalesce("next", "component")).alias("component"), "was"), "labels")
-        changed = following.where("component <> was").limit(1).count()
-        discard(near)
-        discard(labels)
-        labels = following
-        if not changed:
-            discard(both)
-            return labels.select("node", "component")
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
+    return components(edges.where("a <> b"), "a", "b")
+
+
+__all__ = ["bound_batches", "connected_components", "discard", "materialize", "parts_for", "remainder_of_crc32", "scratch_root", "shuffle_width", "table"]
