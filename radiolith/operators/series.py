@@ -54,20 +54,34 @@ def series_inventory(records: DataFrame, metadata: DataFrame | None = None) -> D
 
     Takes study_uid, series_uid, relative_path, status, size_bytes, position_scalar, instance_number, derived_plane, manufacturer,
     rows, columns, patient_hash.  Records with errors count, and their missing sizes are zero.
+
+    Everything is made over one dealing of the records by series: windows that only add to the series in their partition keys
+    need no other, and the aggregate none either, so the records are read and shuffled once.
     """
-    records = identified(records)
-    base = records.groupBy(*KEY).agg(
+    by = lambda *more: Window.partitionBy(*KEY, *more)
+    order = encounter_order()
+    both = F.col("position_scalar").isNotNull() & F.col("instance_number").isNotNull()
+    rows = identified(records).withColumn("_both", both).withColumns(
+        {
+            "_gap": F.col("position_scalar") - F.lag("position_scalar").over(by().orderBy(F.asc_nulls_last("position_scalar"))),
+            "_p": F.when(both, average_rank([*KEY, "_both"], "position_scalar")),
+            "_i": F.when(both, average_rank([*KEY, "_both"], "instance_number")),
+            "_planes": F.count("*").over(by("derived_plane")), "_plane_at": F.min(order).over(by("derived_plane")),
+            "_vendors": F.count("*").over(by("manufacturer")), "_vendor_at": F.min(order).over(by("manufacturer")),
+        }
+    )
+    mode = lambda value, n, at: F.min_by(value, F.when(F.length(value) > 0, F.struct((-F.col(n)).alias("n"), F.col(at).alias("at"))))
+    mean = F.avg("_gap")
+    out = rows.groupBy(*KEY).agg(
         F.count("*").alias("file_count"), F.sum(F.coalesce("size_bytes", F.lit(0))).alias("total_bytes"), F.count_if(F.col("status") != "ok").alias("error_count"),
-        F.count("position_scalar").alias("position_count"), (F.count("position_scalar") - F.count_distinct("position_scalar")).alias("duplicate_positions"),
-        F.count_distinct("rows").alias("distinct_rows"), F.count_distinct("columns").alias("distinct_columns"),
-        F.min_by("patient_hash", F.when(F.length("patient_hash") > 0, encounter_order())).alias("patient_hash"),
+        F.count("position_scalar").alias("position_count"), (F.count("position_scalar") - F.size(F.collect_set("position_scalar"))).alias("duplicate_positions"),
+        F.size(F.collect_set("rows")).cast("long").alias("distinct_rows"), F.size(F.collect_set("columns")).cast("long").alias("distinct_columns"),
+        F.min_by("patient_hash", F.when(F.length("patient_hash") > 0, order)).alias("patient_hash"),
+        mode("derived_plane", "_planes", "_plane_at").alias("plane_mode"), mode("manufacturer", "_vendors", "_vendor_at").alias("vendor_mode"),
+        F.percentile("_gap", F.lit(0.5)).alias("spacing_median"), F.when(mean > 1e-8, F.stddev_pop("_gap") / mean).alias("spacing_cv"),
+        correlation("_p", "_i").alias("order_spearman"), F.count("_p").alias("order_pairs"),
     )
-    out = base
-    for part in (first_mode(records, KEY, "derived_plane", encounter_order(), "plane_mode"), first_mode(records, KEY, "manufacturer", encounter_order(), "vendor_mode"), spacing(records), order_agreement(records)):
-        out = out.join(part, KEY, "left")
-    if metadata is not None:
-        out = out.join(metadata, "series_uid", "left")
-    return out
+    return out if metadata is None else out.join(metadata, "series_uid", "left")
 
 
 def plane_conflict(metadata_plane: str = "metadata_plane", derived: str = "plane_mode", missing_conflicts: bool = False) -> Column:
