@@ -509,6 +509,7 @@ def _remove(docs: DataFrame, length: int, want_text: bool, crowd: int, shard_byt
     spans = half.where("_rl_open").select(F.col("doc_id").cast("long").alias("doc_id"), F.inline("_rl_spans")).select("f", "doc_id", "start", "span")
     sized = judged.where("f is not null").agg(F.sum(F.col("end") - F.col("start"))).collect()[0][0] or 0
     many = judged.where("f is not null").groupBy("f").agg(F.count("*").alias("n")).where(F.col("n") > crowd).select("f", F.ceil(F.col("n") / crowd).cast("int").alias("parts"))
+    many = materialize(many, "crowded")  # as a written table its size is known: the planner broadcasts it only if it is small
     dealt = spans.join(many, "f", "left").withColumn("salt", F.coalesce(F.pmod(F.xxhash64("doc_id", "start"), F.col("parts")).cast("int"), F.lit(0)))
     shard_count = max(width, parts_for(sized, shard_bytes))
     settled = materialize(
