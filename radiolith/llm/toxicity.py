@@ -25,10 +25,12 @@ from .common import discard, materialize, remainder_of_crc32
 
 #: Most labelled rows of each label that the fit reads, and most features that it weighs.
 PER_LABEL = 8192
-MOST_FEATURES = 16384
+MOST_FEATURES = 8192
 #: Least likelihood ratio (2 log) for a feature to be weighed, and least documents that have it.
 SCREEN = 16.0
 LEAST_DOCUMENTS = 3
+#: How many times commoner in toxic rows a feature must be; what long documents merely have more of stays out.
+LEAST_LIFT = 3.0
 PREFIXES = (4, 5, 6)
 ACCEPT = 0.7
 _SENTENCE = re.compile(r"[^.!?\n]+")
@@ -115,55 +117,56 @@ def _screened(sample: DataFrame, totals: dict[int, int]) -> list[tuple[str, floa
     a, b = F.col("toxic"), F.col("clean")
     p = (a + b) / F.lit(float(pos + neg))
     term = lambda k, n: F.when(k > 0, k * F.log(k / F.lit(float(n)) / p)).otherwise(0.0) + F.when(k < n, (n - k) * F.log((1 - k / F.lit(float(n))) / (1 - p))).otherwise(0.0)
-    kept = counts.where((a + b >= LEAST_DOCUMENTS) & (a / pos > b / neg)).withColumn("ratio", 2 * (term(a, pos) + term(b, neg)))
+    kept = counts.where((a + b >= LEAST_DOCUMENTS) & (a / pos > LEAST_LIFT * b / neg)).withColumn("ratio", 2 * (term(a, pos) + term(b, neg)))
     rows = kept.where(F.col("ratio") >= SCREEN).orderBy(F.desc("ratio"), "feature").limit(MOST_FEATURES).select("feature", "ratio").collect()
     return [(r[0], r[1]) for r in rows]
 
 
-def _bags(sample: DataFrame, names: list[str]) -> list[tuple[int, int, list[list[int]]]]:
-    """Of every sampled row: its label, its sentences without a screened feature, and the features of each of the others."""
+def _bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sampled rows: label and number of sentences without a screened feature; and of their other sentences' features:
+    row, sentence and feature numbers (``row`` by sentence).  Comes as Arrow columns, a few bytes for each feature found."""
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, plain, bags = [], [], []
+            labels, plain, counts, features = [], [], [], []
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                found, without = [], 0
+                sizes, ids, without = [], [], 0
                 for m in _SENTENCE.finditer((text.as_py() or "").lower()):
                     if words := _WORD.findall(m[0]):
-                        if ids := [index[f] for w in set(words) for f in features_of(w) if f in index]:
-                            found.append(ids)
+                        if own := [index[f] for w in set(words) for f in features_of(w) if f in index]:
+                            sizes.append(len(own))
+                            ids += own
                         else:
                             without += 1
                 labels.append(label)
                 plain.append(without)
-                bags.append(found)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(bags, pa.list_(pa.list_(pa.int32())))], ["toxic", "plain", "bags"])
+                counts.append(sizes)
+                features.append(ids)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["toxic", "plain", "sizes", "ids"])
 
-    return [(r[0], r[1], r[2]) for r in sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, plain long, bags array<array<int>>").collect()]
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, plain long, sizes array<int>, ids array<int>").toArrow().combine_chunks()
+    lists = [rows.column(c).combine_chunks() for c in ("sizes", "ids")]
+    sizes, ids = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
+    row = np.repeat(np.arange(len(rows)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
+    return rows.column("toxic").to_numpy(), rows.column("plain").to_numpy(), row, np.repeat(np.arange(len(sizes)), sizes), ids
 
 
-def _fit_weights(bags, n_features: int, class_weight: dict[int, float], steps: int = 400, rate: float = 0.1, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def _fit_weights(bags, n_features: int, class_weight: dict[int, float], steps: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
     """Weights and bias by Adam on the noisy-or likelihood of the bags."""
-    labels = np.array([b[0] for b in bags], dtype=np.float64)
-    plain = np.array([b[1] for b in bags], dtype=np.float64)
-    row = np.array([i for i, b in enumerate(bags) for _ in b[2]], dtype=np.int64)
-    flat = [s for b in bags for s in b[2]]
-    owner = np.repeat(np.arange(len(flat)), [len(s) for s in flat]).astype(np.int64)
-    feature = np.array([f for s in flat for f in s], dtype=np.int64)
-    weight = np.array([class_weight[int(y)] for y in labels])
-    weight /= weight.sum()
+    labels, plain, row, owner, feature = bags
+    weight = np.where(labels > 0, class_weight[1], class_weight[0])
+    weight = weight / weight.sum()
     theta = np.zeros(n_features + 1)
     theta[-1] = -6.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
         w, b = theta[:-1], theta[-1]
-        z = b + np.bincount(owner, weights=w[feature], minlength=len(flat))
-        soft, base = np.logaddexp(0.0, z), np.logaddexp(0.0, b)
-        total = np.maximum(plain * base + np.bincount(row, weights=soft, minlength=len(labels)), 1e-12)
+        z = b + np.bincount(owner, weights=w[feature], minlength=len(row))
+        total = np.maximum(plain * np.logaddexp(0.0, b) + np.bincount(row, weights=np.logaddexp(0.0, z), minlength=len(labels)), 1e-12)
         slope = weight * np.where(labels > 0, -1.0 / np.expm1(np.minimum(total, 700.0)), 1.0)
-        dz = slope[row] / (1.0 + np.exp(-z)) if len(row) else np.zeros(0)
-        grad = np.append(np.bincount(feature, weights=dz[owner], minlength=n_features) + ridge * w * 1e-2, dz.sum() + (slope * plain).sum() / (1.0 + math.exp(-b)))
+        dz = slope[row] / (1.0 + np.exp(-z))
+        grad = np.append(np.bincount(feature, weights=dz[owner], minlength=n_features) + ridge * w, dz.sum() + (slope * plain).sum() / (1.0 + math.exp(-b)))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
         theta[:-1] = np.maximum(theta[:-1], 0.0)
@@ -187,9 +190,9 @@ def fit(docs: DataFrame, labels: DataFrame, train, per_label: int = PER_LABEL) -
     sample = materialize(docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id"), "sample")  # at most 2 * per_label rows of two numbers
     totals = {r[0]: r[1] for r in sample.groupBy("toxic").count().collect()}
     names = [f for f, _ in _screened(sample, totals)]
-    bags = _bags(sample, names) if names and len(totals) == 2 else []
+    bags = _bags(sample, names) if names and len(totals) == 2 else None
     discard(sample)
-    if not bags:
+    if bags is None:
         return ToxicityModel({}, -20.0)
     weights, bias = _fit_weights(bags, len(names), {y: counts[y] / totals[y] for y in (0, 1)})
     return ToxicityModel({f: float(w) for f, w in zip(names, weights) if w > 1e-3}, bias)
