@@ -46,7 +46,9 @@ def coverage_loss(scores: DataFrame, labels: DataFrame, k: int, temperature: flo
 
 def composite(bce: DataFrame, ranking: DataFrame, coverage: DataFrame, weights: tuple[float, float, float] = (1.0, 0.1, 0.1)) -> DataFrame:
     """Weighted sum of the three losses, in one row with its parts."""
-    rank = ranking.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("ranking"))
-    cover = coverage.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("coverage"))
-    one = bce.select(F.col("loss").alias("bce")).crossJoin(rank).crossJoin(cover)  # three tables of one row each
+    none = F.lit(None).cast("double")
+    parts = bce.select(F.col("loss").alias("bce"), none.alias("ranking"), none.alias("coverage"))
+    parts = parts.unionByName(ranking.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("ranking")), allowMissingColumns=True)
+    parts = parts.unionByName(coverage.agg(F.coalesce(F.avg("loss"), F.lit(0.0)).alias("coverage")), allowMissingColumns=True)
+    one = parts.agg(*(F.max(c).alias(c) for c in ("bce", "ranking", "coverage")))
     return one.withColumn("total", weights[0] * F.col("bce") + weights[1] * F.col("ranking") + weights[2] * F.col("coverage"))

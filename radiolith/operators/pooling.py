@@ -47,10 +47,11 @@ def attention(df: DataFrame, group: str, features: str, query: list[float]) -> D
     return softmax_pool(df, [group], dot(F.col(features), F.array(*(F.lit(float(q)) for q in query))), features)
 
 
-def label_attention(df: DataFrame, group: str, features: str, queries: DataFrame) -> DataFrame:
-    """One weight for each window and label; ``queries`` has label and query, a few rows of a fixed number of labels."""
-    each = df.join(F.broadcast(queries), how="cross")  # as many rows as the model has labels
-    return softmax_pool(each, [group, "label"], dot(F.col(features), F.col("query")), features)
+def label_attention(df: DataFrame, group: str, features: str, queries: dict[str, list[float]]) -> DataFrame:
+    """One weight for each window and label, from its features' product with the label's query."""
+    each = F.array(*(F.struct(F.lit(name).alias("label"), F.array(*(F.lit(float(q)) for q in query)).alias("query")) for name, query in queries.items()))
+    wide = df.withColumn("_q", F.explode(each)).select("*", "_q.label", "_q.query")
+    return softmax_pool(wide, [group, "label"], dot(F.col(features), F.col("query")), features)
 
 
 def linear(df: DataFrame, keys: list[str], value: str, weights: DataFrame, bias: str = "bias") -> DataFrame:

@@ -101,8 +101,7 @@ def _label_queries():
 
 @query("WITH " + _attend(" UNION ALL ".join(f"SELECT '{k}' AS label_id, {v}::DOUBLE[] AS query" for k, v in _label_queries()), "label_id, "))
 def pool_label_query(spark, sf):
-    queries = spark.createDataFrame(_label_queries(), "label string, query array<double>")
-    return pooling.label_attention(R.windows(spark, sf), "study", "features", queries).withColumn("pooled", F.round("pooled", 5) + 0.0)
+    return pooling.label_attention(R.windows(spark, sf), "study", "features", dict(_label_queries())).withColumn("pooled", F.round("pooled", 5) + 0.0)
 
 
 @query(f"""WITH p AS (SELECT study, dim, avg(x) AS m FROM ({_FEATURES}) GROUP BY 1, 2) SELECT study, 'o' || o AS output, round(sum(m * (dim - 30.0 + o) / 10.0) + o, 4) + 0.0::DOUBLE AS logit FROM p, range(2) r(o) GROUP BY study, o""")
