@@ -148,6 +148,7 @@ def near_links(classes: DataFrame, threshold: int = THRESHOLD, home_part: int =
         raise ValueError("two halves with one differing bit each cover thresholds up to 3")
     spread = materialize(classes.select("fp", "doc").mapInArrow(_replicate, "anchor long, home boolean, fp long, doc long"), "anchors")
     crowded = spread.where("home").groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > home_part).select("anchor", F.ceil(F.col("n") / home_part).cast("int").alias("parts"))
+    crowded = materialize(crowded, "crowded")  # as a written table its size is known: the planner broadcasts it only if it is small
     dealt = spread.join(crowded, "anchor", "left")
     own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
     others = F.expr("sequence(0, parts - 1)")
