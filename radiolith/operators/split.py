@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_vector
@@ -61,7 +61,7 @@ def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: Da
 
     Groups with a positive label are placed one after another, since each choice depends on all before it: one short row for each such group
     goes to a single task.  The others only have to level the folds' sizes, which needs no sequence: in a seeded order, their running study
-    count is cut where the folds' remaining room ends.  That order is by hash range, so no task sees all of them.
+    count is cut where the folds' remaining room ends.
     """
     groups = study_groups(studies, edges)
     table = group_labels(studies, groups, n_labels)
@@ -88,21 +88,11 @@ def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: Da
     rest = table.where(~positive)
     n_rest = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
     room = fill_evenly(np.array([taken.get(f, 0) for f in range(folds)]), int(n_rest))
-    # Cut points of a uniform hash: each fold takes the share of the rest that brings all to one level.
-    ends = np.cumsum(room) / max(1, int(n_rest))
-    share = (F.pmod(F.xxhash64("group", F.lit(seed + 1)), F.lit(1 << 40)) / F.lit(float(1 << 40)))
-    fold = F.lit(folds - 1)
-    for f in range(folds - 2, -1, -1):
-        fold = F.when(share < float(ends[f]), F.lit(f)).otherwise(fold)
-    levelled = _level(rest.withColumn("fold", fold), share, room) if n_rest <= EXACT_LEVEL else rest.withColumn("fold", fold).select("group", "fold")
+    levelled = _level(rest, room, seed + 1)
     both = placed.select("group", "fold").unionByName(levelled)
     return groups.join(both, "group").select("study_id", "group", F.col("fold").cast("int").alias("fold"))
 
 
-#: Up to so many unlabelled studies folds are levelled exactly by a running count; beyond, a uniform hash levels them to within noise.
-EXACT_LEVEL = 1_000_000
-
-
 def fill_evenly(sizes: np.ndarray, more: int) -> np.ndarray:
     """How many of ``more`` studies each fold takes so that sizes become as level as they can."""
     level = sizes.astype(float).copy()
@@ -121,16 +111,29 @@ def fill_evenly(sizes: np.ndarray, more: int) -> np.ndarray:
     return take
 
 
-def _level(rest: DataFrame, share, room: np.ndarray) -> DataFrame:
-    """Folds by the running count of studies in hash order."""
-    from pyspark.sql import Window
+#: Hash buckets over which the running count of unlabelled studies is summed.
+BUCKETS = 4096
+
 
-    ends = np.cumsum(room)
-    before = F.sum("size").over(Window.orderBy("_share", "group").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("size")
+def _level(rest: DataFrame, room: np.ndarray, seed: int) -> DataFrame:
+    """Folds of groups by the running count of studies in hash order, cut where each fold's room ends.
+
+    The count runs within hash buckets; what lies before a bucket comes from the buckets' totals, 4096 numbers at any size.
+    """
+    bucket = F.pmod(F.xxhash64("group", F.lit(seed)), F.lit(BUCKETS)).cast("int")
+    rows = rest.select("group", "size", bucket.alias("bucket"))
+    totals = {r["bucket"]: r["n"] for r in rows.groupBy("bucket").agg(F.sum("size").alias("n")).collect()}
+    before, starts = 0, []
+    for b in range(BUCKETS):
+        starts.append(float(before))
+        before += totals.get(b, 0)
+    running = F.sum("size").over(Window.partitionBy("bucket").orderBy(F.xxhash64("group"), "group").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    table = rest.sparkSession.createDataFrame(list(enumerate(starts)), "bucket int, start double")
+    middle = F.col("start") + F.col("running") - F.col("size") / 2.0
     fold = F.lit(len(room) - 1)
     for f in range(len(room) - 2, -1, -1):
-        fold = F.when(F.col("_before") + F.col("size") / 2.0 <= float(ends[f]), F.lit(f)).otherwise(fold)
-    return rest.withColumn("_share", share).withColumn("_before", before).withColumn("fold", fold).select("group", "fold")
+        fold = F.when(middle <= float(np.cumsum(room)[f]), F.lit(f)).otherwise(fold)
+    return rows.withColumn("running", running).join(F.broadcast(table), "bucket").select("group", fold.cast("int").alias("fold"))
 
 
 def leaks(assigned: DataFrame, key: str) -> DataFrame:
