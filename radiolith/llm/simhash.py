@@ -114,7 +114,7 @@ def _links_of(home_fp: np.ndarray, home_doc: np.ndarray, fp: np.ndarray, doc: np
 
 def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.RecordBatch]:
     """Rows come ordered by part, those at home first: a part's home is held, what came streams by in blocks."""
-    part, homes, carried = None, [np.empty((2, 0), dtype=np.int64)], None
+    part, homes = None, []
     for batch in batches:
         anchor, hp, rp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
         home = batch.column(3).to_numpy(zero_copy_only=False).astype(bool)
@@ -135,9 +135,9 @@ def _compare(batches: Iterator[pa.RecordBatch], threshold: int) -> Iterator[pa.R
             here = rows[:, a:b]
             if n_home[g]:
                 homes.append(here[:, home[a:b]])
-            carried = np.concatenate(homes, axis=1) if homes else np.empty((2, 0), dtype=np.int64)
-            if carried.shape[1] and carried.shape[1] + (b - a) > 2 - (n_home[g] < b - a):
-                edges += _links_of(np.ascontiguousarray(carried[0]), carried[1], np.ascontiguousarray(here[0]), here[1], threshold)
+            if homes:
+                at_home = np.concatenate(homes, axis=1)
+                edges += _links_of(at_home[0], at_home[1], np.ascontiguousarray(here[0]), here[1], threshold)
         if edges:
             yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
 
