@@ -6,8 +6,10 @@ cluster) and read back, so a lost executor costs a re-read and never a re-run of
 
 from __future__ import annotations
 
+import ctypes
 import math
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,15 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system.  A Python worker lives on after its task, and would keep its peak beside the next one's."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not every C library has it
+        pass
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a written table, which cuts its lineage."""
     bound_batches(df.sparkSession)
@@ -59,4 +70,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return components(edges.where("a <> b"), "a", "b")
 
 
-__all__ = ["bound_batches", "connected_components", "discard", "materialize", "parts_for", "remainder_of_crc32", "scratch_root", "shuffle_width", "table"]
+__all__ = ["bound_batches", "connected_components", "discard", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "table"]

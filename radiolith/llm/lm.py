@@ -30,15 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, remainder_of_crc32
+from .common import discard, materialize, release_memory, remainder_of_crc32
 
 LEXICON = 262_144
 VOCABULARY = 512
 CLASS_SIZE = 32
 RARE_CLASSES = 32
 HIDDEN = 16
-WINDOW = 16
-LANES = 512
+WINDOW = 32
+LANES = 256
 #: Tokens that a task lays out in lanes at a time.
 GROUP_TOKENS = 4 << 20
 SCORE_TOKENS = 2 << 20
@@ -469,6 +469,7 @@ def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.nd
             yield held
 
     tokens = train(model, groups(), rate)
+    release_memory()
     if tokens:
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary())], ["tokens", "total"])
 
@@ -520,6 +521,8 @@ def _score_part(batches: Iterator[pa.RecordBatch], shared: _Shared, flat: np.nda
             held, size = [], 0
     if size:
         yield from rows(held)
+    held.clear()
+    release_memory()
 
 
 def is_held_out(doc_id):
