@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, parts_for, shuffle_width
+from .common import discard, materialize, parts_for, release_memory, shuffle_width
 
 LENGTH = 100
 #: Runs that a task settles at a time, windows of a text hashed at a time, bytes of spans in a shard.
@@ -156,6 +156,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> I
                 held, rows = [], 0
     if held:
         yield from flush()
+    held.clear()
+    release_memory()
 
 
 def _run_rows(ids: list[int], blobs: list[bytes]) -> pa.RecordBatch:
@@ -206,6 +208,8 @@ def _judge_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     classes = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_f))[np.cumsum(new_f) - 1]
     candidate = first & ((classes > 1) | (size >= _SELF))
     yield from _mark_rows(doc[candidate], start[candidate], end[candidate], f[candidate])
+    del parts, f, span, doc, start, size
+    release_memory()
 
 
 def merged(intervals: np.ndarray) -> np.ndarray:
@@ -370,6 +374,8 @@ def _shard_repeats(batches: Iterator[pa.RecordBatch], length: int, shard_bytes:
             size += len(span)
     if held:
         yield from settle(held)
+    held.clear()
+    release_memory()
 
 
 def _shard_rows(doc, start, end, strings=None, salt=None, rows: int = 8192) -> Iterator[pa.RecordBatch]:

@@ -61,7 +61,7 @@ class _WordWeights(dict):
     def __missing__(self, word: str) -> float:
         get = self.weights.get
         value = sum(get(f, 0.0) for f in features_of(word))
-        if len(self) > 200_000:
+        if len(self) > 100_000:
             self.clear()
         if len(word) <= 64:
             self[word] = value
