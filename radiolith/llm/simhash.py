@@ -182,12 +182,14 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
 def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
     """The rows of ``docs`` whose doc_id is its group's smallest; rows that repeat a doc_id count once.
 
-    Rows with a null doc_id can't be named and are kept.
+    A doc_id whose rows have different texts stays if one of them does.  Rows with a null doc_id can't be named and are kept.
+    Whatever is not to stay is the shorter list, so it is that which the texts are joined with.
     """
-    groups = near_duplicates(docs, threshold, shingle)
-    keep = materialize(groups.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")), "keep")
-    out = docs.join(keep.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null"))
-    if keep.where("n > 1").limit(1).count():
-        repeated = keep.where("n > 1").select("doc_id")
+    least = F.col("doc_id") == F.col("component_id")
+    ids = near_duplicates(docs, threshold, shingle).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(least).alias("n"))
+    odd = materialize(ids.where("n <> 1"), "removed")
+    out = docs.join(odd.where("n = 0").select("doc_id"), "doc_id", "left_anti")
+    repeated = odd.where("n > 1").select("doc_id")
+    if repeated.limit(1).count():
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
