@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import connected_components, discard, materialize
 from .vectors import matrix, takes_part
@@ -73,14 +74,20 @@ def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = S
 _ROW = "label long, dim int, tab int, bucket long, home boolean, rep long, weight long, codes binary, vector binary"
 
 
-def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
+def _code_type(dim: int, hashes: int) -> type:
+    """The least integer type for bucket codes of vectors of length ``dim``."""
+    return np.int32 if (2 << max(1, (dim - 1).bit_length())) ** hashes <= 1 << 31 else np.int64
+
+
+def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int, kind: str) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column(1).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims).tolist():
             own = batch.filter(pa.array(dims == dim))
             x = matrix(own.column(4))
             codes = codes_of(x, tables, hashes, probes)
-            blobs, vectors = pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x], pa.binary())
+            narrow = codes.astype(_code_type(dim, hashes))
+            blobs, vectors = pa.array([c.tobytes() for c in narrow], pa.binary()), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
             for t in range(tables):
                 for p in range(1 + probes):
                     n = len(own)
@@ -90,13 +97,13 @@ def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes:
 class _Side:
     """Rows of a part: representatives, weights, whether they live here, codes and unit vectors."""
 
-    def __init__(self, batch: pa.RecordBatch, tables: int):
+    def __init__(self, batch: pa.RecordBatch, tables: int, hashes: int, kind: str):
         self.rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
         self.weight = batch.column("weight").to_numpy(zero_copy_only=False).astype(np.int64)
         self.lives = batch.column("lives").to_numpy(zero_copy_only=False).astype(bool)
         n = len(batch)
-        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=np.int64).reshape(n, tables, -1)
-        x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=np.float64).reshape(n, -1)
+        x = np.frombuffer(b"".join(batch.column("vector").to_pylist()), dtype=kind).reshape(n, -1).astype(np.float64)
+        self.codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), dtype=_code_type(x.shape[1], hashes)).reshape(n, tables, -1)
         self.unit = x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -153,7 +160,7 @@ def _spanning(host_rep, guest_rep, i, j) -> np.ndarray:
     return np.concatenate([star, np.array(kept, dtype=np.int64).reshape(-1, 2)])
 
 
-def _compare(batches: Iterator[pa.RecordBatch], tables: int, similarity: float) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, similarity: float, kind: str) -> Iterator[pa.RecordBatch]:
     """Rows ordered by part, those that live there (hosts) first; guests stream by in blocks."""
     part, hosts = None, []
     for batch in batches:
@@ -177,8 +184,8 @@ def _compare(batches: Iterator[pa.RecordBatch], tables: int, similarity: float)
             if n_host[g]:
                 hosts.append(batch.slice(a, int(n_host[g])))
             if n_guest[g] and hosts:
-                home = _Side(pa.Table.from_batches(hosts).combine_chunks().to_batches()[0], tables)
-                r, c, e = _pairs_in(home, _Side(batch.slice(a + int(n_host[g]), int(n_guest[g])), tables), key[2], similarity)
+                home = _Side(pa.Table.from_batches(hosts).combine_chunks().to_batches()[0], tables, hashes, kind)
+                r, c, e = _pairs_in(home, _Side(batch.slice(a + int(n_host[g]), int(n_guest[g])), tables, hashes, kind), key[2], similarity)
                 reps += r
                 counts += c
                 links.append(e)
@@ -205,11 +212,12 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, tables:
         n = classes.count()
         hashes = 2 + max(0, math.ceil(math.log(max(n, 1) / 2e6) / math.log(128)))
         tables += 2 * (hashes - 2)
-    spread = materialize(classes.select("label", F.size("embedding").alias("dim"), "rep", "weight", "embedding").mapInArrow(partial(_spread, tables=tables, hashes=hashes, probes=probes), _ROW), "buckets")
+    kind = "f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "f8"  # as exact as they came
+    spread = materialize(classes.select("label", F.size("embedding").alias("dim"), "rep", "weight", "embedding").mapInArrow(partial(_spread, tables=tables, hashes=hashes, probes=probes, kind=kind), _ROW), "buckets")
     key = ["label", "dim", "tab", "bucket"]
     sized = spread.where("home").groupBy(key).agg(F.count("*").alias("n"))
     crowded = sized.where(F.col("n") > home_part).select(*key, F.ceil(F.col("n") / home_part).cast("int").alias("parts"))
-    # Buckets where nobody lives, and those where one lives and nobody else comes, have nothing to compare.
+    crowded = materialize(crowded, "crowded")  # as a written table its size is known: the planner broadcasts it only if it is small
     dealt = spread.join(crowded, key, "left").withColumn("lives", F.col("home"))
     own = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0))
     others = F.coalesce(F.expr("sequence(0, parts - 1)"), F.array(F.lit(0)))
@@ -217,7 +225,7 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, tables:
     guests = dealt.withColumn("home", F.lit(False)).withColumn("hp", F.explode(others)).withColumn("rp", own)
     grid = hosts.unionByName(guests).select(*key, "hp", "rp", "home", "lives", "rep", "weight", "codes", "vector")
     keyed = grid.repartition(*key, "hp", "rp").sortWithinPartitions(*key, "hp", "rp", F.desc("home"))
-    found = materialize(keyed.mapInArrow(partial(_compare, tables=tables, similarity=similarity), "a long, b long, n long"), "found")
+    found = materialize(keyed.mapInArrow(partial(_compare, tables=tables, hashes=hashes, similarity=similarity, kind=kind), "a long, b long, n long"), "found")
     discard(spread)
     components = connected_components(found.where("b is not null").select("a", "b"))
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
