@@ -7,10 +7,16 @@ each half and is replicated to every anchor within radius plus threshold, 1 + 1,
 gives directly (2 or 17 anchors).  Whoever is at home at an anchor is compared with all that came to it, so
 no pair within the threshold is missed.  Equal fingerprints are one class from the start, anchors with
 many at home are dealt over a grid of parts, and parts give a spanning set of links, never all pairs.
+
+Copies by similarity (``one_of_each_similar``) may differ in far more bits than anchors can cover.  Sets of shingles
+with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 shingles of each under any order of the shingles, so
+those are the keys that candidates meet at.  There a wide SimHash settles who is worth
+comparing, and the sets themselves who is similar.  Common shingles come last in the order, so that few documents meet at them.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import partial
 
@@ -20,34 +26,56 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, materialize, release_memory
 
 THRESHOLD = 3
 SHINGLE = 3
+#: Least Jaccard similarity, over so many words a shingle, of the documents that ``one_of_each_similar`` takes for near copies.
+SIMILARITY = 0.8
+SIMILAR_SHINGLE = 5
+#: 64-bit words of the wide fingerprint that candidates are compared by; bits that a pair at the similarity may differ in
+#: (77 are expected with a deviation of 8, so 128 is over 6 deviations), and that a likely pair differs in.
+WIDE_WORDS = 8
+WIDE = 128
+LIKELY = 72
+#: Keys with at most so many members have all their pairs compared at once; most members in a part of the others.
+FEW = 64
+KEY_PART = 2048
+#: Of one in so many documents, shingles that so many hold are common: they come last in the order of the keys; most of them.
+COMMON_SAMPLE = 64
+COMMON_LEAST = 32
+MOST_COMMON = 100_000
 #: Most fingerprints that are at home in one part of an anchor.
 HOME_PART = 1024
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Unsigned 64-bit SimHash of a text; None and texts without words give zero."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of the runs of ``shingle`` lower-case words of a text, in order; a shorter text is one run, one without words has none."""
     words = (text or "").encode("utf-8").lower().split()
     if not words:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     hash_of = xxhash.xxh64_intdigest
     if len(words) <= shingle:
-        hashes = np.array([hash_of(b" ".join(words), 42)], dtype=np.uint64)
-    else:
-        joined = b" ".join(words)
-        ends = np.cumsum([len(w) + 1 for w in words]) - 1
-        starts = np.concatenate(([0], ends[:-1] + 1))
-        count = len(words) - shingle + 1
-        hashes = np.fromiter((hash_of(joined[a:b], 42) for a, b in zip(starts[:count].tolist(), ends[shingle - 1 :].tolist())), dtype=np.uint64, count=count)
+        return np.array([hash_of(b" ".join(words), 42)], dtype=np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    count = len(words) - shingle + 1
+    return np.fromiter((hash_of(joined[a:b], 42) for a, b in zip(starts[:count].tolist(), ends[shingle - 1 :].tolist())), dtype=np.uint64, count=count)
+
+
+def _majority(hashes: np.ndarray) -> np.uint64:
+    """The 64 bits that more than half of the hashes have set."""
     votes = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 1 << 15):
         block = hashes[at : at + (1 << 15)].astype("<u8").view(np.uint8).reshape(-1, 8)
         votes += np.unpackbits(block, axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
-    bits = (2 * votes > len(hashes)).astype(np.uint8)
-    return int(np.packbits(bits, bitorder="little").view("<u8")[0])
+    return np.packbits((2 * votes > len(hashes)).astype(np.uint8), bitorder="little").view("<u8")[0]
+
+
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Unsigned 64-bit SimHash of a text; None and texts without words give zero."""
+    return int(_majority(shingle_hashes(text, shingle)))
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
@@ -185,11 +213,202 @@ def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD, shingle: int
     A doc_id whose rows have different texts stays if one of them does.  Rows with a null doc_id can't be named and are kept.
     Whatever is not to stay is the shorter list, so it is that which the texts are joined with.
     """
+    return _less_copies(docs, near_duplicates(docs, threshold, shingle))
+
+
+def _less_copies(docs: DataFrame, groups: DataFrame) -> DataFrame:
     least = F.col("doc_id") == F.col("component_id")
-    ids = near_duplicates(docs, threshold, shingle).where("doc_id is not null").groupBy("doc_id").agg(F.count_if(least).alias("n"))
+    ids = groups.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(least).alias("n"))
     odd = materialize(ids.where("n <> 1"), "removed")
     out = docs.join(odd.where("n = 0").select("doc_id"), "doc_id", "left_anti")
     repeated = odd.where("n > 1").select("doc_id")
     if repeated.limit(1).count():
         out = out.join(repeated, "doc_id", "left_anti").unionByName(out.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     return out.select(*(F.col(f"`{c}`") for c in docs.columns))
+
+
+def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Other hashes of the same shingles, for word ``k`` of a wide fingerprint."""
+    z = hashes + np.uint64((0x9E3779B97F4A7C15 * (k + 1)) & 0xFFFFFFFFFFFFFFFF)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
+    """``doc_id``, ``node`` (hash of the set), ``n``, ``wide`` (512-bit SimHash of the set) and ``shingles`` (the sorted set) of every row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
+            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+            wide = [b"".join(_majority(_mixed(x, k)).tobytes() for k in range(WIDE_WORDS)) for x in sets]
+            ends = np.cumsum([0, *(len(x) for x in sets)])
+            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(np.diff(ends), pa.int32()), pa.array(wide, pa.binary()), lists], ["doc_id", "node", "n", "wide", "shingles"])
+        release_memory()
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, shingles array<long>")
+
+
+def _keys(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
+    """``key`` and ``node``: of every set the first shingles, of which a similar set has one among its own first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            nodes = batch.column(0).to_numpy(zero_copy_only=False)
+            values, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
+            rare = ~np.isin(values, common) if len(common) else np.ones(len(values), dtype=bool)
+            keys, lengths = [], []
+            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                first = _first(b - a, similarity)
+                own, plain = values[a:b], rare[a:b]
+                keys.append(np.concatenate((own[plain], own[~plain]))[:first] if not plain[:first].all() else own[:first])
+                lengths.append(len(keys[-1]))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(nodes, lengths), pa.int64())], ["key", "node"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "key long, node long")
+
+
+def _first(n: int, similarity: float) -> int:
+    """How many of the first of ``n`` shingles two similar sets must share one of."""
+    return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
+
+
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+
+
+def _tree(node: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
+    """Likely pairs of a part that span whom they reach."""
+    out, left = [], np.ones(len(node), dtype=bool)
+    for root in range(len(node)):
+        if not left[root]:
+            continue
+        left[root], queue = False, [root]
+        while queue:
+            at = queue.pop()
+            rest = np.flatnonzero(left)
+            hit = rest[_bits(wide[rest], wide[at]) <= LIKELY]
+            left[hit] = False
+            queue += hit.tolist()
+            out += [(int(node[at]), x) for x in node[hit].tolist()]
+    return out
+
+
+def _across(node: np.ndarray, wide: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """All pairs of a part worth comparing that are of different groups."""
+    names, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
+    out, largest = [], int(sizes.argmax())
+    for at in np.flatnonzero(of != largest).tolist():
+        other = np.flatnonzero((of != of[at]) & ((of == largest) | (np.arange(len(of)) > at)) & (np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]) - 1e-9))
+        hit = other[_bits(wide[other], wide[at]) <= WIDE]
+        out += [(int(node[at]), x) for x in node[hit].tolist()]
+    return out
+
+
+def _meet(batches: Iterator[pa.RecordBatch], similarity: float, few_members: int, spanning: bool) -> Iterator[pa.RecordBatch]:
+    """Candidates among rows that come ordered by key and part.  A last part that the next batch may go on with waits for it."""
+    held = None
+
+    def pairs_of(cols, ends):
+        key, part, m, node, n, group, wide = cols
+        edges = []
+        few = m <= few_members
+        for step in range(1, few_members):
+            same = few[:-step] & (key[:-step] == key[step:]) if len(key) > step else np.zeros(0, dtype=bool)
+            a = np.flatnonzero(same)
+            if not len(a):
+                break
+            b = a + step
+            a, b = (x[np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9] for x in (a, b))
+            ok = _bits(wide[a], wide[b]) <= WIDE
+            edges += zip(node[a[ok]].tolist(), node[b[ok]].tolist())
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+            if m[a] > few_members:
+                edges += _tree(node[a:b], wide[a:b]) if spanning else _across(node[a:b], wide[a:b], n[a:b], group[a:b], similarity)
+        edges = list({(min(e), max(e)) for e in edges})
+        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
+        cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS))
+        if held is not None:
+            cols = [np.concatenate(x) for x in zip(held, cols)]
+        if not len(cols[0]):
+            continue
+        new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
+        starts = np.concatenate(([0], new))
+        held = [x[starts[-1] :] for x in cols]
+        if len(new):
+            yield pairs_of([x[: starts[-1]] for x in cols], starts)
+    if held is not None:
+        yield pairs_of(held, np.array([0, len(held[0])]))
+    release_memory()
+
+
+def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a``, ``b`` whose sets have the similarity."""
+    pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
+    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    own = materialize(sets.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "compared")
+    left = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    both = F.size(F.array_intersect("x", "y"))
+    links = materialize(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"), "similar")
+    discard(own)
+    discard(pairs)
+    return links
+
+
+def similar_links(sets: DataFrame, similarity: float = SIMILARITY, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
+    """Links ``a``, ``b`` between the nodes of ``shingle_sets`` that connect whatever pairs of at least the similarity connect.
+
+    Keys that few meet at give all their pairs.  Of a crowded key first a tree of likely pairs is compared, and then every
+    pair that the similar ones among those leave in different groups.
+    """
+    sampled = sets.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
+    common = np.array([r[0] for r in sampled.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()], dtype=np.int64)
+    keys = materialize(_keys(sets, common, similarity).distinct(), "keys")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
+    marks = sets.select("node", "n", "wide").dropDuplicates(["node"])
+    met = materialize(keys.join(shared, "key").join(marks, "node"), "met")
+    discard(keys)
+    discard(shared)
+
+    def candidates(rows: DataFrame, spanning: bool) -> DataFrame:
+        # The members of a crowded key are dealt into parts, and every two parts meet in a cell.
+        parts = F.ceil(F.col("m") / key_part).cast("int")
+        own = F.pmod(F.xxhash64("node"), parts).cast("int")
+        cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
+        dealt = rows.withColumn("part", F.explode(F.when(F.col("m") > key_part, cells).otherwise(F.array(F.lit(0)))))
+        dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "m", "node", "n", "group", "wide")
+        return dealt.mapInArrow(partial(_meet, similarity=similarity, few_members=few, spanning=spanning), "a long, b long")
+
+    first = _similar(candidates(met.withColumn("group", F.col("node")), True), sets, similarity)
+    crowded = met.where(F.col("m") > few)
+    if crowded.isEmpty():
+        links = first
+    else:
+        groups = connected_components(first).withColumnRenamed("component", "group")
+        rest = crowded.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
+        links = first.unionByName(_similar(candidates(rest, False), sets, similarity))
+    discard(met)
+    return links
+
+
+def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, linked by Jaccard similarity of word shingles.
+
+    Texts without words are alike, rows that repeat a doc_id or have none are treated as by ``one_of_each_group``.
+    """
+    sets = materialize(shingle_sets(docs.where("doc_id is not null"), shingle), "shingle-sets")
+    components = connected_components(similar_links(sets, similarity, few, key_part))
+    least = sets.groupBy("node").agg(F.min("doc_id").alias("doc")).join(components, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("group"))
+    least = materialize(least, "similar-classes")
+    heads = least.groupBy("group").agg(F.min("doc").alias("component_id"))
+    named = materialize(sets.select("doc_id", "node").join(least.join(heads, "group").select("node", "component_id"), "node").select("doc_id", "component_id"), "similar-groups")
+    discard(sets)
+    return _less_copies(docs, named)

@@ -168,6 +168,45 @@ def test_near_duplicates_rows(spark):
     assert simhash.one_of_each_group(docs_of(spark, [(5, "x y"), (5, "x y"), (6, "other words here")])).count() == 2
 
 
+def brute_force_similar(rows, similarity=0.8, shingle=5):
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[i] = {b" ".join(words[j : j + shingle]) for j in range(max(1, len(words) - shingle + 1))} if words else set()
+    return components_of(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0)
+
+
+@pytest.mark.parametrize("key_part, few, sample", [(2048, 64, 64), (5, 3, 1)])
+def test_similar_documents_go(spark, monkeypatch, key_part, few, sample):
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", sample)
+    monkeypatch.setattr(simhash, "COMMON_LEAST", 20)
+    r = random.Random(8)
+    make = lambda n: ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n)]
+    line, rows = " ".join(make(12)), []
+    for base in (make(n) for n in (200, 200, 60, 30, 12, 4)):
+        for _ in range(14):
+            words = list(base)
+            for _ in range(r.choice((0, 1, 1, 2, 4))):
+                words[r.randrange(len(words))] = "changed"
+            rows.append((500 - len(rows), " ".join(words)))
+    rows += [(10 + i, line + " " + " ".join(make(r.randrange(3, 60)))) for i in range(30)]
+    rows += [(600, None), (601, " "), (602, rows[0][1].upper()), (602, rows[0][1])]
+    want = brute_force_similar(dict(rows).items())
+    kept = simhash.one_of_each_similar(docs_of(spark, [*rows, (None, "no id")]), few=few, key_part=key_part)
+    assert sorted(x["doc_id"] for x in kept.where("doc_id is not null").collect()) == sorted(set(want.values()))
+    assert kept.columns == docs_of(spark, []).columns and kept.where("doc_id is null").count() == 1
+    assert simhash.one_of_each_similar(docs_of(spark, [])).count() == 0
+
+
+def test_pipeline_takes_five_words_and_four_fifths(spark):
+    import corpus_pipeline
+
+    r = random.Random(9)
+    words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
+    rows = [(1, " ".join(words))] + [(2 + i, " ".join([*words[: 10 * i], "changed", *words[10 * i + 1 :]])) for i in range(20)]
+    assert [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), "").collect()] == [1]
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
