@@ -2,7 +2,9 @@
 
 A document is a bag of sentences.  A sentence's log-odds are a bias plus the weights of its words and of the
 words' first letters (so that inflected forms share evidence); the document's probability is
-one minus the product of the sentences' probabilities of being clean.  Which features may
+one minus the product of the sentences' probabilities of being clean, each over that of a sentence without any
+feature, and of a document's own of being called toxic for no sentence at all (a leak, so that labels without an offending word aren't laid on every
+sentence).  So plain sentences add nothing, however many there are.  Which features may
 carry weight is settled by a likelihood-ratio screen over the labelled training rows, the weights by gradient
 descent on the noisy-or likelihood.  Both use a bounded, stratified sample of labelled rows (``PER_LABEL`` of
 each label, by hash order); everything that is scored is scored whole.
@@ -44,10 +46,15 @@ def features_of(word: str) -> list[str]:
 
 @dataclass
 class ToxicityModel:
-    """``weights`` by feature and the ``bias`` of a sentence without any."""
+    """``weights`` by feature and the ``bias`` of a sentence without any.
+
+    With a ``leak``, the least a document of any sentences takes off the logarithm of being clean, sentences count beyond
+    what one without any feature has; without it their noisy-or is plain.
+    """
 
     weights: dict[str, float]
     bias: float
+    leak: float | None = None
 
     def scorer(self) -> SentenceScorer:
         return SentenceScorer(self)
@@ -68,11 +75,16 @@ class _WordWeights(dict):
         return value
 
 
+def _softplus(z: float) -> float:
+    return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
+
+
 class SentenceScorer:
     """Scores sentences and whole documents with a model."""
 
     def __init__(self, model: ToxicityModel):
         self.bias = model.bias
+        self.leak = model.leak
         self.word = _WordWeights(model.weights)
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -87,7 +99,8 @@ class SentenceScorer:
     def document(self, text: str | None) -> tuple[float, int, tuple[int, int, float] | None]:
         """Noisy-or of the sentences, their number, and the one likeliest to offend."""
         found = self.sentences(text)
-        clean = sum(max(z, 0.0) + math.log1p(math.exp(-abs(z))) for _, _, z in found)
+        plain = 0.0 if self.leak is None else _softplus(self.bias)
+        clean = sum(_softplus(z) - plain for _, _, z in found if self.leak is None or z > self.bias) + (found and self.leak or 0.0)
         return min(1.0, max(0.0, -math.expm1(-clean))), len(found), max(found, key=lambda s: s[2], default=None)
 
 
@@ -122,56 +135,55 @@ def _screened(sample: DataFrame, totals: dict[int, int]) -> list[tuple[str, floa
     return [(r[0], r[1]) for r in rows]
 
 
-def _bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sampled rows: label and number of sentences without a screened feature; and of their other sentences' features:
+def _bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sampled rows: label; and of the features of their sentences that have one:
     row, sentence and feature numbers (``row`` by sentence).  Comes as Arrow columns, a few bytes for each feature found."""
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, plain, counts, features = [], [], [], []
+            labels, counts, features = [], [], []
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                sizes, ids, without = [], [], 0
+                sizes, ids = [], []
                 for m in _SENTENCE.finditer((text.as_py() or "").lower()):
                     if words := _WORD.findall(m[0]):
                         if own := [index[f] for w in set(words) for f in features_of(w) if f in index]:
                             sizes.append(len(own))
                             ids += own
-                        else:
-                            without += 1
                 labels.append(label)
-                plain.append(without)
                 counts.append(sizes)
                 features.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(plain, pa.int64()), pa.array(counts, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["toxic", "plain", "sizes", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["toxic", "sizes", "ids"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, plain long, sizes array<int>, ids array<int>").toArrow().combine_chunks()
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, sizes array<int>, ids array<int>").toArrow().combine_chunks()
     lists = [rows.column(c).combine_chunks() for c in ("sizes", "ids")]
     sizes, ids = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
     row = np.repeat(np.arange(len(rows)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    return rows.column("toxic").to_numpy(), rows.column("plain").to_numpy(), row, np.repeat(np.arange(len(sizes)), sizes), ids
+    return rows.column("toxic").to_numpy(), row, np.repeat(np.arange(len(sizes)), sizes), ids
 
 
-def _fit_weights(bags, n_features: int, class_weight: dict[int, float], steps: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float]:
-    """Weights and bias by Adam on the noisy-or likelihood of the bags."""
-    labels, plain, row, owner, feature = bags
+def _fit_weights(bags, n_features: int, class_weight: dict[int, float], steps: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float, float]:
+    """Weights, bias and leak by Adam on the noisy-or likelihood of the bags."""
+    labels, row, owner, feature = bags
     weight = np.where(labels > 0, class_weight[1], class_weight[0])
     weight = weight / weight.sum()
-    theta = np.zeros(n_features + 1)
-    theta[-1] = -6.0
+    theta = np.zeros(n_features + 2)
+    theta[-2:] = -6.0, -4.0
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        w, b = theta[:-1], theta[-1]
+        w, b, leak = theta[:-2], theta[-2], math.exp(theta[-1])
         z = b + np.bincount(owner, weights=w[feature], minlength=len(row))
-        total = np.maximum(plain * np.logaddexp(0.0, b) + np.bincount(row, weights=np.logaddexp(0.0, z), minlength=len(labels)), 1e-12)
+        total = np.maximum(leak + np.bincount(row, weights=np.logaddexp(0.0, z) - np.logaddexp(0.0, b), minlength=len(labels)), 1e-12)
         slope = weight * np.where(labels > 0, -1.0 / np.expm1(np.minimum(total, 700.0)), 1.0)
         dz = slope[row] / (1.0 + np.exp(-z))
-        grad = np.append(np.bincount(feature, weights=dz[owner], minlength=n_features) + ridge * w, dz.sum() + (slope * plain).sum() / (1.0 + math.exp(-b)))
+        db = dz.sum() - slope[row].sum() / (1.0 + math.exp(-b))
+        grad = np.concatenate((np.bincount(feature, weights=dz[owner], minlength=n_features) + ridge * w, [db, slope.sum() * leak]))
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         theta = theta - rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-10)
-        theta[:-1] = np.maximum(theta[:-1], 0.0)
-        theta[-1] = min(theta[-1], -2.0)
-    return theta[:-1], float(theta[-1])
+        theta[:-2] = np.maximum(theta[:-2], 0.0)
+        theta[-2] = min(theta[-2], -2.0)
+        theta[-1] = min(theta[-1], math.log(math.log(2.0)))  # the leak alone calls nothing toxic
+    return theta[:-2], float(theta[-2]), math.exp(theta[-1])
 
 
 def fit(docs: DataFrame, labels: DataFrame, train, per_label: int = PER_LABEL) -> ToxicityModel:
@@ -194,8 +206,8 @@ def fit(docs: DataFrame, labels: DataFrame, train, per_label: int = PER_LABEL) -
     discard(sample)
     if bags is None:
         return ToxicityModel({}, -20.0)
-    weights, bias = _fit_weights(bags, len(names), {y: counts[y] / totals[y] for y in (0, 1)})
-    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if w > 1e-3}, bias)
+    weights, bias, leak = _fit_weights(bags, len(names), {y: counts[y] / totals[y] for y in (0, 1)})
+    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if w > 1e-3}, bias, leak)
 
 
 def score(docs: DataFrame, model: ToxicityModel, accept: float = ACCEPT) -> DataFrame:

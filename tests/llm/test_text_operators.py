@@ -203,7 +203,7 @@ def test_pipeline_takes_five_words_and_four_fifths(spark):
 
     r = random.Random(9)
     words = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(200)]
-    rows = [(1, " ".join(words))] + [(2 + i, " ".join([*words[: 10 * i], "changed", *words[10 * i + 1 :]])) for i in range(20)]
+    rows = [(1, " ".join(words))] + [(2 + i, " ".join(w if k % 60 != 3 * i + 1 else "changed" for k, w in enumerate(words))) for i in range(20)]
     assert [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), "").collect()] == [1]
 
 
@@ -398,6 +398,18 @@ def test_toxicity_score_is_noisy_or():
     assert n == 3 and score == pytest.approx(1 - np.prod([1 - x for x in p])) and worst[0] == 11
 
 
+def test_toxicity_of_long_clean_documents(spark):
+    rows, labels = toxic_rows(n=600)
+    marks = [(i, int(y or i % 10 == 1)) for i, y in labels]  # a tenth is called toxic without an offending word
+    clean = [" ".join(text.split()[:8]).replace(".", "") for i, text in rows if not labels[i][1]]
+    long = ". ".join(clean[k % len(clean)] for k in range(100_000))
+    df = docs_of(spark, [*rows, (9001, long), (9002, long + ". such vileness of a fiend")])
+    model = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int"), toxicity.in_training_folds)
+    got = {r["doc_id"]: r for r in toxicity.score(df, model).collect()}
+    assert got[9001]["n_sentences"] == 100_000 and not got[9001]["predicted"] and got[9002]["predicted"]
+    assert sum(got[i]["predicted"] != y for i, y in labels) <= 6
+
+
 def test_toxicity_without_labels(spark):
     rows, _ = toxic_rows(n=20)
     df = docs_of(spark, rows)
