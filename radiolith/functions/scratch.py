@@ -13,10 +13,16 @@ _LOCAL: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; where that is unset, as in local tests, a temporary one for this process."""
+    """The folder in ``spark.checkpoint.dir``; where that is unset and all of Spark is this process, as in tests, a temporary one.
+
+    On a cluster every executor would write to a folder of its own and the tables come back in part, so there it is an error.
+    """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if base:
         return base.rstrip("/")
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors share (master {master})")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="radiolith-"))
         atexit.register(shutil.rmtree, _LOCAL[0], ignore_errors=True)

@@ -2,14 +2,30 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import PER_SALT, heavy_keys, spread_join
+
 
 def duplicate_groups(df: DataFrame, key: str, member: str, level: str) -> DataFrame:
-    """Keys that several rows share: level, key, size and the sorted members."""
-    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("size"), F.array_sort(F.collect_list(F.col(member))).alias("members"))
-    return groups.where("size > 1").select(F.lit(level).alias("level"), "key", "size", "members")
+    """Keys that several rows share: level, key, size and the least member, which stands for the group."""
+    groups = df.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("size"), F.min(member).alias("first_member"))
+    return groups.where("size > 1").select(F.lit(level).alias("level"), "key", "size", "first_member")
+
+
+def duplicate_members(df: DataFrame, key: str, member: str, level: str, per_salt: int = PER_SALT) -> DataFrame:
+    """A row for each member of a group of :func:`duplicate_groups`: level, key, member, and whether it stands for the group.
+
+    A group can be any share of the table, so its members are rows, not a list, and a large group's are split over tasks.
+    """
+    groups = duplicate_groups(df, key, member, level)
+    rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(member).alias("member"))
+    heavy = heavy_keys(groups.select("key", F.col("size").alias("n")), "n", rows.count(), per_salt)
+    found = spread_join(rows, groups, ["key"], heavy, F.xxhash64("member"), "inner")
+    return found.select("level", "key", "member", (F.col("member") == F.col("first_member")).alias("stands"))
 
 
 def slice_order() -> list[Column]:
@@ -49,14 +65,15 @@ def hashed_slices(headers: DataFrame, pixels: DataFrame) -> DataFrame:
     return headers.where("status = 'ok'").join(hashes, "relative_path")
 
 
-def find_duplicates(headers: DataFrame, pixels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Duplicate groups of all levels, and the links between studies that the pixel and series levels give."""
+def find_duplicates(headers: DataFrame, pixels: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Duplicate groups of all levels, their members, and the links between studies that the pixel and series levels give."""
     good = headers.where("status = 'ok'")
     hashed = hashed_slices(headers, pixels)
     by_file = pixels.where("status = 'ok'")
     named = hashed.withColumnsRenamed({"StudyInstanceUID": "study_uid", "SeriesInstanceUID": "series_uid"})
     signed = series_signatures(named, ["study_uid", "series_uid"], "pixel_sha256")
-    groups = duplicate_groups(good, "SOPInstanceUID", "relative_path", "sop").unionByName(duplicate_groups(by_file, "pixel_sha256", "relative_path", "pixel")).unionByName(duplicate_groups(signed, "signature", "series_uid", "series_signature"))
+    levels = [(good, "SOPInstanceUID", "relative_path", "sop"), (by_file, "pixel_sha256", "relative_path", "pixel"), (signed, "signature", "series_uid", "series_signature")]
+    groups, members = (reduce(DataFrame.unionByName, [make(*level) for level in levels]) for make in (duplicate_groups, duplicate_members))
     sop = cross_study_edges(good, "SOPInstanceUID", "StudyInstanceUID")
     edges = sop.unionByName(cross_study_edges(named, "pixel_sha256", "study_uid")).unionByName(cross_study_edges(signed, "signature", "study_uid")).distinct()
-    return groups, edges
+    return groups, members, edges

@@ -1,4 +1,4 @@
-"""Pixel statistics and normalization of arrays, natively."""
+"""Pixel statistics and normalization of arrays, an array at a time."""
 
 from __future__ import annotations
 
@@ -13,15 +13,29 @@ DEEP_PERCENTILES = (0.1, 1, 5, 25, 50, 75, 95, 99, 99.9)
 
 
 def pixel_stats(values: Column | str) -> list[Column]:
-    """Count, min, max, mean, population deviation, share of zeros (of finite values) and of finite values, as columns."""
+    """Count, min, max, mean, population deviation, share of zeros (of finite values) and of finite values, as columns.
+
+    One fold over the array; squares are summed about the first finite value, so a large offset costs no digits.
+    """
     raw = F.col(values) if isinstance(values, str) else values
-    v = F.filter(F.transform(raw, lambda x: finite(x)), lambda x: x.isNotNull())
-    n = F.size(v)
-    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
-    mean = F.try_divide(total, n)
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean))
-    zeros = F.size(F.filter(v, lambda x: x == 0))
-    return [n.alias("pixel_count"), F.array_min(v).alias("minimum"), F.array_max(v).alias("maximum"), mean.alias("mean"), F.sqrt(F.try_divide(square, n)).alias("deviation"), F.try_divide(zeros, n).alias("zero_fraction"), F.try_divide(n, F.size(raw)).alias("finite_fraction")]
+    zero, none = F.lit(0.0), F.lit(None).cast("double")
+    start = F.struct(F.lit(0).alias("n"), none.alias("first"), zero.alias("s"), zero.alias("q"), none.alias("lo"), none.alias("hi"), F.lit(0).alias("zeros"))
+
+    def add(state: Column, x: Column) -> Column:
+        first = F.coalesce(state["first"], x)
+        d = x - first
+        more = F.struct(
+            (state["n"] + 1).alias("n"), first.alias("first"), (state["s"] + d).alias("s"), (state["q"] + d * d).alias("q"),
+            F.least(state["lo"], x).alias("lo"), F.greatest(state["hi"], x).alias("hi"), (state["zeros"] + (x == 0).cast("int")).alias("zeros"),
+        )
+        return F.when(x.isNull(), state).otherwise(more)
+
+    fold = F.aggregate(F.transform(raw, lambda x: finite(x)), start, add, lambda t: F.when(t["n"] > 0, t))
+    n = F.coalesce(fold["n"], F.when(raw.isNotNull(), F.lit(0)))
+    mean = fold["s"] / fold["n"]
+    variance = F.greatest(fold["q"] / fold["n"] - mean * mean, F.lit(0.0))
+    share = lambda k, of: F.try_divide(k, of)
+    return [n.alias("pixel_count"), fold["lo"].alias("minimum"), fold["hi"].alias("maximum"), (fold["first"] + mean).alias("mean"), F.sqrt(variance).alias("deviation"), share(fold["zeros"], n).alias("zero_fraction"), share(n, F.size(raw)).alias("finite_fraction")]
 
 
 def pixel_status(values: Column | str) -> Column:
@@ -30,43 +44,73 @@ def pixel_status(values: Column | str) -> Column:
     return F.when(F.exists(raw, lambda x: finite(x).isNotNull()), "ok").otherwise("error")
 
 
+def _finite(values) -> np.ndarray:
+    x = np.asarray(values, dtype=np.float64)
+    return x[np.isfinite(x)]
+
+
+def deep_values(values, bins: int, most: int, percentiles) -> tuple | None:
+    """Percentiles, median absolute deviation and histogram entropy (bits) of the finite ones of at most ``most`` values, evenly strided."""
+    if values is None:
+        return None
+    x = _finite(values[:: max(1, -(-len(values) // most))])
+    if not len(x):
+        return None
+    points = np.percentile(x, percentiles)
+    mad = np.median(np.abs(x - np.median(x)))
+    low, width = x.min(), x.max() - x.min()
+    place = np.minimum((x - low) / width * bins, bins - 1).astype(np.int64) if width > 0 else np.full(len(x), bins // 2)
+    share = np.bincount(place) / len(x)
+    share = share[share > 0]
+    return (*points.tolist(), float(mad), float(-(share * np.log2(share)).sum()))
+
+
 def deep_stats(df: DataFrame, key: str, values: str, bins: int = 128, most: int = 65536, percentiles=DEEP_PERCENTILES) -> DataFrame:
-    """Percentiles, median absolute deviation and histogram entropy (bits) of each row's array, at most ``most`` values evenly strided."""
-    n = F.size(values)
-    stride = F.greatest(F.lit(1), F.ceil(n / F.lit(most)).cast("int"))
-    strided = F.when(stride <= 1, F.col(values)).otherwise(F.filter(F.col(values), lambda x, i: i % stride == 0))
-    long = df.select(key, F.explode(strided).alias("x")).select(key, finite("x").alias("x")).where("x is not null")
-    base = long.groupBy(key).agg(F.percentile("x", F.array(*(F.lit(p / 100) for p in percentiles))).alias("_p"), F.percentile("x", F.lit(0.5)).alias("_m"), F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count("*").alias("_n"))
-    joined = long.join(base, key)
-    away = joined.groupBy(key).agg(F.percentile(F.abs(F.col("x") - F.col("_m")), F.lit(0.5)).alias("mad"))
-    width = F.col("_hi") - F.col("_lo")
-    place = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("_lo")) / width * bins), F.lit(bins - 1))).otherwise(F.lit(bins // 2))
-    cells = joined.groupBy(key, place.alias("_bin")).agg((F.count("*") / F.max("_n")).alias("_q"))
-    entropy = cells.groupBy(key).agg((-F.sum(F.col("_q") * F.log2("_q"))).alias("entropy"))
-    named = [F.get("_p", F.lit(i)).alias(f"p{str(p).replace('.', '_')}") for i, p in enumerate(percentiles)]
-    return base.join(away, key).join(entropy, key).select(key, *named, "mad", "entropy")
+    """Percentiles, median absolute deviation and histogram entropy of each row's array; rows without a finite value give none.
+
+    Sorting an array has no built-in that keeps codegen, so arrays go to Arrow batches whole: one pass, no shuffle.
+    """
+    names = [*(f"p{str(p).replace('.', '_')}" for p in percentiles), "mad", "entropy"]
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in names))
+    def run(arrays: pd.Series) -> pd.DataFrame:
+        empty = (None,) * len(names)
+        return pd.DataFrame([deep_values(v, bins, most, percentiles) or empty for v in arrays], columns=names, dtype="float64")
+
+    out = df.select(key, run(F.transform(values, lambda x: x.cast("double"))).alias("_deep"))
+    return out.select(key, "_deep.*").where(F.col("entropy").isNotNull())
+
+
+def normalize_values(values, method: str) -> np.ndarray:
+    """An array normalized: 'per_slice_robust', 'zscore' or 'none'; what isn't finite is 0 afterwards."""
+    x = np.asarray(values, dtype=np.float64)
+    ok = np.isfinite(x)
+    good = x[ok]
+    if len(good) and method == "zscore":
+        good = np.clip((good - good.mean()) / max(float(good.std()), 1e-6), -5.0, 5.0)
+    elif len(good) and method == "per_slice_robust":
+        low, high = np.percentile(good, (1, 99))
+        good = np.clip((good - low) / max(float(high - low), 1e-6), 0.0, 1.0)
+    out = np.zeros(len(x))
+    out[ok] = good
+    return out
 
 
 def normalized(df: DataFrame, keys: list[str], values: str, method: str) -> DataFrame:
     """Each row's array normalized, one row for each value (keys, place, x): 'per_slice_robust', 'zscore' or 'none'.
 
     Robust: 1st to 99th percentile to 0..1, clipped, the range at least 1e-6.  zscore: population deviation at least 1e-6, clipped to 5.
-    Values that aren't finite are 0 afterwards, and so are arrays without any that is.
+    Values that aren't finite are 0 afterwards, and so are arrays without any that is.  Arrays are normalized whole, in Arrow batches,
+    without a shuffle.
     """
     if method not in ("per_slice_robust", "zscore", "none"):
         raise KeyError(f"unknown normalization {method!r}")
-    long = df.select(*keys, F.posexplode(values).alias("place", "x")).withColumn("x", finite("x"))
-    if method == "none":
-        return long.withColumn("x", F.coalesce("x", F.lit(0.0)))
-    if method == "zscore":
-        stats = long.groupBy(*keys).agg(F.avg("x").alias("_a"), F.greatest(F.stddev_pop("x"), F.lit(1e-6)).alias("_b"))
-        x = F.greatest(F.least((F.col("x") - F.col("_a")) / F.col("_b"), F.lit(5.0)), F.lit(-5.0))
-    else:
-        stats = long.groupBy(*keys).agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.99))).alias("_q")).select(*keys, F.get("_q", F.lit(0)).alias("_a"), F.get("_q", F.lit(1)).alias("_z"))
-        stats = stats.withColumn("_b", F.greatest(F.col("_z") - F.col("_a"), F.lit(1e-6)))
-        x = F.greatest(F.least((F.col("x") - F.col("_a")) / F.col("_b"), F.lit(1.0)), F.lit(0.0))
-    # greatest() and least() pass over NULLs, so what isn't finite is set apart before they see it.
-    return long.join(stats, keys).select(*keys, "place", F.when(F.col("x").isNull(), F.lit(0.0)).otherwise(x).alias("x"))
+
+    @F.pandas_udf("array<double>")
+    def run(arrays: pd.Series) -> pd.Series:
+        return arrays.map(lambda v: normalize_values(v, method), na_action="ignore")
+
+    return df.select(*keys, F.posexplode(run(F.transform(values, lambda x: x.cast("double")))).alias("place", "x"))
 
 
 def resize_bilinear(image: np.ndarray, height: int, width: int) -> np.ndarray:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_vector
+from ..functions.scratch import materialize
 from .graph import components
 
 
@@ -64,7 +65,7 @@ def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: Da
     count is cut where the folds' remaining room ends.
     """
     groups = study_groups(studies, edges)
-    table = group_labels(studies, groups, n_labels)
+    table = materialize(group_labels(studies, groups, n_labels), "groups")  # read by five jobs
     positive = F.exists("labels", lambda x: x > 0)
     totals = table.select(F.posexplode("totals").alias("label", "v")).groupBy("label").agg(F.sum("v").alias("v")).orderBy("label").collect()
     sums = np.array([r["v"] for r in totals] or [0.0] * n_labels, dtype=float)
@@ -83,7 +84,8 @@ def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: Da
         held = [b for b in batches if len(b)]
         return place(iter(held)) if held else iter(())
 
-    placed = labelled.select("group", "size", "labels", "priority", "tie").coalesce(1).mapInPandas(one_task, "group string, size long, fold int")
+    short = labelled.select("group", "size", "labels", "priority", "tie").repartition(1)  # the shuffle keeps what makes the rows in as many tasks as it has
+    placed = materialize(short.mapInPandas(one_task, "group string, size long, fold int"), "placed")
     taken = {r["fold"]: r["n"] for r in placed.groupBy("fold").agg(F.sum("size").alias("n")).collect()}
     rest = table.where(~positive)
     n_rest = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]

@@ -260,10 +260,22 @@ def buckets_on_disk(spark, sf):
     return labels.buckets(labels.of_studies_on_disk(R.labelled(spark, sf), R.on_disk(spark, sf)), "lang", "quality")
 
 
-@query("SELECT 'pixel' AS level, sha256(text) AS key, count(*) AS size, string_agg(lpad(doc_id::VARCHAR, 12, '0'), ';' ORDER BY doc_id) AS members FROM documents GROUP BY sha256(text) HAVING count(*) > 1")
+_SAME_TEXT = "SELECT sha256(text) AS key, count(*) AS size, min(lpad(doc_id::VARCHAR, 12, '0')) AS first_member FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1"
+
+
+def _texts(spark, sf):
+    return R.table(spark, sf, "documents").select(F.sha2("text", 256).alias("key"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("m"))
+
+
+@query(f"SELECT 'pixel' AS level, * FROM ({_SAME_TEXT})")
 def duplicate_groups(spark, sf):
-    docs = R.table(spark, sf, "documents").select(F.sha2("text", 256).alias("key"), F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("m"))
-    return duplicates.duplicate_groups(docs, "key", "m", "pixel").withColumn("members", F.array_join("members", ";"))
+    return duplicates.duplicate_groups(_texts(spark, sf), "key", "m", "pixel")
+
+
+@query(f"""WITH g AS ({_SAME_TEXT}), m AS (SELECT sha256(text) AS key, lpad(doc_id::VARCHAR, 12, '0') AS member FROM documents)
+    SELECT 'pixel' AS level, key, member, member = first_member AS stands FROM m JOIN g USING (key)""")
+def duplicate_members(spark, sf):
+    return duplicates.duplicate_members(_texts(spark, sf), "key", "m", "pixel")
 
 
 @query("""WITH g AS (SELECT sha256(text) AS k, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1), h AS (SELECT md5(html) AS k, count(*) AS n FROM pages GROUP BY 1 HAVING count(*) > 1),

@@ -60,15 +60,17 @@ def rescale(spark, sf):
     return R.table(spark, sf, "embeddings").select("vec_id", F.posexplode(v).alias("place", "x")).withColumn("x", F.round("x", 5) + 0.0)
 
 
-@query(f"SELECT vec_id, place, round((x - 0.1) / CASE WHEN place % 2 = 0 THEN 0.5 ELSE 1e-6 END, 3) + 0.0::DOUBLE AS x FROM ({_LONG}) WHERE place < 8")
+@query(f"SELECT vec_id, place, round((x - 0.1) / CASE WHEN place % 2 = 0 THEN 0.5 ELSE 1e-6 END, 3) + 0.0::DOUBLE AS x FROM ({_LONG})")
 def standardize_channels(spark, sf):
-    v = X.standardized(F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")), [0.1] * 8, [0.5, 0.0] * 4)
+    v = X.standardized(F.transform("embedding", lambda x: x.cast("double")), [0.1] * 64, [0.5, 0.0] * 32)
     return R.table(spark, sf, "embeddings").select("vec_id", F.posexplode(v).alias("place", "x")).withColumn("x", F.round("x", 3) + 0.0)
 
 
-@query()
+# Half of each side, with pixel centers at halves: every pixel is the mean of four.
+@query(f"SELECT vec_id, (place // 16 * 4 + place % 8 // 2)::INT AS place, round(avg(x), 5) + 0.0::DOUBLE AS x FROM ({_LONG}) GROUP BY 1, 2")
 def resize_images(spark, sf):
-    return pixels.resized(R.table(spark, sf, "embeddings"), "embedding", 8, 8, 4, 4).select("vec_id", F.posexplode("resized").alias("place", "x"))
+    out = pixels.resized(R.table(spark, sf, "embeddings"), "embedding", 8, 8, 4, 4).select("vec_id", F.posexplode("resized").alias("place", "x"))
+    return out.withColumn("x", F.round("x", 5) + 0.0)
 
 
 _FEATURES = "SELECT label AS study, vec_id, (generate_subscripts(embedding, 1) - 1)::INT AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings"
@@ -129,10 +131,12 @@ def loss_bce(spark, sf):
     return losses.masked_bce(_cells(spark, sf), "z", "y", 3.0).withColumn("loss", F.round("loss", 6))
 
 
-@query(f"""WITH c AS (SELECT batch, label, z, {_TARGET} AS y FROM ({_CELLS})) SELECT p.label, p.batch, round(avg({_SOFTPLUS.format('(n.z - p.z)')}), 6) AS loss, count(*) AS pairs
+# Pairs are those of a training batch: 32 windows, at any size of the table.
+@query(f"""WITH c AS (SELECT vec_id // 32 AS batch, label, z, {_TARGET} AS y FROM ({_CELLS})) SELECT p.label, p.batch, round(avg({_SOFTPLUS.format('(n.z - p.z)')}), 6) AS loss, count(*) AS pairs
     FROM c p JOIN c n ON p.label = n.label AND p.batch = n.batch AND p.y = 1 AND n.y = 0 GROUP BY 1, 2""")
 def loss_rank(spark, sf):
-    return losses.pairwise_ranking(_cells(spark, sf), "label", "z", "y", "batch").withColumn("loss", F.round("loss", 6))
+    cells = _cells(spark, sf).withColumn("batch", F.floor(F.col("vec_id") / 32))
+    return losses.pairwise_ranking(cells, "label", "z", "y", "batch").withColumn("loss", F.round("loss", 6))
 
 
 _COVER = f"""s AS (SELECT batch AS study, vec_id AS "window", label, z / 8 AS score, CASE WHEN label % 4 = 3 THEN NULL ELSE abs(z) / 8 END AS evidence FROM ({_CELLS})),
@@ -154,12 +158,12 @@ def loss_coverage(spark, sf):
 
 @query(f"""WITH {_COVER}, x AS (SELECT vec_id, batch, label, z, {_TARGET} AS y FROM ({_CELLS})),
     b AS (SELECT avg(y * {_SOFTPLUS.format('(-z)')} + (1 - y) * {_SOFTPLUS.format('z')}) AS bce FROM x WHERE y IS NOT NULL),
-    k AS (SELECT avg(l) AS ranking FROM (SELECT avg({_SOFTPLUS.format('(n.z - p.z)')}) AS l FROM x p JOIN x n ON p.label = n.label AND p.batch = n.batch AND p.y = 1 AND n.y = 0 GROUP BY p.label, p.batch)),
+    k AS (SELECT avg(l) AS ranking FROM (SELECT avg({_SOFTPLUS.format('(n.z - p.z)')}) AS l FROM x p JOIN x n ON p.label = n.label AND p.vec_id // 32 = n.vec_id // 32 AND p.y = 1 AND n.y = 0 GROUP BY p.label, p.vec_id // 32)),
     v AS (SELECT avg(-ln(greatest(coverage, 1e-6))) AS coverage FROM c WHERE known > 0 AND (study + label) % 2 = 1)
     SELECT round(bce, 6) AS bce, round(ranking, 6) AS ranking, round(v.coverage, 6) AS coverage, round(bce + 0.1 * ranking + 0.1 * v.coverage, 6) AS total FROM b, k, v""")
 def loss_composite(spark, sf):
     cells = _cells(spark, sf)
-    out = losses.composite(losses.masked_bce(cells, "z", "y"), losses.pairwise_ranking(cells, "label", "z", "y", "batch"), _coverage(spark, sf))
+    out = losses.composite(losses.masked_bce(cells, "z", "y"), losses.pairwise_ranking(cells.withColumn("batch", F.floor(F.col("vec_id") / 32)), "label", "z", "y", "batch"), _coverage(spark, sf))
     return out.select(*(F.round(c, 6).alias(c) for c in out.columns))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..functions.constants import LABELS
 from ..operators.files import exists
+from ..operators.series import last_row_wins
 
 _S, _D, _L, _I = T.StringType(), T.DoubleType(), T.LongType(), T.IntegerType()
 
@@ -84,8 +85,13 @@ def read_labels(spark: SparkSession, path: str, labels: list[str] = LABELS) -> D
 
 
 def read_series(spark: SparkSession, path: str) -> DataFrame:
-    """Series metadata: SeriesInstanceUID and whatever else there is."""
-    return conform(require(read_csv(spark, path), "SeriesInstanceUID"), SERIES_CSV)
+    """Series metadata, one row for each SeriesInstanceUID: the last in the file.
+
+    A row's place is that of its file by name and its number in it; a multi-line CSV is read whole by one task, in order.
+    """
+    rows = conform(require(read_csv(spark, path), "SeriesInstanceUID"), SERIES_CSV)
+    place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())
+    return last_row_wins(rows.withColumn("_place", place), "SeriesInstanceUID", "_place").drop("_place")
 
 
 def read_edges(spark: SparkSession, path: str) -> DataFrame:

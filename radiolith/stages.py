@@ -63,8 +63,7 @@ def summarize(spark: SparkSession, audit_root: str, series_csv: str | None = Non
     records = records_of(head)
     meta = None
     if series_csv:
-        raw = tables.read_series(spark, series_csv)
-        meta = raw.groupBy(F.col("SeriesInstanceUID").alias("series_uid")).agg(F.last("Anatomical_Plane").alias("metadata_plane"), F.last("Fluid_Sensitive").alias("fluid_sensitive"))
+        meta = tables.read_series(spark, series_csv).select(F.col("SeriesInstanceUID").alias("series_uid"), F.col("Anatomical_Plane").alias("metadata_plane"), F.col("Fluid_Sensitive").alias("fluid_sensitive"))
     inventory = series.series_inventory(records, meta)
     if meta is None:
         inventory = inventory.withColumn("metadata_plane", F.lit(None).cast("string"))
@@ -110,9 +109,10 @@ def coverage(spark: SparkSession, audit_root: str, labels_csv: str) -> DataFrame
 
 
 def find_duplicates(spark: SparkSession, audit_root: str) -> DataFrame:
-    """Duplicate groups and links between studies as tables; returns groups and members of each level."""
-    groups, edges = duplicates.find_duplicates(_table(spark, audit_root, "headers", tables.HEADER).withColumnRenamed("InstanceNumber", "instance_number"), _table(spark, audit_root, "pixels", tables.PIXELS))
+    """Duplicate groups, their members and links between studies as tables; returns groups and members of each level."""
+    groups, members, edges = duplicates.find_duplicates(_table(spark, audit_root, "headers", tables.HEADER).withColumnRenamed("InstanceNumber", "instance_number"), _table(spark, audit_root, "pixels", tables.PIXELS))
     tables.write_parquet(groups, f"{audit_root}/duplicates/groups")
+    tables.write_parquet(members, f"{audit_root}/duplicates/members")
     tables.write_csv(edges.orderBy("study_a", "study_b"), f"{audit_root}/duplicates/edges")
     return duplicates.level_counts(spark.read.parquet(f"{audit_root}/duplicates/groups"))
 
@@ -124,8 +124,7 @@ def build_manifest(spark: SparkSession, audit_root: str, out: str, series_csv: s
     windows = manifest.neighbour_windows(slices, series.KEY, "relative_path", max_windows, offsets, plane="derived_plane")
     meta = None
     if series_csv:
-        raw = tables.read_series(spark, series_csv)
-        meta = raw.groupBy(F.col("SeriesInstanceUID").alias("series_uid")).agg(F.last("Anatomical_Plane").alias("plane"), F.last("Fluid_Sensitive").alias("fluid_sensitive"))
+        meta = tables.read_series(spark, series_csv).select(F.col("SeriesInstanceUID").alias("series_uid"), F.col("Anatomical_Plane").alias("plane"), F.col("Fluid_Sensitive").alias("fluid_sensitive"))
     labelled = None
     if labels_csv:
         labelled = manifest.label_arrays(tables.read_labels(spark, labels_csv).withColumnRenamed("StudyInstanceUID", "study_uid"), "study_uid", LABELS)

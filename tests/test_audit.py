@@ -113,7 +113,7 @@ def test_duplicates(spark):
     rows = [("S1", "A", "o1", "p1", 0.0, 1.0, "ok"), ("S1", "A", "o2", "p2", 1.0, 2.0, "ok"), ("S1", "A", "o3", "p3", 2.0, 3.0, "ok"), ("S2", "B", "o4", "p4", 0.0, 1.0, "ok"), ("S2", "B", "o5", "p5", 1.0, 2.0, "ok"), ("S2", "B", "o6", "p6", 2.0, 3.0, "ok"), ("S3", "C", "o1", "p7", 0.0, 1.0, "ok")]
     hashes = [("p1", "x"), ("p2", "y"), ("p3", "z"), ("p4", "x"), ("p5", "y"), ("p6", "z"), ("p7", "q")]
     pixels = spark.createDataFrame([(p, h, "ok") for p, h in hashes], "relative_path string, pixel_sha256 string, status string")
-    groups, edges = duplicates.find_duplicates(spark.createDataFrame(rows, head), pixels)
+    groups, members, edges = duplicates.find_duplicates(spark.createDataFrame(rows, head), pixels)
     assert {r["level"]: r["groups"] for r in duplicates.level_counts(groups).collect()} == {"sop": 1, "pixel": 3, "series_signature": 1}
     assert {tuple(r) for r in edges.collect()} == {("S1", "S2"), ("S1", "S3")}
 
