@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scratch
+from ..functions.joins import heavy_keys, spread_join
 from ..functions.scratch import discard, scratch_root
 from ..operators.graph import components
 
@@ -70,4 +71,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return components(edges.where("a <> b"), "a", "b")
 
 
-__all__ = ["bound_batches", "connected_components", "discard", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "table"]
+__all__ = ["bound_batches", "connected_components", "discard", "heavy_keys", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "spread_join", "table"]

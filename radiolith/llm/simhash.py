@@ -9,9 +9,11 @@ no pair within the threshold is missed.  Equal fingerprints are one class from t
 many at home are dealt over a grid of parts, and parts give a spanning set of links, never all pairs.
 
 Copies by similarity (``one_of_each_similar``) may differ in far more bits than anchors can cover.  Sets of shingles
-with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 shingles of each under any order of the shingles, so
-those are the keys that candidates meet at.  There a wide SimHash settles who is worth
-comparing, and the sets themselves who is similar.  Common shingles come last in the order, so that few documents meet at them.
+with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 shingles of each under any order of the shingles, and in an
+order by hash the first k of two sets share none with a probability of (1 - t)^k only, so the first few are the keys that
+candidates meet at (``MISSED`` bounds that probability).  There a wide SimHash settles who is worth
+comparing, and the sets themselves who is similar.  Common shingles come last in the order, so that few documents meet at them; what they take
+from the similarity of the others is allowed for in k.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, materialize, release_memory
+from .common import connected_components, discard, heavy_keys, materialize, release_memory, spread_join
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -34,13 +36,18 @@ SHINGLE = 3
 SIMILARITY = 0.8
 SIMILAR_SHINGLE = 5
 #: 64-bit words of the wide fingerprint that candidates are compared by; bits that a pair at the similarity may differ in
-#: (77 are expected with a deviation of 8, so 128 is over 6 deviations), and that a likely pair differs in.
+#: (78 are expected with a deviation of 8, so 116 is nearly 5 deviations).
 WIDE_WORDS = 8
-WIDE = 128
-LIKELY = 72
+WIDE = 116
+#: Probability with which a pair at the similarity may share no key, and the share of common shingles in a set from which on its
+#: common ones are keys too.
+MISSED = 1e-6
+MOSTLY = 0.7
 #: Keys with at most so many members have all their pairs compared at once; most members in a part of the others.
-FEW = 64
-KEY_PART = 2048
+FEW = 8
+KEY_PART = 1024
+#: Shingles in a part, so that a part of long documents has fewer of them.
+PART_SHINGLES = 1 << 20
 #: Of one in so many documents, shingles that so many hold are common: they come last in the order of the keys; most of them.
 COMMON_SAMPLE = 64
 COMMON_LEAST = 32
@@ -201,10 +208,11 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD, shingle: int =
     rows give repeated results, other columns are not read, an empty table gives an empty result.
     """
     fps = materialize(fingerprints(docs, shingle), "fingerprints")
-    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc")).where("doc is not null"), "classes")
+    classes = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows")).where("doc is not null"), "classes")
     components = connected_components(near_links(classes, threshold, home_part))
     settled = classes.join(components, classes["doc"] == components["node"], "left").select("fp", F.coalesce("component", "doc").alias("component_id"))
-    return fps.join(settled, "fp", "left").select("doc_id", "fp", "component_id")
+    heavy = heavy_keys(classes.select("fp", "rows"), "rows", fps.count())  # zero, and large groups of copies
+    return spread_join(fps, settled, ["fp"], heavy, F.xxhash64("doc_id")).select("doc_id", "fp", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, threshold: int = THRESHOLD, shingle: int = SHINGLE) -> DataFrame:
@@ -253,7 +261,7 @@ def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
 
 
 def _keys(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """``key`` and ``node``: of every set the first shingles, of which a similar set has one among its own first."""
+    """``key``, ``node`` and ``n``: of every set the first shingles, of which a similar set has one among its own first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,14 +270,12 @@ def _keys(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
             rare = ~np.isin(values, common) if len(common) else np.ones(len(values), dtype=bool)
             keys, lengths = [], []
             for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                first = _first(b - a, similarity)
-                own, plain = values[a:b], rare[a:b]
-                keys.append(np.concatenate((own[plain], own[~plain]))[:first] if not plain[:first].all() else own[:first])
+                keys.append(_first_keys(values[a:b], rare[a:b], similarity))
                 lengths.append(len(keys[-1]))
             if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(nodes, lengths), pa.int64())], ["key", "node"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(nodes, lengths), pa.int64()), pa.array(np.repeat(np.diff(ends), lengths), pa.int32())], ["key", "node", "n"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long")
+    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int")
 
 
 def _first(n: int, similarity: float) -> int:
@@ -277,88 +283,146 @@ def _first(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1 if n else 0
 
 
-def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
+def _enough(similarity: float) -> int:
+    """How many first shingles by hash two sets of that similarity need to share one but for ``MISSED``."""
+    return math.ceil(math.log(MISSED) / math.log1p(-min(similarity, 1 - 1e-9)))
 
 
-def _tree(node: np.ndarray, wide: np.ndarray) -> list[tuple[int, int]]:
-    """Likely pairs of a part that span whom they reach."""
-    out, left = [], np.ones(len(node), dtype=bool)
-    for root in range(len(node)):
-        if not left[root]:
-            continue
-        left[root], queue = False, [root]
-        while queue:
-            at = queue.pop()
-            rest = np.flatnonzero(left)
-            hit = rest[_bits(wide[rest], wide[at]) <= LIKELY]
-            left[hit] = False
-            queue += hit.tolist()
-            out += [(int(node[at]), x) for x in node[hit].tolist()]
-    return out
+def _first_keys(own: np.ndarray, rare: np.ndarray, similarity: float) -> np.ndarray:
+    """The keys of a set, sorted by hash: rare shingles first, then common ones, as many as a similar set can't but share one of."""
+    n = len(own)
+    first = _first(n, similarity)
+    common = 1.0 - np.count_nonzero(rare) / n if n else 0.0
+    if common == 0:
+        return own[: min(first, _enough(similarity))]
+    ordered = np.concatenate((own[rare], own[~rare]))
+    if common < MOSTLY:
+        # The others have this similarity at least, if the common ones are all shared.
+        left = (similarity - common - 0.02) / (1.0 - common - 0.02)
+        return ordered[: min(first, _enough(left))]
+    # Either the rare shingles or the common ones have the similarity by themselves.
+    some = _enough(similarity)
+    return ordered[:first] if first <= 2 * some else np.concatenate((own[rare][:some], own[~rare][:some]))
 
 
-def _across(node: np.ndarray, wide: np.ndarray, n: np.ndarray, group: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """All pairs of a part worth comparing that are of different groups."""
-    names, of, sizes = np.unique(group, return_inverse=True, return_counts=True)
-    out, largest = [], int(sizes.argmax())
-    for at in np.flatnonzero(of != largest).tolist():
-        other = np.flatnonzero((of != of[at]) & ((of == largest) | (np.arange(len(of)) > at)) & (np.minimum(n, n[at]) >= similarity * np.maximum(n, n[at]) - 1e-9))
-        hit = other[_bits(wide[other], wide[at]) <= WIDE]
-        out += [(int(node[at]), x) for x in node[hit].tolist()]
-    return out
+def _bits(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int32)
 
 
-def _meet(batches: Iterator[pa.RecordBatch], similarity: float, few_members: int, spanning: bool) -> Iterator[pa.RecordBatch]:
-    """Candidates among rows that come ordered by key and part.  A last part that the next batch may go on with waits for it."""
+def _pairs_of_few(batches: Iterator[pa.RecordBatch], similarity: float, few: int) -> Iterator[pa.RecordBatch]:
+    """Pairs worth comparing among rows that come ordered by key, of keys with at most ``few`` members."""
     held = None
 
-    def pairs_of(cols, ends):
-        key, part, m, node, n, group, wide = cols
-        edges = []
-        few = m <= few_members
-        for step in range(1, few_members):
-            same = few[:-step] & (key[:-step] == key[step:]) if len(key) > step else np.zeros(0, dtype=bool)
-            a = np.flatnonzero(same)
+    def pairs_of(cols):
+        key, node, n, wide = cols
+        found = []
+        for step in range(1, min(few, len(key))):
+            a = np.flatnonzero(key[:-step] == key[step:])
             if not len(a):
                 break
             b = a + step
-            a, b = (x[np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9] for x in (a, b))
+            near = np.minimum(n[a], n[b]) >= similarity * np.maximum(n[a], n[b]) - 1e-9
+            a, b = a[near], b[near]
             ok = _bits(wide[a], wide[b]) <= WIDE
-            edges += zip(node[a[ok]].tolist(), node[b[ok]].tolist())
-        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-            if m[a] > few_members:
-                edges += _tree(node[a:b], wide[a:b]) if spanning else _across(node[a:b], wide[a:b], n[a:b], group[a:b], similarity)
-        edges = list({(min(e), max(e)) for e in edges})
-        return pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+            found.append(np.stack([node[a[ok]], node[b[ok]]], axis=1))
+        edges = np.unique(np.sort(np.concatenate(found), axis=1), axis=0) if found else np.empty((0, 2), dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
     for batch in batches:
-        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(6)]
-        cols.append(np.frombuffer(b"".join(batch.column(6).to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS))
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(3)]
+        cols.append(np.frombuffer(b"".join(batch.column(3).to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS))
         if held is not None:
             cols = [np.concatenate(x) for x in zip(held, cols)]
-        if not len(cols[0]):
-            continue
-        new = np.flatnonzero((cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])) + 1
-        starts = np.concatenate(([0], new))
-        held = [x[starts[-1] :] for x in cols]
-        if len(new):
-            yield pairs_of([x[: starts[-1]] for x in cols], starts)
+        if len(cols[0]):
+            last = int(np.searchsorted(cols[0], cols[0][-1]))  # the last key may go on in the next batch
+            held = [x[last:] for x in cols]
+            if last:
+                yield pairs_of([x[:last] for x in cols])
     if held is not None:
-        yield pairs_of(held, np.array([0, len(held[0])]))
+        yield pairs_of(held)
+    release_memory()
+
+
+def shared_counts(sets: list[np.ndarray], block: int = 4096) -> np.ndarray:
+    """How many shingles every two sets share: those in few sets by their pairs, the others by products of 0/1 matrices."""
+    m = len(sets)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    values = np.concatenate(sets) if m else np.zeros(0, dtype=np.int64)
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    head = np.flatnonzero(np.append(True, values[1:] != values[:-1])) if len(values) else np.zeros(0, dtype=np.int64)
+    counts = np.diff(np.append(head, len(values)))
+    out = np.zeros(m * m, dtype=np.float32)
+    for c in range(2, 9):
+        at = head[counts == c]
+        for i in range(c):
+            for j in range(i + 1, c):
+                out += np.bincount(owner[at + i] * m + owner[at + j], minlength=m * m) if len(at) else 0
+    out = out.reshape(m, m)
+    out += out.T
+    many = np.flatnonzero(counts > 8)
+    for a in range(0, len(many), block):
+        chosen = many[a : a + block]
+        x = np.zeros((m, len(chosen)), dtype=np.float32)
+        sizes = counts[chosen]
+        column = np.repeat(np.arange(len(chosen)), sizes)
+        place = np.repeat(head[chosen] - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+        x[owner[place], column] = 1.0
+        out += x @ x.T
+    return out
+
+
+def spanning_links(node: np.ndarray, sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Links that connect what the similar pairs among the sets connect."""
+    n = np.array([len(x) for x in sets], dtype=np.float32)
+    both = shared_counts(sets)
+    similar = both >= np.float32(similarity - 1e-6) * (n[:, None] + n[None, :] - both)
+    out, left = [], np.ones(len(node), dtype=bool)
+    for root in range(len(node)):
+        if not left[root]:
+            continue
+        left[root], frontier = False, np.array([root])
+        while len(frontier):
+            frontier = np.flatnonzero(similar[frontier].any(axis=0) & left)
+            left[frontier] = False
+            out += [(int(node[root]), x) for x in node[frontier].tolist()]
+    return out
+
+
+def _links_of_many(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of keys with many members; rows (key, cell, node, shingles) come ordered by key, cell and node."""
+    at, node, sets = None, [], []
+
+    def links():
+        edges = spanning_links(np.array(node, dtype=np.int64), sets, similarity) if len(node) > 1 else []
+        node.clear()
+        sets.clear()
+        if edges:
+            yield pa.RecordBatch.from_arrays([pa.array([e[0] for e in edges], pa.int64()), pa.array([e[1] for e in edges], pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        values = batch.column(3).flatten().to_numpy(zero_copy_only=False)
+        ends = np.cumsum([0, *batch.column(3).value_lengths().to_pylist()])
+        for i, (key, cell, name) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(3)))):
+            if (key, cell) != at:
+                yield from links()
+                at = (key, cell)
+            node.append(name)
+            sets.append(values[ends[i] : ends[i + 1]].copy())
+    yield from links()
     release_memory()
 
 
-def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _similar(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     """The pairs ``a``, ``b`` whose sets have the similarity."""
     pairs = materialize(pairs.where("a <> b").distinct(), "candidates")
-    named = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    own = materialize(sets.select("node", "shingles").join(named, "node", "left_semi").dropDuplicates(["node"]), "compared")
     left = own.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = own.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    links = materialize(pairs.join(left, "a").join(right, "b").where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"), "similar")
-    discard(own)
+    # The root of a tree is an end of very many pairs.
+    heavy = heavy_keys(pairs.groupBy("a").agg(F.count("*").alias("k")), "k", pairs.count())
+    met = spread_join(pairs.join(right, "b"), left, ["a"], heavy, F.xxhash64("b"), "inner")
+    links = materialize(met.where(both >= F.lit(similarity - 1e-9) * (F.size("x") + F.size("y") - both)).select("a", "b"), "similar")
     discard(pairs)
     return links
 
@@ -366,37 +430,33 @@ def _similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def similar_links(sets: DataFrame, similarity: float = SIMILARITY, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
     """Links ``a``, ``b`` between the nodes of ``shingle_sets`` that connect whatever pairs of at least the similarity connect.
 
-    Keys that few meet at give all their pairs.  Of a crowded key first a tree of likely pairs is compared, and then every
-    pair that the similar ones among those leave in different groups.
+    Keys that few meet at give all their pairs, which are compared once each.  Of a key that many meet at the members are dealt into
+    parts, every two parts meet in a cell, and a cell gives a spanning set of its similar pairs, never the pairs.
     """
     sampled = sets.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
     common = np.array([r[0] for r in sampled.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()], dtype=np.int64)
     keys = materialize(_keys(sets, common, similarity).distinct(), "keys")
-    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared-keys")
-    marks = sets.select("node", "n", "wide").dropDuplicates(["node"])
-    met = materialize(keys.join(shared, "key").join(marks, "node"), "met")
+    shared = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1"), "shared-keys")
+    heavy = heavy_keys(shared.select("key", "m"), "m", keys.count())
+    met = materialize(spread_join(keys, shared, ["key"], heavy, F.xxhash64("node"), "inner"), "met")
     discard(keys)
     discard(shared)
-
-    def candidates(rows: DataFrame, spanning: bool) -> DataFrame:
-        # The members of a crowded key are dealt into parts, and every two parts meet in a cell.
-        parts = F.ceil(F.col("m") / key_part).cast("int")
-        own = F.pmod(F.xxhash64("node"), parts).cast("int")
-        cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda j: F.least(own, j) * parts + F.greatest(own, j))
-        dealt = rows.withColumn("part", F.explode(F.when(F.col("m") > key_part, cells).otherwise(F.array(F.lit(0)))))
-        dealt = dealt.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "m", "node", "n", "group", "wide")
-        return dealt.mapInArrow(partial(_meet, similarity=similarity, few_members=few, spanning=spanning), "a long, b long")
-
-    first = _similar(candidates(met.withColumn("group", F.col("node")), True), sets, similarity)
-    crowded = met.where(F.col("m") > few)
-    if crowded.isEmpty():
-        links = first
-    else:
-        groups = connected_components(first).withColumnRenamed("component", "group")
-        rest = crowded.join(groups, "node", "left").withColumn("group", F.coalesce("group", "node"))
-        links = first.unionByName(_similar(candidates(rest, False), sets, similarity))
+    own = sets.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "wide", "shingles")
+    own = materialize(own, "compared")
+    pairs = met.where(F.col("m") <= few).select("key", "node", "n").join(own.select("node", "wide"), "node").repartition("key").sortWithinPartitions("key", "node")
+    pairs = pairs.select("key", "node", "n", "wide").mapInArrow(partial(_pairs_of_few, similarity=similarity, few=few), "a long, b long")
+    links = _similar(pairs, own, similarity)
+
+    parts = F.ceil(F.greatest(F.col("m") / key_part, F.col("shingles") / PART_SHINGLES)).cast("int")
+    mine = F.pmod(F.xxhash64("node"), parts).cast("int")
+    cells = F.transform(F.filter(F.sequence(F.lit(0), parts - 1), lambda j: j != mine), lambda j: F.least(mine, j).cast("long") * parts + F.greatest(mine, j))
+    many = met.where(F.col("m") > few).withColumn("cell", F.explode(F.when(parts > 1, cells).otherwise(F.array(F.lit(0).cast("long")))))
+    many = many.select("key", "cell", "node").join(own.select("node", "shingles"), "node").select("key", "cell", "node", "shingles")
+    many = many.repartition("key", "cell").sortWithinPartitions("key", "cell", "node").mapInArrow(partial(_links_of_many, similarity=similarity), "a long, b long")
+    many = materialize(many, "links-of-many")
     discard(met)
-    return links
+    discard(own)
+    return links.unionByName(many)
 
 
 def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:

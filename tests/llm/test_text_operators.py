@@ -176,7 +176,7 @@ def brute_force_similar(rows, similarity=0.8, shingle=5):
     return components_of(sorted(sets), lambda a, b: sets[a] == sets[b] or len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) > 0)
 
 
-@pytest.mark.parametrize("key_part, few, sample", [(2048, 64, 64), (5, 3, 1)])
+@pytest.mark.parametrize("key_part, few, sample", [(1024, 8, 64), (5, 1, 1), (1024, 64, 64), (7, 3, 1)])
 def test_similar_documents_go(spark, monkeypatch, key_part, few, sample):
     monkeypatch.setattr(simhash, "COMMON_SAMPLE", sample)
     monkeypatch.setattr(simhash, "COMMON_LEAST", 20)
