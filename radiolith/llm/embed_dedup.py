@@ -5,6 +5,9 @@ coordinate with its sign, one of 2 d values.  A table's bucket is ``hashes`` of
 Vectors live in their own bucket and also visit the next likeliest ones (multiprobe).  Whoever lives in a bucket is
 compared with all that live there or visit, in double precision.
 
+Only bucket, name and a sketch of signs (``SKETCH`` bits of the first rotations) travel to the buckets.  There sketches tell who can be
+near anyone at all, with a margin of ``MARGIN`` deviations, and only those have their vectors fetched, once for each part of a bucket.
+
 Equal vectors are one class with a weight and never expanded.  A pair met in several tables counts in the first, which
 both sides' codes tell, so link counts need no list of pairs; parts of buckets give counts and spanning links only.
 """
@@ -21,14 +24,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import connected_components, discard, materialize
+from .common import connected_components, discard, heavy_keys, materialize, spread_join
 from .vectors import matrix, takes_part
 
 SIMILARITY = 0.98
 TABLES = 5
 PROBES = 3
 #: Most vectors that live in one part of a bucket.
-HOME_PART = 256
+HOME_PART = 1024
+#: Most bits of a sketch, and by how many deviations more bits than expected a pair at the similarity may differ.
+SKETCH = 256
+MARGIN = 8.0
 SEED = 20_260
 
 
@@ -45,6 +51,11 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SEED) -> np.ndarray:
     """Bucket codes of the rows of ``x``: (rows, tables, 1 + probes), the own bucket first, then by likelihood."""
+    return codes_and_sketches(x, tables, hashes, probes, seed)[0]
+
+
+def codes_and_sketches(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket codes, and the signs of the first rotations' coordinates as whole 64-bit words."""
     n, d = x.shape
     width = 1 << max(1, (d - 1).bit_length())
     unit = np.zeros((n, width))
@@ -52,6 +63,7 @@ def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = S
     out = np.empty((n, tables, 1 + probes), dtype=np.int64)
     top = min(3, width)
     rows = np.arange(n)[:, None]
+    signs: list[np.ndarray] = []
     for t in range(tables):
         rng = np.random.default_rng([seed, t, width])
         code, cost = np.zeros((n, 1), dtype=np.int64), np.zeros((n, 1))
@@ -59,6 +71,8 @@ def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = S
             y = unit
             for _ in range(3):
                 y = hadamard(y * rng.choice((-1.0, 1.0), width))
+            if len(signs) * width < SKETCH:
+                signs.append(y < 0)
             size = np.abs(y)
             best = np.argpartition(-size, top - 1, axis=1)[:, :top]
             best = np.take_along_axis(best, np.argsort(-np.take_along_axis(size, best, 1), axis=1, kind="stable"), 1)
@@ -68,10 +82,23 @@ def codes_of(x: np.ndarray, tables: int, hashes: int, probes: int, seed: int = S
             cost = (cost[:, :, None] + loss[:, None, :]).reshape(n, -1)
         order = np.argsort(cost, axis=1, kind="stable")[:, : 1 + probes]
         out[:, t] = np.take_along_axis(code, order, 1)
-    return out
+    packed = np.packbits(np.concatenate(signs, axis=1), axis=1)[:, : SKETCH // 8]
+    whole = np.zeros((n, -(-packed.shape[1] // 8) * 8), dtype=np.uint8)
+    whole[:, : packed.shape[1]] = packed
+    return out, whole.view("<u8")
+
+
+def most_bits(similarity: float, dim: int, tables: int, hashes: int) -> int:
+    """How many bits the sketches of two vectors of the similarity can differ in; all, where coordinates are too few to go by."""
+    width = 1 << max(1, (dim - 1).bit_length())
+    bits = min(SKETCH, width * tables * hashes)
+    if width < 16:
+        return bits
+    p = math.acos(max(-1.0, min(1.0, similarity))) / math.pi
+    return min(bits, math.ceil(bits * p + MARGIN * math.sqrt(bits * p * (1 - p))) + 1)
 
 
-_ROW = "label long, dim int, tab int, bucket long, home boolean, rep long, weight long, codes binary, vector binary"
+_THIN = "label long, dim int, tab int, bucket long, home boolean, rep long, sketch binary"
 
 
 def _code_type(dim: int, hashes: int) -> type:
@@ -79,19 +106,84 @@ def _code_type(dim: int, hashes: int) -> type:
     return np.int32 if (2 << max(1, (dim - 1).bit_length())) ** hashes <= 1 << 31 else np.int64
 
 
-def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int, kind: str) -> Iterator[pa.RecordBatch]:
+def _spread(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         dims = batch.column(1).to_numpy(zero_copy_only=False)
         for dim in np.unique(dims).tolist():
             own = batch.filter(pa.array(dims == dim))
-            x = matrix(own.column(4))
-            codes = codes_of(x, tables, hashes, probes)
-            narrow = codes.astype(_code_type(dim, hashes))
-            blobs, vectors = pa.array([c.tobytes() for c in narrow], pa.binary()), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())
+            n = len(own)
+            codes, sketches = codes_and_sketches(matrix(own.column(3)), tables, hashes, probes)
+            blobs = pa.array([x.tobytes() for x in sketches], pa.binary())
             for t in range(tables):
                 for p in range(1 + probes):
-                    n = len(own)
-                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(n, t), pa.int32()), pa.array(codes[:, t, p]), pa.array(np.full(n, p == 0)), own.column(2), own.column(3), blobs, vectors], ["label", "dim", "tab", "bucket", "home", "rep", "weight", "codes", "vector"])
+                    yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array(np.full(n, t), pa.int32()), pa.array(codes[:, t, p]), pa.array(np.full(n, p == 0)), own.column(2), blobs], ["label", "dim", "tab", "bucket", "home", "rep", "sketch"])
+
+
+def _coded(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, probes: int, kind: str) -> Iterator[pa.RecordBatch]:
+    """Of classes (rep, weight, embedding) the codes and vectors as bytes."""
+    for batch in batches:
+        lengths = batch.column(2).value_lengths().to_numpy(zero_copy_only=False)
+        for dim in np.unique(lengths).tolist():
+            own = batch.filter(pa.array(lengths == dim))
+            x = matrix(own.column(2))
+            codes = codes_of(x, tables, hashes, probes).astype(_code_type(dim, hashes))
+            yield pa.RecordBatch.from_arrays([own.column(0), own.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([v.tobytes() for v in x.astype(kind)], pa.binary())], ["rep", "weight", "codes", "vector"])
+
+
+def _groups(batch: pa.RecordBatch, keys: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Key columns of a sorted batch, and where its groups begin and end."""
+    cols = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(keys)]
+    new = np.zeros(len(batch), dtype=bool)
+    new[:1] = True
+    for k in cols:
+        new[1:] |= k[1:] != k[:-1]
+    first = np.flatnonzero(new)
+    return cols, first, np.append(first[1:], len(batch))
+
+
+_MARKED = "label long, dim int, tab int, bucket long, hp int, rp int, home boolean, lives boolean, rep long"
+
+
+def _mark(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """Who can be near anyone in a part, by sketches.  Rows are ordered by part, those that live there first; guests stream by in blocks.
+    A host is marked again with each batch that has a guest near it; repeats are dropped afterwards."""
+    part, hosts = None, []
+    for batch in batches:
+        keys, first, last = _groups(batch, 6)
+        home = batch.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        rep = batch.column("rep").to_numpy(zero_copy_only=False).astype(np.int64)
+        n_host = np.add.reduceat(home.astype(np.int64), first) if len(first) else first
+        edge = (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1)
+        words = [np.frombuffer(x, dtype="<u8") for x in batch.column("sketch").to_pylist()]
+        marked, again = np.zeros(len(batch), dtype=bool), []
+        for g in np.flatnonzero(edge | ((n_host > 0) & (last - first > n_host))).tolist():
+            a, b, h = int(first[g]), int(last[g]), int(n_host[g])
+            key = tuple(int(k[a]) for k in keys)
+            if key != part:
+                part, hosts = key, []
+            if h:
+                hosts.append((rep[a : a + h], np.stack(words[a : a + h]), a))
+            if not hosts or b - a == h:
+                continue
+            most = most_bits(similarity, key[1], tables, hashes)
+            guests = np.stack(words[a + h : b])
+            for host_rep, host_words, at in hosts:
+                for c in range(0, len(guests), 2048):
+                    bits = np.bitwise_count(host_words[:, None] ^ guests[None, c : c + 2048]).sum(axis=2, dtype=np.int32)
+                    near = (bits <= most) & (host_rep[:, None] != rep[None, a + h + c : a + h + c + bits.shape[1]])
+                    marked[a + h + c : a + h + c + bits.shape[1]] |= near.any(axis=0)
+                    seen = near.any(axis=1)
+                    if at is not None:
+                        marked[at : at + len(seen)] |= seen
+                    elif seen.any():
+                        again.append((key, host_rep[seen]))
+        hosts = [(r, w, None) for r, w, _ in hosts]  # the next batch can't mark rows of this one
+        if marked.any():
+            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(9)], batch.schema.names[:9]).filter(pa.array(marked))
+        for key, reps in again:
+            n = len(reps)
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.full(n, k), t) for k, t in zip(key, kinds)), pa.array(np.ones(n, dtype=bool)), pa.array(np.ones(n, dtype=bool)), pa.array(reps)], batch.schema.names[:9])
 
 
 class _Side:
@@ -164,14 +256,8 @@ def _compare(batches: Iterator[pa.RecordBatch], tables: int, hashes: int, simila
     """Rows ordered by part, those that live there (hosts) first; guests stream by in blocks."""
     part, hosts = None, []
     for batch in batches:
-        keys = [batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+        keys, first, last = _groups(batch, 6)
         host = batch.column("home").to_numpy(zero_copy_only=False).astype(bool)
-        new = np.zeros(len(batch), dtype=bool)
-        new[:1] = True
-        for k in keys:
-            new[1:] |= k[1:] != k[:-1]
-        first = np.flatnonzero(new)
-        last = np.append(first[1:], len(batch))
         n_host = np.add.reduceat(host.astype(np.int64), first) if len(first) else first
         n_guest = (last - first) - n_host
         edge = (np.arange(len(first)) == 0) | (np.arange(len(first)) == len(first) - 1)
@@ -205,32 +291,50 @@ def near_duplicates(vectors: DataFrame, similarity: float = SIMILARITY, tables:
     nothing and are their own component.  Rows that repeat a vector are links of each other.  Other columns are not read.
     ``hashes`` per table grow with the rows (2 up to 2 million) so that buckets stay small, and tables with them.
     """
+    pair = [F.xxhash64("embedding").alias("_rl_h1"), F.xxhash64(F.lit(1), "embedding").alias("_rl_h2")]
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("label").cast("long").alias("label"), takes_part().alias("_rl_on"))
     on = rows.where("_rl_on and label is not null and vec_id is not null")
     classes = materialize(on.groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "classes")
+    total = rows.count()
     if hashes is None:
         n = classes.count()
         hashes = 2 + max(0, math.ceil(math.log(max(n, 1) / 2e6) / math.log(128)))
         tables += 2 * (hashes - 2)
     kind = "f4" if isinstance(vectors.schema["embedding"].dataType.elementType, T.FloatType) else "f8"  # as exact as they came
-    spread = materialize(classes.select("label", F.size("embedding").alias("dim"), "rep", "weight", "embedding").mapInArrow(partial(_spread, tables=tables, hashes=hashes, probes=probes, kind=kind), _ROW), "buckets")
+    setting = dict(tables=tables, hashes=hashes)
+    spread = materialize(classes.select("label", F.size("embedding").alias("dim"), "rep", "embedding").mapInArrow(partial(_spread, probes=probes, **setting), _THIN), "buckets")
     key = ["label", "dim", "tab", "bucket"]
-    sized = spread.where("home").groupBy(key).agg(F.count("*").alias("n"))
-    crowded = sized.where(F.col("n") > home_part).select(*key, F.ceil(F.col("n") / home_part).cast("int").alias("parts"))
-    crowded = materialize(crowded, "crowded")  # as a written table its size is known: the planner broadcasts it only if it is small
-    dealt = spread.join(crowded, key, "left").withColumn("lives", F.col("home"))
-    own = F.coalesce(F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"), F.lit(0))
-    others = F.coalesce(F.expr("sequence(0, parts - 1)"), F.array(F.lit(0)))
+    # A bucket with one class has no pair; of the others the home rows decide on parts.
+    sized = spread.groupBy(key).agg(F.count_if("home").alias("n"), F.count("*").alias("all")).where("n > 0 and all > 1")
+    sized = materialize(sized.withColumn("parts", F.ceil(F.col("n") / home_part).cast("int")), "sized")
+    heavy = heavy_keys(sized.select(*key, "all"), "all", spread.count())
+    dealt = spread_join(spread, sized.select(*key, "parts"), key, heavy, F.xxhash64("rep"), "inner").withColumn("lives", F.col("home"))
+    own = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
+    others = F.expr("sequence(0, parts - 1)")
     hosts = dealt.where("home").withColumn("hp", own).withColumn("rp", F.explode(others))
     guests = dealt.withColumn("home", F.lit(False)).withColumn("hp", F.explode(others)).withColumn("rp", own)
-    grid = hosts.unionByName(guests).select(*key, "hp", "rp", "home", "lives", "rep", "weight", "codes", "vector")
-    keyed = grid.repartition(*key, "hp", "rp").sortWithinPartitions(*key, "hp", "rp", F.desc("home"))
-    found = materialize(keyed.mapInArrow(partial(_compare, tables=tables, hashes=hashes, similarity=similarity, kind=kind), "a long, b long, n long"), "found")
+    cell = [*key, "hp", "rp"]
+    grid = hosts.unionByName(guests).select(*cell, "home", "lives", "rep", "sketch").repartition(*cell).sortWithinPartitions(*cell, F.desc("home"))
+    marked = grid.mapInArrow(partial(_mark, similarity=similarity, **setting), _MARKED)
+    marked = materialize(marked.distinct(), "marked")
     discard(spread)
+    discard(sized)
+    wanted = classes.join(marked.select("rep").distinct(), "rep", "left_semi").select("rep", "weight", "embedding")
+    coded = materialize(wanted.mapInArrow(partial(_coded, probes=probes, kind=kind, **setting), "rep long, weight long, codes binary, vector binary"), "coded")
+    near = marked.join(coded, "rep").select(*cell, "home", "lives", "rep", "weight", "codes", "vector")
+    keyed = near.repartition(*cell).sortWithinPartitions(*cell, F.desc("home"))
+    found = materialize(keyed.mapInArrow(partial(_compare, similarity=similarity, kind=kind, **setting), "a long, b long, n long"), "found")
+    discard(marked)
+    discard(coded)
     components = connected_components(found.where("b is not null").select("a", "b"))
     linked = found.where("b is null").groupBy("a").agg(F.sum("n").alias("more"))
     settled = classes.join(linked, F.col("rep") == F.col("a"), "left").join(components, F.col("rep") == F.col("node"), "left")
-    settled = settled.select(F.col("label").alias("_rl_label"), F.col("embedding").alias("_rl_vector"), (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    whole = rows.join(settled, rows["_rl_on"] & (F.col("label") == F.col("_rl_label")) & (F.col("embedding") == F.col("_rl_vector")) & F.col("vec_id").isNotNull(), "left")
+    # 128 bits of hash name a vector here, so that rows need not carry theirs; two vectors that share them would share a result.
+    settled = settled.select(F.col("label").alias("_rl_label"), *pair, "weight", (F.col("weight") - 1 + F.coalesce("more", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    settled = materialize(settled.where("weight > 1 or n_links > 0"), "settled")
+    name = ["_rl_label", "_rl_h1", "_rl_h2"]
+    many = heavy_keys(settled.select(*name, "weight"), "weight", total)
+    named = rows.select("vec_id", F.when(F.col("_rl_on") & F.col("vec_id").isNotNull(), F.col("label")).alias("_rl_label"), *pair)
+    whole = spread_join(named, settled.drop("weight"), name, many, F.xxhash64("vec_id"))
     out = whole.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.col("vec_id") == F.col("component_id"))

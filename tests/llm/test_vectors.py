@@ -26,8 +26,8 @@ def usable(v):
     return v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v)
 
 
-@pytest.mark.parametrize("home_part", [256, 4])
-def test_links_equal_brute_force(spark, home_part):
+@pytest.mark.parametrize("home_part, hashes", [(1024, None), (4, 2), (1024, 3)])
+def test_links_equal_brute_force(spark, home_part, hashes):
     rows = vectors(1)
     links = {i: set() for i, _, _ in rows}
     for i, v, a in rows:
@@ -40,11 +40,41 @@ def test_links_equal_brute_force(spark, home_part):
     component = {i: i for i in links}
     for _ in links:
         component = {i: min([component[i], *(component[j] for j in links[i])]) for i in links}
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(table(spark, rows), home_part=home_part).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embed_dedup.near_duplicates(table(spark, rows), home_part=home_part, hashes=hashes, tables=5 if hashes != 3 else 7).collect()}
     assert got == {i: (len(links[i]), component[i], component[i] == i) for i in links}
     assert max(n for n, _, _ in got.values()) > 3
 
 
+@pytest.mark.parametrize("hashes, tables", [(2, 5), (3, 7)])
+def test_recall_at_the_threshold(hashes, tables):
+    """Pairs at a cosine of 0.98 exactly: they meet in some table, and their sketches let them pass."""
+    rng = np.random.default_rng(6)
+    for d in (64, 100):
+        u = rng.normal(size=(1500, d))
+        u /= np.linalg.norm(u, axis=1, keepdims=True)
+        w = rng.normal(size=u.shape)
+        w -= (w * u).sum(axis=1, keepdims=True) * u
+        v = 0.98 * u + np.sqrt(1 - 0.98**2) * w / np.linalg.norm(w, axis=1, keepdims=True)
+        a, s = embed_dedup.codes_and_sketches(u, tables, hashes, embed_dedup.PROBES)
+        b, t = embed_dedup.codes_and_sketches(v, tables, hashes, embed_dedup.PROBES)
+        assert embed_dedup._meet(a, b).any(axis=1).mean() >= 0.998
+        bits = np.bitwise_count(s ^ t).sum(axis=1)
+        assert (bits <= embed_dedup.most_bits(0.98, d, tables, hashes)).all() and embed_dedup.most_bits(0.98, d, tables, hashes) < 64
+
+
+def test_crowded_bucket_of_distinct_near_vectors(spark):
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=24)
+    x = (base + rng.normal(size=(2500, 24)) * 0.06).astype(np.float32)
+    unit = x.astype(np.float64)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & ~np.eye(len(x), dtype=bool)
+    got = {r["vec_id"]: r for r in embed_dedup.near_duplicates(table(spark, [(i, v.tolist(), 1) for i, v in enumerate(x)]), home_part=300).collect()}
+    links = np.array([got[i]["n_links"] for i in range(len(x))])
+    assert near.sum() > 1_000_000 and (links <= near.sum(axis=1)).all() and links.sum() >= 0.99 * near.sum()
+    assert all(got[i]["component_id"] == 0 for i in np.flatnonzero(near[0]).tolist())
+
+
 def test_rows_without_id_and_repeated_rows(spark):
     v = [1.0, 2.0, 3.0]
     got = embed_dedup.near_duplicates(table(spark, [(None, v, 1), (2, v, 1), (2, v, 1), (3, v, 1)])).collect()
