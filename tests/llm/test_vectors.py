@@ -122,11 +122,13 @@ def exact(rows, k):
     return out
 
 
-def test_nearest_rows(spark):
+@pytest.mark.parametrize("setting", [{}, {"cell_rows": 40, "first_rows": 90}])
+def test_nearest_rows(spark, setting):
     rows = vectors(4, 600)
+    rows += [(2000 + i, [100 * x for x in rows[i][1]], 1) for i in range(1, 8)] + [(3000 + i, [0.001 * x for x in rows[i][1]], 1) for i in range(20)]  # norms of other bands
     want = exact(rows, 20)
     got = {}
-    for r in ann.nearest(table(spark, rows + [rows[3]]), lambda c: c % 20 == 0).collect():
+    for r in ann.nearest(table(spark, rows + [rows[3]]), lambda c: c % 20 == 0, **setting).collect():
         got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
     assert set(got) == set(want)
     hits = sum(len({j for j, _ in want[q]} & {j for j, _ in got[q].values()}) for q in want)
@@ -137,6 +139,39 @@ def test_nearest_rows(spark):
         assert scores == sorted(scores, key=lambda x: (-x[1], x[0]))
 
 
+@pytest.mark.parametrize("clusters, most", [(40, 0.25), (0, 0.75)])
+def test_search_prunes(spark, clusters, most):
+    """Clustered vectors, and vectors without any structure: what is verified, and what is found."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(3000, 64))
+    if clusters:
+        x = rng.normal(size=(clusters, 64))[rng.integers(0, clusters, len(x))] + 0.25 * x
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = [(i, [float(np.float32(v)) for v in row], 0) for i, row in enumerate(x)]
+    setting = {"cell_rows": 100, "first_rows": 200}
+    frame = table(spark, rows).cache()
+    assert 0 < ann.share_verified(frame, lambda c: c % 20 == 0, **setting) < most
+    want, got = exact(rows, 20), {}
+    for r in ann.nearest(frame, lambda c: c % 20 == 0, **setting).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    assert sum(len({j for j, _ in want[q]} & got[q]) for q in want) >= 0.9 * 20 * len(want)
+
+
+def test_repeated_ids_have_a_stated_vector(spark):
+    rows = [(5, [0.0, 1.0], 0), (5, [1.0, 0.0], 0), (7, [2.0, 1.0], 0), (20, [1.0, 0.0], 0)]
+    for _ in range(2):
+        got = [(r["query_id"], r["vec_id"], r["score"]) for r in ann.nearest(table(spark, rows), lambda c: c == 20).orderBy("rank").collect()]
+        assert got == [(20, 7, 2.0), (20, 5, 0.0)]
+
+
+def test_cells_deal_all_points():
+    rng = np.random.default_rng(13)
+    points = np.concatenate([rng.normal(size=(500, 3)), np.ones((200, 3))])
+    tree = ann.CellTree(points, 20)
+    cell = tree.assign(points)
+    assert cell.min() == 0 and cell.max() == tree.leaves - 1 and len(set(cell[500:])) == 1 and np.bincount(cell[:500]).max() < 80
+
+
 def test_nearest_ties_and_few(spark):
     rows = [(i, [1.0, 1.0], 0) for i in range(30)]
     got = [(r["rank"], r["vec_id"]) for r in ann.nearest(table(spark, rows), lambda c: c == 5).orderBy("rank").collect()]
@@ -151,9 +186,9 @@ def test_block_search_recall():
     rng = np.random.default_rng(5)
     points, queries = rng.normal(size=(3000, 64)), rng.normal(size=(40, 64))
     top = float((points * points).sum(axis=1).max())
-    q, ids, s = ann.search(points, np.arange(3000), queries, np.full(40, -1), 20, top)
+    q, ids, s, verified = ann.search(points, np.arange(3000), queries, np.full(40, -1), 20, top)
     hits = 0
     for k in range(40):
         truth = np.argsort(-(points @ queries[k]), kind="stable")[:20]
         hits += len(set(truth) & set(ids[q == k]))
-    assert hits >= 0.9 * 800
+    assert hits >= 0.9 * 800 and 0 < verified < 0.8 * points.shape[0] * len(queries)
