@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import KEPT
+
 ARRAY_LIMIT = 32
 #: Pieces that are remembered, at about 220 bytes each.
 CACHE_LIMIT = 200_000
@@ -250,6 +252,7 @@ class ByteBPE:
 
 
 _LOADED: dict[str, ByteBPE] = {}
+KEPT.append(_LOADED)
 
 
 def load_bpe(path: str) -> ByteBPE:

@@ -29,8 +29,17 @@ def bound_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def release_memory() -> None:
-    """Give freed memory back to the system.  A Python worker lives on after its task, and would keep its peak beside the next one's."""
+#: Tables that operators keep in a Python worker from task to task.
+KEPT: list[dict] = []
+
+
+def release_memory(keep: dict | None = None) -> None:
+    """Forget what other operators keep in this Python worker and give freed memory back to the system.
+
+    A worker lives on after its task and serves the stages that follow, and would hold their predecessors' tables and peak beside its own."""
+    for kept in KEPT:
+        if kept is not keep:
+            kept.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -71,4 +80,4 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return components(edges.where("a <> b"), "a", "b")
 
 
-__all__ = ["bound_batches", "connected_components", "discard", "heavy_keys", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "spread_join", "table"]
+__all__ = ["KEPT", "bound_batches", "connected_components", "discard", "heavy_keys", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "spread_join", "table"]

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, release_memory, remainder_of_crc32
+from .common import KEPT, discard, materialize, release_memory, remainder_of_crc32
 
 LEXICON = 262_144
 VOCABULARY = 512
@@ -401,6 +401,7 @@ class _Coder:
 
 
 _READY: dict[int, _Coder] = {}
+KEPT.append(_READY)
 
 
 def _coder(shared) -> _Coder:
@@ -469,7 +470,7 @@ def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.nd
             yield held
 
     tokens = train(model, groups(), rate)
-    release_memory()
+    release_memory(_READY)
     if tokens:
         yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary())], ["tokens", "total"])
 
@@ -522,7 +523,7 @@ def _score_part(batches: Iterator[pa.RecordBatch], shared: _Shared, flat: np.nda
     if size:
         yield from rows(held)
     held.clear()
-    release_memory()
+    release_memory(_READY)
 
 
 def is_held_out(doc_id):

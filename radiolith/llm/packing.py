@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import load_bpe
+from .bpe import _LOADED, load_bpe
 from .common import materialize, release_memory
 
 CAPACITY = 1024
@@ -51,7 +51,7 @@ def _cut(batches: Iterator[pa.RecordBatch], vocabulary: str, capacity: int, end_
                 crc.append(zlib.crc32(ids[4 * at : 4 * (at + take)]))
                 at, number, take = at + take, number + 1, capacity
         yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())], ["doc_id", "piece", "start", "length", "ids_crc32"])
-    release_memory()
+    release_memory(_LOADED)
 
 
 def cut_documents(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

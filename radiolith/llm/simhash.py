@@ -243,39 +243,60 @@ def _mixed(hashes: np.ndarray, k: int) -> np.ndarray:
     return z ^ (z >> np.uint64(31))
 
 
+def _set_name(shingles: np.ndarray) -> int:
+    return int(np.uint64(xxhash.xxh64_intdigest(shingles.tobytes())).view(np.int64))
+
+
 def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
-    """``doc_id``, ``node`` (hash of the set), ``n``, ``wide`` (512-bit SimHash of the set) and ``shingles`` (the sorted set) of every row."""
+    """``node`` (hash of the set) and ``shingles`` (the least 32 bits of the hashes of a row's distinct shingles) of every row.
+
+    Two shingles of a pair of sets are taken for one with a probability of 2 to the -32.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(0)]
+            ends = np.cumsum([0, *map(len, sets)])
+            flat = np.concatenate(sets).astype(np.uint32).view(np.int32) if sets else np.zeros(0, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(list(map(_set_name, sets)), pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))], ["node", "shingles"])
+        release_memory()
+
+    return docs.select("text").mapInArrow(run, "node long, shingles array<int>")
+
+
+def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``node``, ``n`` (shingles in the set), ``wide`` (its 512-bit SimHash) and ``keys`` of every row; see ``_first_keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), shingle)) for t in batch.column(1)]
-            nodes = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-            wide = [b"".join(_majority(_mixed(x, k)).tobytes() for k in range(WIDE_WORDS)) for x in sets]
-            ends = np.cumsum([0, *(len(x) for x in sets)])
-            flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, dtype=np.int64)
+            nodes, sizes, wide, keys = [], [], [], []
+            for text in batch.column(1):
+                x = np.unique(shingle_hashes(text.as_py(), shingle))
+                nodes.append(_set_name(x))
+                sizes.append(len(x))
+                wide.append(b"".join(_majority(_mixed(x, k)).tobytes() for k in range(WIDE_WORDS)))
+                keys.append(_first_keys(x, ~np.isin(x, common) if len(common) else np.ones(len(x), dtype=bool), similarity).view(np.int64))
+            ends = np.cumsum([0, *map(len, keys)])
+            flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), pa.array(np.diff(ends), pa.int32()), pa.array(wide, pa.binary()), lists], ["doc_id", "node", "n", "wide", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary()), lists], ["doc_id", "node", "n", "wide", "keys"])
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, shingles array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, keys array<long>")
 
 
-def _keys(sets: DataFrame, common: np.ndarray, similarity: float) -> DataFrame:
-    """``key``, ``node`` and ``n``: of every set the first shingles, of which a similar set has one among its own first."""
+def common_shingles(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes of the shingles that ``COMMON_LEAST`` of a sample of the documents have, the commonest ``MOST_COMMON`` at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes = batch.column(0).to_numpy(zero_copy_only=False)
-            values, ends = batch.column(1).flatten().to_numpy(zero_copy_only=False), np.cumsum([0, *batch.column(1).value_lengths().to_pylist()])
-            rare = ~np.isin(values, common) if len(common) else np.ones(len(values), dtype=bool)
-            keys, lengths = [], []
-            for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
-                keys.append(_first_keys(values[a:b], rare[a:b], similarity))
-                lengths.append(len(keys[-1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys), pa.int64()), pa.array(np.repeat(nodes, lengths), pa.int64()), pa.array(np.repeat(np.diff(ends), lengths), pa.int32())], ["key", "node", "n"])
+            for text in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64))], ["key"])
 
-    return sets.select("node", "shingles").mapInArrow(run, "key long, node long, n int")
+    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_SAMPLE)) == 0).select("text").distinct()
+    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
+    return np.array([r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()], dtype=np.int64).view(np.uint64)
 
 
 def _first(n: int, similarity: float) -> int:
@@ -427,23 +448,24 @@ def _similar(pairs: DataFrame, own: DataFrame, similarity: float) -> DataFrame:
     return links
 
 
-def similar_links(sets: DataFrame, similarity: float = SIMILARITY, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
-    """Links ``a``, ``b`` between the nodes of ``shingle_sets`` that connect whatever pairs of at least the similarity connect.
+def similar_links(docs: DataFrame, marks: DataFrame, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
+    """Links ``a``, ``b`` between the nodes of ``set_marks`` that connect whatever pairs of at least the similarity connect.
 
     Keys that few meet at give all their pairs, which are compared once each.  Of a key that many meet at the members are dealt into
-    parts, every two parts meet in a cell, and a cell gives a spanning set of its similar pairs, never the pairs.
+    parts, every two parts meet in a cell, and a cell gives a spanning set of its similar pairs, never the pairs.  Only documents that share
+    a key have their sets made again and shuffled.
     """
-    sampled = sets.where(F.pmod(F.xxhash64("node"), F.lit(COMMON_SAMPLE)) == 0).select(F.explode("shingles").alias("key")).groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
-    common = np.array([r[0] for r in sampled.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()], dtype=np.int64)
-    keys = materialize(_keys(sets, common, similarity).distinct(), "keys")
+    keys = materialize(marks.select(F.explode("keys").alias("key"), "node", "n").distinct(), "keys")
     shared = materialize(keys.groupBy("key").agg(F.count("*").alias("m"), F.sum("n").alias("shingles")).where("m > 1"), "shared-keys")
     heavy = heavy_keys(shared.select("key", "m"), "m", keys.count())
     met = materialize(spread_join(keys, shared, ["key"], heavy, F.xxhash64("node"), "inner"), "met")
     discard(keys)
     discard(shared)
-    own = sets.join(met.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]).select("node", "wide", "shingles")
-    own = materialize(own, "compared")
-    pairs = met.where(F.col("m") <= few).select("key", "node", "n").join(own.select("node", "wide"), "node").repartition("key").sortWithinPartitions("key", "node")
+    named = met.select("node").distinct()
+    known = materialize(marks.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("wide").alias("wide")).join(named, "node", "left_semi"), "known")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known.select("doc_id").distinct(), "doc_id", "left_semi")
+    own = materialize(shingle_sets(texts.dropDuplicates(["doc_id", "text"]), shingle), "compared")
+    pairs = met.where(F.col("m") <= few).select("key", "node", "n").join(known.select("node", "wide"), "node").repartition("key").sortWithinPartitions("key", "node")
     pairs = pairs.select("key", "node", "n", "wide").mapInArrow(partial(_pairs_of_few, similarity=similarity, few=few), "a long, b long")
     links = _similar(pairs, own, similarity)
 
@@ -456,6 +478,7 @@ def similar_links(sets: DataFrame, similarity: float = SIMILARITY, few: int = FE
     many = materialize(many, "links-of-many")
     discard(met)
     discard(own)
+    discard(known)
     return links.unionByName(many)
 
 
@@ -464,11 +487,15 @@ def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle
 
     Texts without words are alike, rows that repeat a doc_id or have none are treated as by ``one_of_each_group``.
     """
-    sets = materialize(shingle_sets(docs.where("doc_id is not null"), shingle), "shingle-sets")
-    components = connected_components(similar_links(sets, similarity, few, key_part))
-    least = sets.groupBy("node").agg(F.min("doc_id").alias("doc")).join(components, "node", "left").select("node", "doc", F.coalesce("component", "node").alias("group"))
+    rows = docs.where("doc_id is not null")
+    marks = materialize(set_marks(rows, common_shingles(rows, shingle), shingle, similarity), "marks")
+    components = connected_components(similar_links(rows, marks, shingle, similarity, few, key_part))
+    least = marks.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows")).join(components, "node", "left").select("node", "doc", "rows", F.coalesce("component", "node").alias("group"))
     least = materialize(least, "similar-classes")
-    heads = least.groupBy("group").agg(F.min("doc").alias("component_id"))
-    named = materialize(sets.select("doc_id", "node").join(least.join(heads, "group").select("node", "component_id"), "node").select("doc_id", "component_id"), "similar-groups")
-    discard(sets)
+    heads = least.groupBy("group").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))
+    total = marks.count()
+    settled = spread_join(least, heads.drop("nodes"), ["group"], heavy_keys(heads.select("group", "nodes"), "nodes", total), F.xxhash64("node"), "inner")
+    many = heavy_keys(least.select("node", "rows"), "rows", total)  # large groups of exact copies
+    named = materialize(spread_join(marks.select("doc_id", "node"), settled.select("node", "component_id"), ["node"], many, F.xxhash64("doc_id"), "inner").select("doc_id", "component_id"), "similar-groups")
+    discard(marks)
     return _less_copies(docs, named)

@@ -120,6 +120,7 @@ def _settle(f, span, doc, start, size):
 
 
 def _find_runs(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> Iterator[pa.RecordBatch]:
+    release_memory()
     rolling, held, rows = _Rolling(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:

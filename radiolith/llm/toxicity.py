@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialize, remainder_of_crc32
+from .common import discard, materialize, release_memory, remainder_of_crc32
 
 #: Most labelled rows of each label that the fit reads, and most features that it weighs.
 PER_LABEL = 8192
@@ -108,6 +108,7 @@ def _screened(sample: DataFrame, totals: dict[int, int]) -> list[tuple[str, floa
     """Features that are commoner in toxic rows by the likelihood ratio, strongest first, with that ratio."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         seen: tuple[Counter, Counter] = Counter(), Counter()
 
         def flush():
