@@ -8,9 +8,9 @@ class.  Every other word belongs to one of ``RARE_CLASSES`` by its first letters
 probability (c + 1) / (tokens + types + 1), so the model is a distribution over all words with one unseen type a class.
 
 Training.  Truncated backpropagation over windows of ``WINDOW`` tokens, the state carried from window to window, with
-documents as lanes.  Every task trains on all training documents of its partition, and the tasks' parameters are averaged up a
-tree; a first round over a hash share of the documents gives all tasks a common start for the second, over the rest.  Every
-training document is used once.
+documents as lanes.  Training documents are dealt by hash to as many tasks as the corpus' tokens ask for (``TASK_TOKENS``), each trains on all of its
+own in the order of their hash, and the tasks' parameters are averaged up a tree; a first round over a hash share of the documents gives all tasks a
+common start for the second, over the rest.  Every training document is used once, and how the table lies in files has no part in the model.
 
 Scoring.  The state is carried over the whole document, so the score is the log-likelihood of the complete text.
 """
@@ -18,6 +18,7 @@ Scoring.  The state is carried over the whole document, so the score is the log-
 from __future__ import annotations
 
 import heapq
+import itertools
 import math
 import zlib
 from collections import Counter
@@ -41,6 +42,8 @@ WINDOW = 32
 LANES = 256
 #: Tokens that a task lays out in lanes at a time.
 GROUP_TOKENS = 4 << 20
+#: Tokens of the corpus for each training task.
+TASK_TOKENS = 2 << 20
 SCORE_TOKENS = 2 << 20
 RATE = 0.01
 FIRST_SHARE = 8  # one document in so many trains in the first round, the rest in the second
@@ -455,46 +458,72 @@ def _code_part(batches: Iterator[pa.RecordBatch], shared: _Shared) -> Iterator[p
 
 
 def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
-    model = Gru(_coder(shared).lexicon).load(start)
+    """Rows (task, ids) come ordered by task: a model for each."""
 
-    def groups():
-        held, size = [], 0
+    def rows() -> Iterator[tuple[int, np.ndarray]]:
         for batch in batches:
-            for blob in batch.column(0):
-                held.append(np.frombuffer(blob.as_py(), dtype="<i2"))
-                size += len(held[-1])
-                if size >= GROUP_TOKENS:
-                    yield held
-                    held, size = [], 0
+            for task, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
+                yield task, np.frombuffer(blob.as_py(), dtype="<i2")
+
+    def groups(own: Iterator[tuple[int, np.ndarray]]) -> Iterator[list[np.ndarray]]:
+        held, size = [], 0
+        for _, ids in own:
+            held.append(ids)
+            size += len(ids)
+            if size >= GROUP_TOKENS:
+                yield held
+                held, size = [], 0
         if held:
             yield held
 
-    tokens = train(model, groups(), rate)
-    release_memory(_READY)
-    if tokens:
-        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([(model.flat().astype(np.float64) * tokens).tobytes()], pa.binary())], ["tokens", "total"])
+    for task, own in itertools.groupby(rows(), key=lambda r: r[0]):
+        model = Gru(_coder(shared).lexicon).load(start)
+        tokens = train(model, groups(own), rate)
+        release_memory(_READY)
+        yield _sum_row(task, tokens, model.flat().astype(np.float64) * tokens)
+
+
+def _sum_row(task: int, tokens: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "tokens", "total"])
 
 
 def _add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    tokens, total = 0, None
+    """Rows come ordered by task, those of ``FAN_IN`` tasks that follow each other are one."""
+    held: tuple[int, int, np.ndarray] | None = None
     for batch in batches:
-        for n, blob in zip(batch.column(0).to_pylist(), batch.column(1)):
-            flat = np.frombuffer(blob.as_py(), dtype=np.float64)
-            tokens, total = tokens + n, flat.copy() if total is None else total + flat
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([tokens], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["tokens", "total"])
+        for task, n, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            flat, into = np.frombuffer(blob.as_py(), dtype=np.float64), task // FAN_IN
+            if held is not None and held[0] == into:
+                held = (into, held[1] + n, held[2] + flat)
+                continue
+            if held is not None:
+                yield _sum_row(*held)
+            held = (into, n, flat.copy())
+    if held is not None:
+        yield _sum_row(*held)
+
+
+_SUMS = "task int, tokens long, total binary"
 
 
 def fit(coded: DataFrame, shared: _Shared, rate: float = RATE) -> Gru:
-    """Train on all rows of ``coded`` that aren't held out: tasks on their partitions, averaged by tokens up a tree, in two rounds."""
+    """Train on all rows of ``coded`` that aren't held out: tasks dealt by hash, averaged by tokens up a tree, in two rounds."""
     model = Gru(shared.value)
-    learn = coded.where("not held_out")
-    share = F.pmod(F.xxhash64("_rl_row", F.lit(SEED)), F.lit(FIRST_SHARE))
+    tasks = max(1, -(-shared.value.tokens // TASK_TOKENS))
+    learn = coded.where("not held_out").select("ids", F.xxhash64("doc_id", "ids", F.lit(SEED)).alias("_rl_place"))
+    share = F.pmod(F.col("_rl_place"), F.lit(FIRST_SHARE))
+    task = F.pmod(F.shiftright("_rl_place", 8), F.lit(tasks)).cast("int")
     for chosen, pace in ((share == 0, rate), (share != 0, rate / 2)):
-        parts = materialize(learn.where(chosen).select("ids").mapInArrow(partial(_train_part, shared=shared, start=model.flat(), rate=pace), "tokens long, total binary"), "trained")
-        while (width := parts.count()) > 1:
-            parts = materialize(parts.repartition(-(-width // FAN_IN)).mapInArrow(_add_up, "tokens long, total binary"), "trained")
-        for tokens, total in parts.collect():
+        dealt = learn.where(chosen).withColumn("task", task).repartition(4 * tasks, "task").sortWithinPartitions("task", "_rl_place")
+        parts = materialize(dealt.select("task", "ids").mapInArrow(partial(_train_part, shared=shared, start=model.flat(), rate=pace), _SUMS), "trained")
+        width = tasks
+        while width > 1:
+            width = -(-width // FAN_IN)
+            up = parts.withColumn("_rl_into", F.floor(F.col("task") / FAN_IN)).repartition(width, "_rl_into").sortWithinPartitions("task").drop("_rl_into")
+            above = materialize(up.mapInArrow(_add_up, _SUMS), "trained")
+            discard(parts)
+            parts = above
+        for _, tokens, total in parts.collect():
             model.load(np.frombuffer(total, dtype=np.float64) / tokens)
         discard(parts)
     return model

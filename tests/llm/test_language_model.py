@@ -146,3 +146,53 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     r = lm.score(docs_of(spark, [(held, "one two")])).first()
     assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) == (True, 3, 0, 0, 0.0) and math.isfinite(r["score"])
+
+
+def test_scores_do_not_follow_the_file_layout(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 1500)  # several tasks
+    monkeypatch.setattr(lm, "FAN_IN", 2)
+    frame = docs_of(spark, corpus(400))
+    one, many = ({r["doc_id"]: r["score"] for r in lm.score(frame.coalesce(1) if parts == 1 else frame.repartition(parts, "text"), lexicon_words=50).collect()} for parts in (1, 6))
+    assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-5) for i in one)
+
+
+def plain_score(model, lexicon, count, text):
+    """The document's log10 probability, a token after the other in double precision, from the equations alone."""
+    words = [*(text or "").encode().lower().split(), b""]
+    place = {w: i for i, w in enumerate(lexicon.words)}
+    p = {n: getattr(model, n).astype(np.float64) for n in model.NAMES}
+    d, known = model.hidden, lexicon.classes * lm.CLASS_SIZE
+    h, total = np.zeros(d), 0.0
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    log_softmax = lambda x: x - np.log(np.exp(x - x.max()).sum()) - x.max()
+    for w in words:
+        i = place.get(w, len(lexicon.words))
+        rare = i >= lexicon.known
+        token = known + lm.rare_class(w) if rare else i
+        c = lexicon.classes + lm.rare_class(w) if rare else i // lm.CLASS_SIZE
+        total += log_softmax(p["cls"] @ h + p["cls_b"][:, 0])[c]
+        if rare:
+            r = lm.rare_class(w)
+            total += math.log((count[w] + 1) / (lexicon.rare_tokens[r] + lexicon.rare_types[r] + 1))
+        else:
+            total += log_softmax(p["word"][c] @ h + p["word_b"][c][:, 0])[i % lm.CLASS_SIZE]
+        x, u = p["input"][:, token], p["state"] @ h
+        update, reset = sigmoid(2 * (x[:d] + u[:d])), sigmoid(2 * (x[d : 2 * d] + u[d : 2 * d]))
+        new = np.tanh(x[2 * d :] + reset * u[2 * d :])
+        h = update * h + (1 - update) * new
+    return total / math.log(10)
+
+
+def test_scores_equal_the_plain_recurrence(spark, monkeypatch):
+    fitted = []
+    fit = lm.fit
+    monkeypatch.setattr(lm, "fit", lambda coded, shared, rate: fitted.append((fit(coded, shared, rate), shared.value)) or fitted[-1][0])
+    rows = [*corpus(200), (900, None), (901, "alpha " * 400), (902, "never seen words, ÉÉ"), (903, "É Uno w3 w4 w5 alpha")]
+    got = {r["doc_id"]: r["score"] for r in lm.score(docs_of(spark, rows), lexicon_words=30).collect()}
+    count: Counter = Counter()
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 7 != 2:
+            count.update([*(t or "").encode().lower().split(), b""])
+    model, lexicon = fitted[0]
+    for i, t in rows:
+        assert got[i] == pytest.approx(plain_score(model, lexicon, count, t), rel=1e-4)
