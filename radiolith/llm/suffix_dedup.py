@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import discard, materialize, parts_for, release_memory, shuffle_width
+from .common import discard, heavy_keys, materialize, parts_for, release_memory, shuffle_width
 
 LENGTH = 100
 #: Runs that a task settles at a time, windows of a text hashed at a time, bytes of spans in a shard.
@@ -37,6 +37,8 @@ STRETCH = 1 << 19
 SHARD_BYTES = 1 << 20
 #: Spans with one hash in one shard.
 CROWD = 2048
+#: Bytes of runs (36 each) of a shard that one task judges.
+CROWDED_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 _SELF = np.uint32(1 << 31)
@@ -176,43 +178,124 @@ def _mark_rows(doc, start, end, f=None, rows: int = 16384) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(doc[s]), pa.array(start[s].astype(np.int64)), pa.array(end[s].astype(np.int64)), key, pa.nulls(n, pa.binary())], ["shard", "doc_id", "start", "end", "f", "runs"])
 
 
-def _judge_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
-    """All runs of a shard's hashes: later copies of a span are repeats, differing spans of one hash candidates."""
+_KINDS = ("u8", "u8", "i8", "i8", "u4")
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch], column: int = 0) -> list[np.ndarray] | None:
+    """Runs of all blobs: hash, hash of the span, document, first window, number of windows and mark."""
     parts: list[list[np.ndarray]] = [[], [], [], [], []]
     for batch in batches:
-        for blob in batch.column(0):
+        for blob in batch.column(column):
             raw = blob.as_py()
-            n = len(raw) // 36
-            at = 0
-            for held, kind in zip(parts, ("u8", "u8", "i8", "i8", "u4")):
-                size = n * np.dtype(kind).itemsize
+            n, at = len(raw) // 36, 0
+            for held, kind in zip(parts, _KINDS):
                 held.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
-                at += size
-    if not parts[0]:
+                at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) for x in parts] if parts[0] else None
+
+
+def _packed(columns: list[np.ndarray]) -> bytes:
+    return b"".join(np.ascontiguousarray(x).astype(kind).tobytes() for x, kind in zip(columns, _KINDS))
+
+
+def _judge_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """All runs of a shard's hashes: later copies of a span are repeats, differing spans of one hash candidates.
+
+    A run without windows only tells that its hash has other spans, which were judged before.
+    """
+    runs = _unpacked(batches)
+    if runs is None:
         return
-    f = np.concatenate(parts[0])
-    size = np.concatenate(parts[4])
+    f, size = runs[0], runs[4]
     # Most hashes occur once: only the others, and runs that may repeat inside, go on.
     sorted_f = np.sort(f)
     again = np.unique(sorted_f[1:][sorted_f[1:] == sorted_f[:-1]])
     at = np.minimum(np.searchsorted(again, f), max(len(again) - 1, 0))
     use = (size >= _SELF) | (again[at] == f if len(again) else False)
-    f, size = f[use], size[use]
-    span, doc, start = (np.concatenate(parts[k])[use] for k in (1, 2, 3))
+    f, span, doc, start, size = (x[use] for x in runs)
     if not len(f):
         return
     order, first, repeats = _settle(f, span, doc, start, size)
     f, doc, start, size = f[order], doc[order], start[order], size[order]
     end = start + (size & ~_SELF).astype(np.int64) + length - 1
     yield from _mark_rows(doc[repeats], start[repeats], end[repeats])
-    new_f = np.append(True, f[1:] != f[:-1])
-    classes = np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_f))[np.cumsum(new_f) - 1]
-    candidate = first & ((classes > 1) | (size >= _SELF))
+    candidate = first & (size > 0) & ((_classes(f, first) > 1) | (size >= _SELF))
     yield from _mark_rows(doc[candidate], start[candidate], end[candidate], f[candidate])
-    del parts, f, span, doc, start, size
+    del runs, f, span, doc, start, size
     release_memory()
 
 
+def _classes(f: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of runs ordered by hash: how many spans their hash has."""
+    new_f = np.append(True, f[1:] != f[:-1])
+    return np.add.reduceat(first.astype(np.int64), np.flatnonzero(new_f))[np.cumsum(new_f) - 1]
+
+
+def _split_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The runs of crowded shards, dealt by span."""
+    for batch in batches:
+        for shard, subs, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            runs = _unpacked([pa.RecordBatch.from_arrays([pa.array([blob.as_py()], pa.binary())], ["runs"])])
+            sub = (runs[1] % np.uint64(subs)).astype(np.int64)
+            names = np.unique(sub).tolist()
+            blobs = [_packed([x[sub == k] for x in runs]) for k in names]
+            yield pa.RecordBatch.from_arrays([pa.array([shard] * len(names), pa.int32()), pa.array(names, pa.int32()), pa.array(blobs, pa.binary())], ["shard", "sub", "runs"])
+
+
+def _judge_part(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
+    """Parts of crowded shards, rows (shard, sub, runs) ordered by part: repeats, candidates among hashes that have several spans here, and
+    as runs again what only the whole shard can tell: the others, and for each hash with several spans a run without windows."""
+
+    def judge(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
+        f, span, doc, start, size = _unpacked([pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["runs"])])
+        order, first, repeats = _settle(f, span, doc, start, size)
+        f, span, doc, start, size = (x[order] for x in (f, span, doc, start, size))
+        end = start + (size & ~_SELF).astype(np.int64) + length - 1
+        yield from _mark_rows(doc[repeats], start[repeats], end[repeats])
+        several = _classes(f, first) > 1
+        candidate = first & several
+        yield from _mark_rows(doc[candidate], start[candidate], end[candidate], f[candidate])
+        lonely = first & ~several
+        witness = np.flatnonzero(several & np.append(True, f[1:] != f[:-1]))
+        rest = [np.concatenate([x[lonely], x[witness]]) for x in (f, span, doc, start)]
+        yield _run_rows([shard], [_packed([*rest, np.concatenate([size[lonely], np.zeros(len(witness), dtype=np.uint32)])])])
+
+    last, held = None, []
+    for batch in batches:
+        for shard, sub, blob in zip(*(c.to_pylist() for c in batch.columns)):
+            if (shard, sub) != last and held:
+                yield from judge(last[0], held)
+                held = []
+            last = (shard, sub)
+            held.append(blob)
+    if held:
+        yield from judge(last[0], held)
+    held.clear()
+    release_memory()
+
+
+def _judged(found: DataFrame, length: int, crowded_bytes: int) -> tuple[DataFrame, list[DataFrame]]:
+    """Marks from the runs of all shards, and tables to discard after their last use.
+
+    A hash that a large share of the documents have (a common line in ever other surroundings) fills a shard: shards over ``crowded_bytes`` are
+    judged in parts dealt by span, and only what the parts can't tell comes together.
+    """
+    runs = found.where("shard is not null").select("shard", "runs")
+    sizes = runs.groupBy("shard").agg(F.sum(F.length("runs")).cast("long").alias("n"))
+    total = sizes.agg(F.sum("n")).collect()[0][0] or 0
+    crowded = heavy_keys(sizes, "n", total, crowded_bytes)  # at most 65,536
+    if crowded is not None:
+        crowded = materialize(crowded, "crowded-shards")
+        crowded = None if crowded.isEmpty() else crowded
+    whole = lambda rows: rows.repartition("shard").select("runs").mapInArrow(partial(_judge_runs, length=length), MARKS).drop("shard", "runs")
+    if crowded is None:
+        return materialize(whole(runs), "judged"), []
+    split = runs.join(F.broadcast(crowded), "shard").select("shard", "_rl_salts", "runs").mapInArrow(_split_runs, "shard int, sub int, runs binary")
+    parts = materialize(split.repartition("shard", "sub").sortWithinPartitions("shard", "sub").mapInArrow(partial(_judge_part, length=length), MARKS), "parts")
+    rest = runs.join(F.broadcast(crowded), "shard", "left_anti").unionByName(parts.where("shard is not null").select("shard", "runs"))
+    return materialize(whole(rest).unionByName(parts.where("shard is null").drop("shard", "runs")), "judged"), [parts]
+
+
 def merged(intervals: np.ndarray) -> np.ndarray:
     """Union of half-open intervals (rows of start, end) as maximal runs, in order."""
     if not len(intervals):
@@ -495,16 +578,17 @@ def _schema(frame: DataFrame, fields: list[tuple[str, str]]) -> T.StructType:
     return T.StructType([*frame.schema.fields, *more.fields])
 
 
-def _remove(docs: DataFrame, length: int, want_text: bool, crowd: int, shard_bytes: int) -> DataFrame:
+def _remove(docs: DataFrame, length: int, want_text: bool, crowd: int, shard_bytes: int, crowded_bytes: int) -> DataFrame:
     """``docs`` less its text (and, without ``want_text``, less all but doc_id), with the digest columns and ``_rl_text``."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
     shards = 8 * max(width, 4 * max(1, docs.rdd.getNumPartitions()))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(source.mapInArrow(partial(_find_runs, length=length, shards=shards), MARKS), "runs")
-    judged = materialize(found.where("shard is not null").repartition("shard").select("runs").mapInArrow(partial(_judge_runs, length=length), MARKS).drop("shard", "runs"), "judged")
+    judged, used = _judged(found, length, crowded_bytes)
     local = materialize(found.where("shard is null").select("doc_id", "start", "end", "f"), "local")
-    discard(found)
+    for done in (found, *used):
+        discard(done)
 
     carried = [c for c in docs.columns if c != "text"] if want_text else ["doc_id"]
     frame = docs.select(*carried, "text").join(_grouped(judged.unionByName(local)), F.col("doc_id").cast("long") == F.col("_rl_doc"), "left")
@@ -533,7 +617,7 @@ def _remove(docs: DataFrame, length: int, want_text: bool, crowd: int, shard_byt
     return half.where("not _rl_open").select(*carried, *(n for n, _ in out)).unionByName(closed)
 
 
-def repeat_digests(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def repeat_digests(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, crowded_bytes: int = CROWDED_BYTES) -> DataFrame:
     """What removing every byte covered by a ``length``-byte string that starts earlier leaves of each document.
 
     Columns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256.  Order is that of doc_id, then of the
@@ -541,17 +625,17 @@ def repeat_digests(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, sh
     stands, and equal strings at the same place do not remove each other.  A row without doc_id has no place in the
     order: it loses nothing and makes nothing else a repeat.  An empty table gives an empty result.
     """
-    out = _remove(docs, length, False, crowd, shard_bytes)
+    out = _remove(docs, length, False, crowd, shard_bytes, crowded_bytes)
     return out.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(a).alias(b) for a, b in zip([n for n, _ in _DIGEST], ("n_bytes", "n_removed", "n_spans", "kept_sha256"))))
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, crowd: int = CROWD, shard_bytes: int = SHARD_BYTES, crowded_bytes: int = CROWDED_BYTES) -> DataFrame:
     """``docs`` with its columns, the text less its repeats; ``n_chars``, where there is one, follows the text.
 
     Every row stays, with an empty text where all of it was repeated; a null text becomes empty.
     """
     safe = [c if c in ("doc_id", "text", "n_chars") else f"_rl_c{i}" for i, c in enumerate(docs.columns)]
-    out = _remove(docs.toDF(*safe), length, True, crowd, shard_bytes).withColumnRenamed("_rl_text", "text")
+    out = _remove(docs.toDF(*safe), length, True, crowd, shard_bytes, crowded_bytes).withColumnRenamed("_rl_text", "text")
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*safe).toDF(*docs.columns)

@@ -301,7 +301,7 @@ def repeating_rows(seed=9):
     return rows
 
 
-@pytest.mark.parametrize("length, options", [(100, {}), (100, {"crowd": 3}), (20, {"crowd": 8, "shard_bytes": 2000}), (33, {"shard_bytes": 500})])
+@pytest.mark.parametrize("length, options", [(100, {}), (100, {"crowd": 3}), (20, {"crowd": 8, "shard_bytes": 2000}), (33, {"shard_bytes": 500}), (100, {"crowded_bytes": 100}), (20, {"crowd": 4, "crowded_bytes": 400})])
 def test_repeats_equal_brute_force(spark, length, options):
     rows = repeating_rows()
     got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeat_digests(docs_of(spark, rows), length, **options).collect()}
