@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, scratch_root
+from .common import heavy_keys, materialize, scratch_root, spread_join
 
 LEVEL = 3
 #: Bytes of records from which an archive's dictionary is built, and its largest size.
@@ -108,8 +108,11 @@ def revisits(pages: DataFrame) -> DataFrame:
     """``page_id`` and ``refers_to`` of every page whose payload a page of larger page_id has too."""
     payload = F.coalesce("html", F.lit("")).cast("binary")
     marked = materialize(pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload).alias("digest"), F.length(payload).alias("size")), "payloads")
-    tops = marked.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least")).where("least < refers_to").select("digest", "size", "refers_to")
-    return marked.join(tops, ["digest", "size"]).where("page_id < refers_to").select("page_id", "refers_to").distinct()
+    tops = marked.groupBy("digest", "size").agg(F.max("page_id").alias("refers_to"), F.min("page_id").alias("least"), F.count("*").alias("n")).where("least < refers_to")
+    tops = materialize(tops.select("digest", "size", "refers_to", "n"), "repeated-payloads")
+    heavy = heavy_keys(tops.select("digest", "size", "n"), "n", marked.count())  # the empty payload, an error page
+    found = spread_join(marked, tops.drop("n"), ["digest", "size"], heavy, F.xxhash64("page_id"), "inner")
+    return found.where("page_id < refers_to").select("page_id", "refers_to").distinct()
 
 
 def write_archives(pages: DataFrame, path: str, level: int = LEVEL, sample_bytes: int = SAMPLE_BYTES) -> None:
