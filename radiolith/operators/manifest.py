@@ -89,4 +89,4 @@ def montage_slots(windows: DataFrame, per_slot: int = 9) -> DataFrame:
 
 def shuffled_sample(df: DataFrame, key: str, count: int, seed: int = 0) -> DataFrame:
     """``count`` rows in an order that only depends on the seed and the key."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(count)
+    return df.orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key).limit(count)

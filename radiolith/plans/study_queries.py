@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import duplicates, graph, manifest, selection, split
@@ -85,7 +86,7 @@ def montage_slots(spark, sf):
     return manifest.montage_slots(e, 9).withColumn("slot_index", F.col("slot_index").cast("int"))
 
 
-@query()
+@query("SELECT doc_id::VARCHAR AS study_id FROM documents ORDER BY md5(doc_id || '|2026'), doc_id::VARCHAR LIMIT 40")
 def montage_sample(spark, sf):
     return manifest.shuffled_sample(R.table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("study_id")), "study_id", 40, seed=2026)
 
@@ -142,7 +143,19 @@ def folds(spark, sf):
     return split.assign_folds(_studies(spark, sf), 5, 2026, edges, n_labels=3)
 
 
-@query()
+# How many groups with a positive label each fold has, from most to least: as level as they can be.
+@query("""WITH g AS (SELECT source || '-' || d.doc_id // 3 AS g, max(CASE WHEN quality IS NULL THEN 0 ELSE greatest(quality, toxic) END) AS positive, count(*) AS n FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1),
+    t AS (SELECT count(*) FILTER (positive > 0) AS l, count(*) AS all_groups, sum(n)::BIGINT AS studies FROM g)
+    SELECT i::INT AS place, ((l + 4 - i) // 5)::BIGINT AS labelled_groups FROM t, range(5) r(i)""")
+def folds_level(spark, sf):
+    studies = _studies(spark, sf)
+    assigned = split.assign_folds(studies, 5, 2026, None, n_labels=3).join(studies.select("study_id", "labels"), "study_id")
+    groups = assigned.groupBy("group").agg(F.first("fold").alias("fold"), F.max(F.exists("labels", lambda x: x > 0)).alias("positive"))
+    counts = groups.groupBy("fold").agg(F.count_if("positive").alias("labelled_groups"))
+    return counts.select((F.row_number().over(Window.orderBy(F.desc("labelled_groups"))) - 1).alias("place"), "labelled_groups")
+
+
+@query("SELECT unnest(['study_id', 'patient_hash', 'group']) AS kind, 0::BIGINT AS leaking")
 def folds_disjoint(spark, sf):
     studies = _studies(spark, sf)
     assigned = split.assign_folds(studies, 5, 2026, None, n_labels=3).join(studies.select("study_id", "patient_hash"), "study_id")

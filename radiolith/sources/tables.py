@@ -102,8 +102,8 @@ def read_edges(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """A manifest, JSON lines or Parquet by what the folder holds."""
-    return read_jsonl(spark, path, MANIFEST) if path.endswith(".jsonl") or path.endswith(".json") else conform(spark.read.parquet(path), MANIFEST)
+    """A manifest, JSON lines or Parquet by what the folder holds; fields that it lacks, those of a window too, are NULL."""
+    return read_jsonl(spark, path, MANIFEST) if path.endswith(".jsonl") or path.endswith(".json") else spark.read.schema(MANIFEST).parquet(path)
 
 
 def study(manifest: DataFrame, study_id: str) -> DataFrame:
