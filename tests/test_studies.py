@@ -97,13 +97,33 @@ def test_duplicates_stay_together(spark):
     assert got["study-0"] == got["study-9"]
 
 
-def test_sparse_labels_spread_over_folds(spark):
-    studies = [(f"gold-{i}", None, hot(i % 12)) for i in range(58)] + [(f"none-{i}", None, None) for i in range(2656)]
-    got = folds_of(spark, studies, folds=5)
-    assert len(got) == 2714
-    sizes = np.bincount(list(got.values()), minlength=5)
-    gold = np.bincount([f for s, f in got.items() if s.startswith("gold")], minlength=5)
-    assert sizes.max() - sizes.min() <= 10 and gold.min() >= 1 and gold.max() - gold.min() <= 1
+@pytest.mark.parametrize("seed, folds", [(1, 3), (2, 7)])
+def test_generated_studies_keep_the_invariants(spark, seed, folds):
+    rng = np.random.default_rng(seed)
+    n = 900
+    labelled = rng.random(n) < 0.08
+    studies = [(f"s{i:04}", f"p{rng.integers(0, 700)}" if rng.random() < 0.5 else None, hot(int(rng.integers(0, 12))) if labelled[i] else None) for i in range(n)]
+    edges = [(f"s{rng.integers(0, n):04}", f"s{rng.integers(0, n):04}") for _ in range(60)]
+    got = folds_of(spark, studies, edges, folds=folds)
+    assert len(got) == n and set(got.values()) <= set(range(folds))
+    assert all(got[a] == got[b] for a, b in edges)
+    by_patient = {}
+    for s, p, _ in studies:
+        if p:
+            assert by_patient.setdefault(p, got[s]) == got[s]
+    # Groups by a plain search; those with a label are level to one, and sizes as level as the largest group allows.
+    group = {s: s for s, _, _ in studies}
+    ties = [*edges, *((s, t) for (s, p, _), (t, q, _) in zip(sorted(studies, key=lambda x: x[1] or ""), sorted(studies, key=lambda x: x[1] or "")[1:]) if p and p == q)]
+    for _ in range(n):
+        before = dict(group)
+        for a, b in ties:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    marked = {group[s] for s, _, y in studies if y}
+    level = np.bincount([got[g] for g in marked], minlength=folds)
+    sizes = np.bincount(list(got.values()), minlength=folds)
+    assert level.max() - level.min() <= 1 and sizes.max() - sizes.min() <= 2 * max(np.unique(list(group.values()), return_counts=True)[1])
 
 
 def test_leaks_are_found(spark):
