@@ -417,3 +417,28 @@ def test_toxicity_without_labels(spark):
         model = toxicity.fit(df, spark.createDataFrame(marks, "doc_id long, toxic int"), toxicity.in_training_folds)
         assert toxicity.score(df, model).where("predicted = 1").count() == 0
     assert toxicity.score(df.limit(0), model).count() == 0
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Fit on two thirds, judge the rest: a marked sentence somewhere in a toxic document, some labels wrong, clean texts of any length left alone."""
+    r = random.Random(11)
+    plain = ["".join(r.choice("abcdefghijklm") for _ in range(r.randrange(2, 8))) for _ in range(800)]
+    marked = ["grobbly", "snarfen", "viktuous", "plonkard"]
+    rows, labels, truth = [], [], {}
+    for i in range(1500):
+        sentences = [" ".join(r.choices(plain, k=r.randrange(3, 12))) for _ in range(r.randrange(1, 30))]
+        truth[i] = r.random() < 0.2
+        if truth[i]:
+            at = r.randrange(len(sentences))
+            sentences[at] += " " + r.choice(marked) + r.choice(["", "s", "ing"])
+        rows.append((i, ". ".join(sentences)))
+        labels.append((i, int(truth[i] != (r.random() < 0.03))))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(docs, known, toxicity.in_training_folds)
+    got = {x["doc_id"]: x["predicted"] for x in toxicity.score(docs, model).collect()}
+    unseen = [i for i in truth if zlib.crc32(str(i).encode()) % 3 == 1]
+    found = sum(got[i] for i in unseen if truth[i]) / sum(truth[i] for i in unseen)
+    wrong = sum(got[i] for i in unseen if not truth[i]) / sum(not truth[i] for i in unseen)
+    assert found >= 0.95 and wrong <= 0.01
+    long = ". ".join(" ".join(r.choices(plain, k=8)) for _ in range(100_000))
+    assert model.scorer().document(long)[0] < toxicity.ACCEPT
