@@ -79,6 +79,7 @@ def summarize(spark: SparkSession, audit_root: str, series_csv: str | None = Non
         "levels": rows(series.dataset_levels(records))[0],
         "frequencies": rows(stats.frequencies(head.withColumns({"status": F.col("status"), "derived_plane": F.coalesce("derived_plane", F.lit("Unknown"))}), ["status", "error_type", "derived_plane", "TransferSyntaxUID", "Manufacturer", "ManufacturerModelName"]).orderBy("field", F.desc("n"), "value").limit(500)),
         "numbers": rows(stats.numeric_summary(head, ["header_seconds", "file_size_bytes", "MagneticFieldStrength"])),
+        "pixels": rows(stats.numeric_summary(pixel_rows, ["decode_seconds"])),
         "series": rows(stats.numeric_summary(inventory, ["file_count", "spacing_median", "spacing_cv", "order_spearman"])),
     }
     if labels_csv:

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 from radiolith import cli, stages
 from radiolith.config import fingerprint, load_config, merge, set_path
-from radiolith.functions.registry import Registry
+from radiolith.functions.registry import Registry, resolve
 from radiolith.operators import files
 from radiolith.sources import dicom, tables
 from radiolith.sweep import combinations, write_sweep
@@ -171,6 +172,14 @@ def test_sweep(tmp_path):
     assert [json.load(open(p))["model"]["k"] for p in paths] == [1, 2]
 
 
+def test_dotted_paths():
+    r = Registry("counter")
+    assert r.create({"target": "collections:Counter", "params": {"a": 2}})["a"] == 2 and resolve("os.path.join") is os.path.join
+    for bad, error in (("nothing", ValueError), ("os:no_such", AttributeError), ("no_such_module:x", ImportError)):
+        with pytest.raises(error):
+            resolve(bad)
+
+
 def test_registry():
     r = Registry("thing")
     r.register("a")(lambda x=1: x)
