@@ -28,6 +28,8 @@ from .common import KEPT
 ARRAY_LIMIT = 32
 #: Pieces that are remembered, at about 220 bytes each.
 CACHE_LIMIT = 200_000
+#: Characters of texts that are held in pieces at a time.
+AT_ONCE = 1 << 20
 #: White space of the pre-tokenization pattern, and its contractions.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CONTRACTIONS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -220,8 +222,10 @@ class ByteBPE:
         return [self.special[part] if part in self.special else self.split_pieces(part) for part in self.specials.split(text) if part]
 
     def encode_packed(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """Ids of whole texts, packed as four little-endian bytes each; None is the empty text."""
-        get, held, missing = self.pieces.get, [], set()
+        """Ids of whole texts, packed as four little-endian bytes each; None is the empty text.
+
+        New pieces of some ``AT_ONCE`` characters of texts are learned together; no more texts than that are held in pieces."""
+        get, held, missing, size = self.pieces.get, [], set(), 0
         for text in texts:
             parts = self._parts(text) if text else []
             found = []
@@ -235,6 +239,13 @@ class ByteBPE:
                 else:
                     found.append(([], [p.to_bytes(4, "little")], False))
             held.append(found)
+            size += len(text or "")
+            if size >= AT_ONCE:
+                yield from self._joined(held, missing)
+                held, missing, size = [], set(), 0
+        yield from self._joined(held, missing)
+
+    def _joined(self, held: list, missing: set[str]) -> Iterator[bytes]:
         self.pieces.learn(missing)
         look = self.pieces.__getitem__
         for found in held:
