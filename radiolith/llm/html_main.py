@@ -13,15 +13,17 @@ that they go wherever they stand, unless they hold the article.  Scripts, styles
 has no other is judged by the same rule on what it has itself.
 
 Pages are parsed where they are read, once for the tree's counts and once to extract; only 64-bit keys and counts are
-shuffled.  What pages need from the tree, a short list for each host, is broadcast if its measured size allows; otherwise hosts with many pages
-are salted and joined.
+shuffled.  What pages need from the tree of the nodes that many pages of a host have, a short list for each host, is broadcast if its
+measured size allows; otherwise hosts with many pages are salted and joined.  Nodes that few pages have go to those pages only, in a list for each
+page.  A node on one page says no more than the page itself does, so every page is judged by all that the tree knows of its nodes.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections import ChainMap
+from collections.abc import Iterator, Mapping
 from functools import partial
 from html import unescape
 
@@ -91,12 +93,12 @@ class Element:
 class Node:
     """A node of a page's tree: its parent's key, prior weight, and whether it can be a branch, is a heading, is an article or in one."""
 
-    __slots__ = ("parent", "weight", "container", "top", "part", "article", "styles", "words", "linked")
+    __slots__ = ("parent", "weight", "container", "top", "part", "article", "styles", "words", "fresh", "linked")
 
     def __init__(self, parent, weight, container, top, part, article):
         self.parent, self.weight, self.container, self.top, self.part, self.article = parent, weight, container, top, part, article
         self.styles: list[Element] = []  # its elements, for the runs of their children
-        self.words = self.linked = 0
+        self.words = self.fresh = self.linked = 0  # fresh: words of its distinct texts, which is how the tree counts
 
 
 class Block:
@@ -140,6 +142,7 @@ def parse(html: str | None) -> tuple[dict[int, Node], list[Block]]:
     opened: dict[str, int] = {}  # how many of each name are open
     parts: list[str] = []
     linked = total = 0
+    said: set[tuple[int, str]] = set()
 
     def flush():
         nonlocal linked, total
@@ -150,6 +153,9 @@ def parse(html: str | None) -> tuple[dict[int, Node], list[Block]]:
                 words = text.count(" ") + 1
                 node = nodes[top.node]
                 node.words += words
+                if (top.node, text) not in said:
+                    said.add((top.node, text))
+                    node.fresh += words
                 node.linked += words * linked / total if total else 0
                 out.append(Block(top.node, text, words, top.tag))
                 if not top.kids or top.kids[-1] != "#":
@@ -312,12 +318,15 @@ def presentation(style_entropy: float, pages: float, parent_pages: float) -> flo
 
 
 class SiteTree:
-    """What a host's pages need from the tree: pages, novel words and style entropy of common nodes, and texts of low novelty."""
+    """What a page needs from the tree: pages, novel words and style entropy of nodes on several pages, and texts of low novelty."""
 
     __slots__ = ("nodes", "low_texts")
 
-    def __init__(self, nodes: dict[int, tuple[float, float, float]] | None = None, low_texts: frozenset[int] = frozenset()):
-        self.nodes, self.low_texts = nodes or {}, low_texts
+    def __init__(self, nodes: Mapping[int, tuple[float, float, float]] | None = None, low_texts: frozenset[int] = frozenset()):
+        self.nodes, self.low_texts = {} if nodes is None else nodes, low_texts
+
+    def with_more(self, nodes: dict[int, tuple[float, float, float]], low_texts: frozenset[int]) -> SiteTree:
+        return SiteTree(ChainMap(nodes, self.nodes), self.low_texts | low_texts)  # type: ignore[arg-type]
 
 
 _NO_SITE = SiteTree()
@@ -337,7 +346,7 @@ def importances(nodes: dict[int, Node], site: SiteTree = _NO_SITE, priors: bool
                 weight[k] = ROLE
     else:
         weight = {k: max(1.0, w) for k, w in weight.items()}
-    novel = {k: site.nodes[k][1] if k in site.nodes else float(x.words) for k, x in nodes.items()}
+    novel = {k: site.nodes[k][1] if k in site.nodes else float(x.fresh) for k, x in nodes.items()}
     holds, heads = set(), set()
     for k in reversed(keys[1:]):
         x = nodes[k]
@@ -436,7 +445,7 @@ def _count(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[p
 
 def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The merged trees of all hosts, as two written tables: nodes (host, node, parent, pages, novel words that a page with the node can
-    expect at it, style entropy in bits) and repeated texts (host, text, pages, novelty).
+    expect at it, style entropy in bits) and repeated texts (host, node, text, pages of the node, novelty).
 
     A text that only pages with one and the same main content have counts as on one page, so mirrored articles stay novel.
     """
@@ -463,35 +472,68 @@ def style_tree(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     nodes = materialize(nodes, "nodes")
     again = features.where("is_text and distinct > 1").select("host", "node", F.col("feature").alias("text"), "distinct").join(nodes.select("host", "node", "pages"), ["host", "node"])
-    repeated = materialize(again.select("host", "text", "pages", (1 - F.log("distinct") / F.log(m + UNSEEN)).alias("novelty")), "texts")
+    repeated = materialize(again.select("host", "node", "text", "pages", (1 - F.log("distinct") / F.log(m + UNSEEN)).alias("novelty")), "texts")
     discard(features)
     return nodes, repeated
 
 
-def site_lists(nodes: DataFrame, texts: DataFrame, low: float = LOW) -> DataFrame:
-    """For each host with more than one page: its common nodes and its texts of low novelty, as lists.
+def site_lists(nodes: DataFrame, texts: DataFrame, low: float = LOW) -> tuple[DataFrame, DataFrame]:
+    """Of each host with more than one page: its common nodes and their texts of low novelty as lists, with how many rare nodes it has; and, written,
+    all nodes on more than one page (host, node, pages, novel, style_entropy, texts of low novelty, common), whose rare ones ``page_lists`` takes to their pages.
 
     A node is common when at least the square root of the host's pages have it, so a list has at most (nodes of a page) times that
-    many; a text of low novelty is on almost all pages of its node, so there are hardly more of them than texts on a page.
+    many; a text of low novelty is on almost all pages of its node, so there are hardly more of them than texts on a page.  All other nodes
+    on more than one page are rare: fewer pages than that root have each.
     """
     hosts = nodes.where(F.col("node") == _ROOT).select("host", F.col("pages").alias("all")).where("all > 1")
-    common = nodes.join(hosts, "host").where(F.col("pages") * F.col("pages") >= F.col("all")).groupBy("host")
-    common = common.agg(F.max("all").alias("all"), F.collect_list(F.struct("node", "pages", "novel", "style_entropy")).alias("nodes"))
-    lowest = texts.where(F.col("novelty") < low).groupBy("host").agg(F.collect_list("text").alias("texts"))
-    return common.join(lowest, "host", "left")
+    large = heavy_keys(nodes.groupBy("host").agg(F.count("*").alias("n")), "n", nodes.count())
+    placed = spread_join(nodes.where("pages > 1"), hosts, ["host"], large, F.col("node"), "inner").withColumn("common", F.col("pages") * F.col("pages") >= F.col("all"))
+    said = texts.where(F.col("novelty") < low).groupBy("host", "node").agg(F.collect_list("text").alias("texts"))
+    placed = materialize(placed.join(said, ["host", "node"], "left"), "placed-nodes")
+    common = placed.where("common").groupBy("host").agg(F.max("all").alias("all"), F.collect_list(F.struct("node", "pages", "novel", "style_entropy")).alias("nodes"), F.flatten(F.collect_list("texts")).alias("texts"))
+    return common.join(placed.where("not common").groupBy("host").agg(F.count("*").alias("rare")), "host", "left"), placed
+
+
+def _rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes of pages (host, page, html, common nodes) that aren't among the common ones of their host."""
+    known: dict[int, frozenset[int]] = {}
+    for batch in batches:
+        found = set()
+        for host, page, html, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
+            if host not in known:
+                if len(known) > 256:
+                    known.clear()
+                known[host] = frozenset(x["node"] for x in nodes.as_py())
+            found.update((host, page, k) for k in parse(html.as_py())[0] if k not in known[host])
+        columns = list(zip(*found)) if found else [()] * 3
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "page", "node"])
+
+
+def page_lists(pages: DataFrame, placed: DataFrame) -> DataFrame:
+    """``_rl_own``, ``_rl_page`` (hash of the html) and the list ``more`` of the rare nodes of every page that has some.
+
+    ``pages`` (_rl_own, _rl_page, html, nodes) are those of hosts with rare nodes.  Pages of a host with the same hash share a list; were their html
+    different it would hold nodes of both, which changes neither.
+    """
+    has = pages.select("_rl_own", "_rl_page", "html", "nodes").mapInArrow(_rare_of, "host long, page long, node long").distinct()
+    met = has.join(placed.where("not common"), ["host", "node"]).groupBy(F.col("host").alias("_rl_own"), F.col("page").alias("_rl_page"))
+    return met.agg(F.collect_list(F.struct("node", "pages", "novel", "style_entropy", "texts")).alias("more"))
 
 
 def _extract(batches: Iterator[pa.RecordBatch], low: float, priors: bool) -> Iterator[pa.RecordBatch]:
     known: dict[int, SiteTree] = {}
     for batch in batches:
         texts = []
-        for html, host, nodes, low_texts in zip(*(batch.column(k) for k in range(2, 6))):
+        for html, host, nodes, low_texts, more in zip(*(batch.column(k) for k in range(2, 7))):
             key = host.as_py()
             if key not in known:
                 if len(known) > 256:
                     known.clear()
                 known[key] = SiteTree({x["node"]: (x["pages"], x["novel"], x["style_entropy"]) for x in nodes.as_py() or ()}, frozenset(low_texts.as_py() or ()))
-            texts.append(main_text(html.as_py(), known[key], low, priors))
+            site = known[key]
+            if rare := more.as_py():
+                site = site.with_more({x["node"]: (x["pages"], x["novel"], x["style_entropy"]) for x in rare}, frozenset(t for x in rare for t in x["texts"] or ()))
+            texts.append(main_text(html.as_py(), site, low, priors))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -504,18 +546,31 @@ def extract_pages(pages: DataFrame, low: float = LOW, priors: bool = True, broad
     """
     bound_batches(pages.sparkSession)
     nodes, texts = style_tree(pages)
-    lists = materialize(site_lists(nodes, texts, low).withColumnRenamed("host", "_rl_host"), "site-lists")
+    lists, placed = site_lists(nodes, texts, low)
+    lists = materialize(lists.withColumnRenamed("host", "_rl_host"), "site-lists")
     discard(nodes)
     discard(texts)
-    size = lists.agg(F.sum(64 + 32 * F.size("nodes") + 8 * F.greatest(F.lit(0), F.coalesce(F.size("texts"), F.lit(0))))).collect()[0][0] or 0
-    own = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("_rl_own"))
-    if size <= broadcast_bytes:
+    size, n_rare = lists.agg(F.sum(64 + 32 * F.size("nodes") + 8 * F.size("texts")), F.sum("rare")).collect()[0]
+    own = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("_rl_own"), F.xxhash64("html").alias("_rl_page"))
+    if (size or 0) <= broadcast_bytes:
         joined = own.join(F.broadcast(lists), F.col("_rl_own") == F.col("_rl_host"), "left")
     else:
         heavy = heavy_keys(lists.select(F.col("_rl_host").alias("_rl_own"), F.col("all").cast("long").alias("n")), "n", pages.count(), salt_pages)
         joined = spread_join(own, lists.withColumnRenamed("_rl_host", "_rl_own"), ["_rl_own"], heavy, F.xxhash64("page_id", "url"))
-    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_rl_own", "nodes", "texts")
+    if n_rare:
+        more = materialize(page_lists(joined.where("rare > 0"), placed), "page-lists")
+        size = more.agg(F.sum(64 + F.aggregate("more", F.lit(0).cast("long"), lambda n, x: n + 48 + 8 * F.coalesce(F.size(x["texts"]), F.lit(0))))).collect()[0][0] or 0
+        page = ["_rl_own", "_rl_page"]
+        if size <= broadcast_bytes:
+            joined = joined.join(F.broadcast(more), page, "left")
+        else:
+            copies = own.groupBy(*page).agg(F.count("*").alias("n"))
+            joined = spread_join(joined, more, page, heavy_keys(copies, "n", pages.count(), salt_pages), F.xxhash64("page_id", "url"))
+    else:
+        joined = joined.withColumn("more", F.lit(None).cast("array<struct<node:long,pages:double,novel:double,style_entropy:double,texts:array<long>>>"))
+    discard(placed)
+    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_rl_own", "nodes", "texts", "more")
     return joined.mapInArrow(partial(_extract, low=low, priors=priors), "page_id long, url string, text string")
 
 
-__all__ = ["extract_pages", "importances", "main_text", "parse", "site_lists", "style_tree"]
+__all__ = ["extract_pages", "importances", "main_text", "page_lists", "parse", "site_lists", "style_tree"]

@@ -109,6 +109,26 @@ def test_salted_lists_give_the_same(spark):
     assert {r[0]: r[2] for r in expect if r[0] < 1000} == want
 
 
+@pytest.mark.parametrize("options", [{}, {"broadcast_bytes": 0, "salt_pages": 7}])
+def test_nodes_of_few_pages_are_judged_by_the_tree(spark, options):
+    rows, _ = site(160, 7)
+    few, more = site(12, 8)  # a section of 12 of 172 pages, with a frame of its own
+    rows += [(1000 + i, u, f'<div class="y0">{h}</div>') for i, u, h in few] + [(1012, few[0][1], f'<div class="y0">{few[0][2]}</div>')]
+    want = {1000 + i: t for i, t in more.items()} | {1012: more[0]}
+    rows += [(2000, "http://alone.example/", "<div class=z1><p>said twice</p><p>said twice</p></div><div class=z2><p>" + words(random.Random(9), 40) + "</p></div>")]
+    pages = pages_of(spark, rows)
+    nodes, texts = (x.where(F.col("host") == F.xxhash64(F.lit("site.example"))).collect() for x in html_main.style_tree(pages))
+    whole = html_main.SiteTree({r["node"]: (r["pages"], r["novel"], r["style_entropy"]) for r in nodes}, frozenset(r["text"] for r in texts if r["novelty"] < html_main.LOW))
+    got = {r["page_id"]: r["text"] for r in html_main.extract_pages(pages, priors=False, **options).collect()}
+    assert got.pop(2000).startswith("said twice\nsaid twice\n")
+    assert {i: got[i] for i in want} == want
+    assert got == {i: html_main.main_text(h, whole, priors=False) for i, _, h in rows if i < 2000}
+    # A node on one page has in the tree what the page says by itself.
+    for r in nodes:
+        if r["pages"] == 1:
+            assert r["style_entropy"] == 0 and r["novel"] in {float(t[r["node"]].fresh) for t in (html_main.parse(h)[0] for _, _, h in rows) if r["node"] in t}
+
+
 def test_tree_against_plain_counts(spark):
     rows, _ = site(30, 6)
     rows += [(500 + i, f"http://site.example/m{i}", "<div class=x3><h1>mirror</h1><p>" + "one and the same article on several pages of the site, " * 3 + "</p></div>") for i in range(6)]
