@@ -14,6 +14,8 @@ order by hash the first k of two sets share none with a probability of (1 - t)^k
 candidates meet at (``MISSED`` bounds that probability).  There a wide SimHash settles who is worth
 comparing, and the sets themselves who is similar.  Common shingles come last in the order, so that few documents meet at them; what they take
 from the similarity of the others is allowed for in k.
+
+``one_of_each_near`` takes both for copies: fingerprints within the threshold, which meet at anchors, and similar sets.
 """
 
 from __future__ import annotations
@@ -264,15 +266,18 @@ def shingle_sets(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, shingles array<int>")
 
 
-def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``node``, ``n`` (shingles in the set), ``wide`` (its 512-bit SimHash) and ``keys`` of every row; see ``_first_keys``."""
+def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGLE, similarity: float = SIMILARITY, printed: int | None = None) -> DataFrame:
+    """``doc_id``, ``node``, ``n`` (shingles in the set), ``wide`` (its 512-bit SimHash), ``keys`` (see ``_first_keys``) and ``fp`` of every row: its
+    ``fingerprint`` over ``printed`` words a shingle, null without them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_memory()
         for batch in batches:
-            nodes, sizes, wide, keys = [], [], [], []
+            nodes, sizes, wide, keys, fps = [], [], [], [], []
             for text in batch.column(1):
-                x = np.unique(shingle_hashes(text.as_py(), shingle))
+                text = text.as_py()
+                x = np.unique(shingle_hashes(text, shingle))
+                fps.append(None if printed is None else int(_majority(shingle_hashes(text, printed)).view(np.int64)))
                 nodes.append(_set_name(x))
                 sizes.append(len(x))
                 wide.append(b"".join(_majority(_mixed(x, k)).tobytes() for k in range(WIDE_WORDS)))
@@ -280,10 +285,10 @@ def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGL
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary()), lists], ["doc_id", "node", "n", "wide", "keys"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary()), lists, pa.array(fps, pa.int64())], ["doc_id", "node", "n", "wide", "keys", "fp"])
         release_memory()
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, keys array<long>")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, keys array<long>, fp long")
 
 
 def common_shingles(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
@@ -482,6 +487,20 @@ def similar_links(docs: DataFrame, marks: DataFrame, shingle: int = SIMILAR_SHIN
     return links.unionByName(many)
 
 
+def fingerprint_links(marks: DataFrame, threshold: int = THRESHOLD, home_part: int = HOME_PART) -> DataFrame:
+    """Links ``a``, ``b`` between the nodes of ``set_marks`` that connect whatever rows have fingerprints at most ``threshold`` bits apart."""
+    named = materialize(marks.groupBy("fp", "node").agg(F.count("*").alias("rows")).select("fp", "node"), "fingerprints")
+    classes = materialize(named.groupBy("fp").agg(F.min("node").alias("doc"), F.count("*").alias("nodes")), "classes")
+    near = near_links(classes, threshold, home_part)
+    several = classes.where("nodes > 1")
+    heavy = heavy_keys(several.select("fp", "nodes"), "nodes", named.count())
+    equal = spread_join(named, several.select("fp", "doc"), ["fp"], heavy, F.xxhash64("node"), "inner").select(F.col("doc").alias("a"), F.col("node").alias("b"))
+    equal = materialize(equal.where("a <> b"), "equal")
+    discard(named)
+    discard(classes)
+    return near.unionByName(equal)
+
+
 def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, few: int = FEW, key_part: int = KEY_PART) -> DataFrame:
     """The rows of ``docs`` whose doc_id is the smallest of its group, linked by Jaccard similarity of word shingles.
 
@@ -489,7 +508,21 @@ def one_of_each_similar(docs: DataFrame, similarity: float = SIMILARITY, shingle
     """
     rows = docs.where("doc_id is not null")
     marks = materialize(set_marks(rows, common_shingles(rows, shingle), shingle, similarity), "marks")
-    components = connected_components(similar_links(rows, marks, shingle, similarity, few, key_part))
+    return _one_of_each(docs, marks, similar_links(rows, marks, shingle, similarity, few, key_part))
+
+
+def one_of_each_near(docs: DataFrame, threshold: int = THRESHOLD, printed: int = SHINGLE, similarity: float = SIMILARITY, shingle: int = SIMILAR_SHINGLE, few: int = FEW, key_part: int = KEY_PART, home_part: int = HOME_PART) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, linked by fingerprints as in ``near_duplicates`` (``printed`` words a shingle) and by
+    Jaccard similarity as in ``one_of_each_similar``, with rows that repeat a doc_id or have none treated as there."""
+    rows = docs.where("doc_id is not null")
+    marks = materialize(set_marks(rows, common_shingles(rows, shingle), shingle, similarity, printed), "marks")
+    near = fingerprint_links(marks, threshold, home_part)
+    return _one_of_each(docs, marks, near.unionByName(similar_links(rows, marks, shingle, similarity, few, key_part)))
+
+
+def _one_of_each(docs: DataFrame, marks: DataFrame, links: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its group, by links between the nodes of their marks, which are used up."""
+    components = connected_components(links)
     least = marks.groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("rows")).join(components, "node", "left").select("node", "doc", "rows", F.coalesce("component", "node").alias("group"))
     least = materialize(least, "similar-classes")
     heads = least.groupBy("group").agg(F.min("doc").alias("component_id"), F.count("*").alias("nodes"))

@@ -207,6 +207,24 @@ def test_pipeline_takes_five_words_and_four_fifths(spark):
     assert [x["doc_id"] for x in corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), "").collect()] == [1]
 
 
+@pytest.mark.parametrize("home_part", [1024, 2])
+def test_pipeline_removes_near_fingerprints(spark, home_part):
+    import corpus_pipeline
+
+    r = random.Random(14)
+    make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    rows = [(k * 10 + i, (passage + " ") * 60 + make(60)) for k, passage in enumerate(make(21) for _ in range(6)) for i in range(8)]  # few shingles in common, near prints
+    rows += [(100 + i, make(80)) for i in range(20)] + [(200 + i, rows[i][1].replace(" ", "  ", 3)) for i in (0, 2, 47)] + [(300, None), (301, "")]
+    words = make(200).split()
+    rows += [(400, " ".join(words))] + [(401 + i, " ".join(w if k % 60 != 3 * i + 1 else "changed" for k, w in enumerate(words))) for i in range(5)]
+    prints, alike = {i: simhash.fingerprint(t) for i, t in rows}, brute_force_similar(rows)
+    near = components_of(sorted(prints), lambda a, b: (prints[a] ^ prints[b]).bit_count() <= 3)
+    want = components_of(sorted(prints), lambda a, b: near[a] == near[b] or alike[a] == alike[b])
+    assert len(set(want.values())) < min(len(set(near.values())), len(set(alike.values())))
+    got = simhash.one_of_each_near(docs_of(spark, rows), home_part=home_part) if home_part < 1024 else corpus_pipeline.drop_near_duplicates(spark, docs_of(spark, rows), "")
+    assert sorted(x["doc_id"] for x in got.collect()) == sorted(set(want.values()))
+
+
 # --- packing -------------------------------------------------------------------------------------------------------
 
 
