@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import discard, materialize, release_memory
 
 #: Most labelled rows of each label that the fit reads; one in ``CALIBRATION`` of them, by hash, calibrates.
-PER_LABEL = 3072
+PER_LABEL = 2048
 CALIBRATION = 4
 #: Least documents of the sample that a feature is in.
 LEAST_DOCUMENTS = 3
@@ -37,7 +37,7 @@ SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
 #: Bytes whose n-grams are hashed at a time.
 STRETCH = 1 << 20
-STEPS = 300
+STEPS = 120
 
 
 def _numbers(words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
