@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.exprs import blake2b_shard, stable_shard
+from ..functions.scratch import materialize
+from ..sources import ranged
 
 
 def parse_shards(text: str, shards: int) -> list[int]:
@@ -28,15 +31,23 @@ def parse_shards(text: str, shards: int) -> list[int]:
 
 
 def list_files(spark: SparkSession, root: str, include_hidden: bool = False) -> DataFrame:
-    """relative_path, size_bytes and mtime of every file below ``root``, whatever its extension; file contents are not read.
+    """relative_path, size_bytes and mtime_us of every file below ``root``, whatever its extension, empty ones too; file contents are not read.
 
-    Spark's own listing leaves out names that begin with a dot or an underscore, and their folders; ``include_hidden`` lists
-    through the Hadoop file system instead.
+    Names that begin with a dot or an underscore, and what lies in such folders, are left out unless ``include_hidden``.  Folders are listed level by level,
+    each by the tasks that hold their names.  Where Arrow doesn't reach the file system Spark's own listing is used, which knows no empty files, or, for hidden
+    ones, the driver's.
     """
+    base = _qualified(spark, root)
+    if ranged.reaches(base):
+        return _listed(spark, base, include_hidden)
     if include_hidden:
-        return _list_all(spark, root)
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        rows, files = [], path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True)
+        while files.hasNext():
+            f = files.next()
+            rows.append((f.getPath().toString()[len(base) + 1 :], f.getLen(), f.getModificationTime() * 1000))
+        return spark.createDataFrame(rows, "relative_path string, size_bytes long, mtime_us long")
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    base = _qualified(spark, root)
     relative = F.expr(f"substr(path, {len(base) + 2})")
     return found.select(relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.unix_micros("modificationTime").alias("mtime_us"))
 
@@ -47,15 +58,19 @@ def _qualified(spark: SparkSession, root: str) -> str:
     return system.makeQualified(path).toString().rstrip("/")
 
 
-def _list_all(spark: SparkSession, root: str) -> DataFrame:
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    base, rows = _qualified(spark, root), []
-    files = system.listFiles(path, True)
-    while files.hasNext():
-        f = files.next()
-        rows.append((f.getPath().toString()[len(base) + 1 :], f.getLen(), f.getModificationTime() * 1000))
-    return spark.createDataFrame(rows, "relative_path string, size_bytes long, mtime_us long")
+def _listed(spark: SparkSession, base: str, include_hidden: bool) -> DataFrame:
+    found, folders = [], spark.createDataFrame([("",)], "relative_path string")
+    while True:
+        level = ranged.children(folders, base)
+        if not include_hidden:
+            level = level.where(~F.col("relative_path").rlike("(^|/)[._][^/]*$"))
+        level = materialize(level, "listing")
+        found.append(level.where("not is_folder").drop("is_folder"))
+        folders = level.where("is_folder").select("relative_path")
+        count = folders.count()
+        if not count:
+            return reduce(DataFrame.unionByName, found)
+        folders = folders.repartition(min(max(1, count // 8), 4 * spark.sparkContext.defaultParallelism))
 
 
 def file_index(files: DataFrame, shards: int, byte_compatible: bool = False) -> DataFrame:
@@ -80,7 +95,7 @@ def write_index(index: DataFrame, path: str, root: str, shards: int, force: bool
         if note != {"root": root, "shards": shards}:
             raise ValueError(f"{path} is an index of {note}, not of root {root!r} in {shards} shards")
         return False
-    index.write.mode("overwrite").partitionBy("shard").parquet(f"{path}/files")
+    index.repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(f"{path}/files")
     spark.createDataFrame([(json.dumps({"root": root, "shards": shards}),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/note")
     return True
 

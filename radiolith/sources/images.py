@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.pixels import resize_bilinear
-from .dicom import _files, pixel_array
+from .dicom import contents_of, pixel_array
 
 
 def normalize(image: np.ndarray, method: str) -> np.ndarray:
@@ -50,8 +50,10 @@ def slices_of(spark: SparkSession, root: str, paths: DataFrame, size: int, metho
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             images, errors = [], []
-            for content in batch.column(2):
+            for content, failed in zip(batch.column(2), batch.column(3).to_pylist()):
                 try:
+                    if failed:
+                        raise OSError(failed)
                     images.append(decode(content.as_py(), size, method).ravel())
                     errors.append(None)
                 except Exception as error:
@@ -61,7 +63,7 @@ def slices_of(spark: SparkSession, root: str, paths: DataFrame, size: int, metho
                     errors.append(type(error).__name__)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(images, pa.list_(pa.float32())), pa.array(errors, pa.string())], ["relative_path", "image", "error"])
 
-    return _files(spark, root, paths).mapInArrow(run, "relative_path string, image array<float>, error string")
+    return contents_of(spark, root, paths).mapInArrow(run, "relative_path string, image array<float>, error string")
 
 
 def load_windows(spark: SparkSession, root: str, windows: DataFrame, size: int, method: str = "per_slice_robust", strict: bool = False) -> DataFrame:

@@ -30,7 +30,7 @@ HEADER = _struct(
 )
 PIXELS = _struct(
     relative_path=_S, status=_S, error_type=_S, error_message=_S, deep_statistics=T.BooleanType(), pixel_count=_L, minimum=_D, maximum=_D, mean=_D, deviation=_D, zero_fraction=_D, finite_fraction=_D,
-    pixel_sha256=_S, p0_1=_D, p1=_D, p5=_D, p25=_D, p50=_D, p75=_D, p95=_D, p99=_D, p99_9=_D, mad=_D, entropy=_D, decode_seconds=_D,
+    pixel_sha256=_S, p0_1=_D, p1=_D, p5=_D, p25=_D, p50=_D, p75=_D, p95=_D, p99=_D, p99_9=_D, mad=_D, entropy=_D, decode_seconds=_D, decoder=_S, decoders_tried=T.ArrayType(_S),
 )
 WINDOW = _struct(series_id=_S, center_index=_I, paths=T.ArrayType(_S), plane=_S, fluid_sensitive=_D, relative_position=_D, series_length=_I, evidence_targets=T.ArrayType(_D))
 MANIFEST = _struct(study_id=_S, patient_hash=_S, labels=T.ArrayType(_D), windows=T.ArrayType(WINDOW))

@@ -19,8 +19,8 @@ def index(spark: SparkSession, dicom_root: str, audit_root: str, shards: int = 1
     return files.index_totals(files.read_index(spark, f"{audit_root}/index"))
 
 
-def _by_shard(spark: SparkSession, audit_root: str, stage: str, shards: str, force: bool, read: Callable[[str, DataFrame], DataFrame]) -> DataFrame:
-    """Run a reader over the chosen shards that aren't done (or all, with ``force``), writing a partition for each."""
+def _by_shard(spark: SparkSession, audit_root: str, stage: str, shards: str, force: bool, read: Callable[[str, list[int]], DataFrame]) -> DataFrame:
+    """Run a reader (of the corpus' root and shards) over the chosen shards that aren't done (or all, with ``force``), writing a partition for each."""
     note = files.read_note(spark, f"{audit_root}/index")
     if note is None:
         raise FileNotFoundError("the index stage comes first")
@@ -31,18 +31,18 @@ def _by_shard(spark: SparkSession, audit_root: str, stage: str, shards: str, for
         wanted = [s for s in wanted if s not in done]
     if wanted:
         index_ = files.read_index(spark, f"{audit_root}/index", wanted).select("relative_path", F.col("shard").cast("int").alias("shard"))
-        rows = read(note["root"], index_).join(index_, "relative_path")
+        rows = read(note["root"], wanted).join(index_, "relative_path")
         rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(out)
     return series.shard_tally(spark.read.parquet(out).where(F.col("shard").isin(files.parse_shards(shards, note["shards"]))))
 
 
 def headers(spark: SparkSession, audit_root: str, salt_file: str, shards: str = "all", force: bool = False) -> DataFrame:
     salt = tables.get_or_create_salt(salt_file)
-    return _by_shard(spark, audit_root, "headers", shards, force, lambda root, paths: dicom.read_headers(spark, root, salt, paths))
+    return _by_shard(spark, audit_root, "headers", shards, force, lambda root, wanted: dicom.read_headers(spark, root, salt, index=f"{audit_root}/index/files", shards=wanted))
 
 
 def pixels(spark: SparkSession, audit_root: str, deep_rate: float = 0.01, shards: str = "all", force: bool = False) -> DataFrame:
-    return _by_shard(spark, audit_root, "pixels", shards, force, lambda root, paths: dicom.read_pixels(spark, root, deep_rate, True, paths))
+    return _by_shard(spark, audit_root, "pixels", shards, force, lambda root, wanted: dicom.read_pixels(spark, root, deep_rate, True, files.read_index(spark, f"{audit_root}/index", wanted)))
 
 
 def _table(spark: SparkSession, audit_root: str, stage: str, schema) -> DataFrame:
