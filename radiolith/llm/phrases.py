@@ -247,7 +247,7 @@ def phrase_counts(docs: DataFrame, max_words: int = MAX_WORDS, least: int = LEAS
     and for each language a row of 0 words whose n is the number of all its words.  A written table."""
     spark = docs.sparkSession
     source = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit(NO_LANGUAGE)).alias("lang"), "text")
-    group_bits = min(16, max(4, (shuffle_width(spark) - 1).bit_length()))
+    group_bits = min(16, max(4, (8 * shuffle_width(spark) - 1).bit_length()))  # several groups a task, so that tasks are even
     dealt = source.mapInArrow(partial(_deal_hashes, depth=max_words, shard_words=shard_words, bits=group_bits), "group int, hashes binary")
     left = materialize(dealt.repartition(1 << group_bits, "group").sortWithinPartitions("group").mapInArrow(partial(_survivors, least=least), "group int, n long, hashes binary"), "survivors")
     survivors = left.agg(F.sum("n")).collect()[0][0] or 0
