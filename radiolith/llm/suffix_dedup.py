@@ -5,8 +5,8 @@ corpus share that hash.  Consecutive windows with one hash are a run, its bytes
 
 1.  Where documents are read, runs are found with rolling hashes in numpy, and runs equal to an earlier one of the same
     task are settled (copies are not expanded).
-2.  Per hash, runs whose whole span equals that of an earlier run are settled as repeats.  Spans that differ from all
-    earlier ones but share a hash with another span, or may repeat inside themselves, are candidates.
+2.  Per hash, runs whose whole span equals that of an earlier run are settled as repeats.  Spans are equal if 128 bits of BLAKE2b of their bytes are;
+    the rolling hash only groups.  Spans that differ from all earlier ones but share a hash with another span, or may repeat inside themselves, are candidates.
 3.  Candidates' bytes are dealt to shards by hash.  A shard builds a suffix array by Larsson-Sadakane refinement, takes
     common prefixes of neighbours by Kasai's rule, and windows in one group of neighbours with ``length`` or more in
     common are one string, of which the earliest stays.
@@ -37,7 +37,7 @@ STRETCH = 1 << 19
 SHARD_BYTES = 1 << 20
 #: Spans with one hash in one shard.
 CROWD = 2048
-#: Bytes of runs (36 each) of a shard that one task judges.
+#: Bytes of runs (44 each) of a shard that one task judges.
 CROWDED_BYTES = 64 << 20
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -83,8 +83,14 @@ def _sliding(values: np.ndarray, width: int, op, fill: int) -> np.ndarray:
     return op(behind[:n], ahead[width - 1 : width - 1 + n])
 
 
-def runs_of(data: np.ndarray, length: int, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of a text's windows: hash, hash of the span, first window, number of windows, may repeat inside itself."""
+def _names_of(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128 bits of BLAKE2b of each span's bytes, as two columns."""
+    raw, name = memoryview(np.ascontiguousarray(data)), hashlib.blake2b
+    return np.frombuffer(b"".join([name(raw[a:b], digest_size=16).digest() for a, b in zip(start.tolist(), end.tolist())]), dtype=np.uint64).reshape(-1, 2)
+
+
+def runs_of(data: np.ndarray, length: int, rolling: _Rolling) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of a text's windows: hash, both halves of the span's name, first window, number of windows, may repeat inside itself."""
     gram = max(1, length * 36 // 100)
     width = length - gram + 1
     found = []
@@ -107,16 +113,16 @@ def runs_of(data: np.ndarray, length: int, rolling: _Rolling) -> tuple[np.ndarra
             b = np.searchsorted(start, twice, side="right")
             depth = np.bincount(a, minlength=len(start) + 1) - np.bincount(np.minimum(b, len(start)), minlength=len(start) + 1)
             inside |= np.cumsum(depth)[: len(start)] > 0
-        span = rolling.between(prefix, start, start + count + length - 1) ^ (count.astype(np.uint64) * np.uint64(_BASE))
-        found.append((least[start], span, start + at, count, inside))
+        names = _names_of(part, start, start + count + length - 1)
+        found.append((least[start], names[:, 0], names[:, 1], start + at, count, inside))
     return tuple(np.concatenate(x) for x in zip(*found))  # type: ignore[return-value]
 
 
-def _settle(f, span, doc, start, size):
+def _settle(f, span, rest, doc, start):
     """Of runs: the order by class and place, who is first of its class, and who repeats an earlier run of its class."""
-    order = np.lexsort((start, doc, span, f))
-    f, span, doc, start = f[order], span[order], doc[order], start[order]
-    first = np.append(True, (f[1:] != f[:-1]) | (span[1:] != span[:-1]))
+    order = np.lexsort((start, doc, rest, span, f))
+    f, span, rest, doc, start = f[order], span[order], rest[order], doc[order], start[order]
+    first = np.append(True, (f[1:] != f[:-1]) | (span[1:] != span[:-1]) | (rest[1:] != rest[:-1]))
     head = np.flatnonzero(first)[np.cumsum(first) - 1]
     return order, first, (doc != doc[head]) | (start != start[head])
 
@@ -126,20 +132,20 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> I
     rolling, held, rows = _Rolling(), [], 0
 
     def flush() -> Iterator[pa.RecordBatch]:
-        f, span, doc, start, size = (np.concatenate(x) for x in zip(*held))
-        order, first, repeats = _settle(f, span, doc, start, size)
-        f, span, doc, start, size = (x[order] for x in (f, span, doc, start, size))
+        f, span, rest, doc, start, size = (np.concatenate(x) for x in zip(*held))
+        order, first, repeats = _settle(f, span, rest, doc, start)
+        f, span, rest, doc, start, size = (x[order] for x in (f, span, rest, doc, start, size))
         begin, count = start[repeats], (size[repeats] & ~_SELF).astype(np.int64)
         yield from _mark_rows(doc[repeats], begin, begin + count + length - 1)
-        f, span, doc, start, size = (x[first] for x in (f, span, doc, start, size))
+        f, span, rest, doc, start, size = (x[first] for x in (f, span, rest, doc, start, size))
         shard = (f % np.uint64(shards)).astype(np.int64)
         order = np.lexsort((start, doc, shard))
-        f, span, doc, start, size, shard = (x[order] for x in (f, span, doc, start, size, shard))
+        f, span, rest, doc, start, size, shard = (x[order] for x in (f, span, rest, doc, start, size, shard))
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
         ids, blobs = [], []
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist()):
             ids.append(int(shard[a]))
-            blobs.append(b"".join(x[a:b].tobytes() for x in (f, span, doc, start, size)))
+            blobs.append(b"".join(x[a:b].tobytes() for x in (f, span, rest, doc, start, size)))
             if len(ids) == 256:
                 yield _run_rows(ids, blobs)
                 ids, blobs = [], []
@@ -151,8 +157,8 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> I
             data = np.frombuffer((text.as_py() or "").encode("utf-8"), dtype=np.uint8)
             if doc is None or len(data) < length:
                 continue
-            f, span, start, count, inside = runs_of(data, length, rolling)
-            held.append((f, span, np.full(len(f), doc, dtype=np.int64), start.astype(np.int64), count.astype(np.uint32) | np.where(inside, _SELF, np.uint32(0))))
+            f, span, rest, start, count, inside = runs_of(data, length, rolling)
+            held.append((f, span, rest, np.full(len(f), doc, dtype=np.int64), start.astype(np.int64), count.astype(np.uint32) | np.where(inside, _SELF, np.uint32(0))))
             rows += len(f)
             if rows >= BUFFER:
                 yield from flush()
@@ -178,16 +184,17 @@ def _mark_rows(doc, start, end, f=None, rows: int = 16384) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.array(doc[s]), pa.array(start[s].astype(np.int64)), pa.array(end[s].astype(np.int64)), key, pa.nulls(n, pa.binary())], ["shard", "doc_id", "start", "end", "f", "runs"])
 
 
-_KINDS = ("u8", "u8", "i8", "i8", "u4")
+_KINDS = ("u8", "u8", "u8", "i8", "i8", "u4")
+_RUN_BYTES = sum(np.dtype(kind).itemsize for kind in _KINDS)
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch], column: int = 0) -> list[np.ndarray] | None:
-    """Runs of all blobs: hash, hash of the span, document, first window, number of windows and mark."""
-    parts: list[list[np.ndarray]] = [[], [], [], [], []]
+    """Runs of all blobs: hash, both halves of the span's name, document, first window, number of windows and mark."""
+    parts: list[list[np.ndarray]] = [[] for _ in _KINDS]
     for batch in batches:
         for blob in batch.column(column):
             raw = blob.as_py()
-            n, at = len(raw) // 36, 0
+            n, at = len(raw) // _RUN_BYTES, 0
             for held, kind in zip(parts, _KINDS):
                 held.append(np.frombuffer(raw, dtype=kind, count=n, offset=at))
                 at += n * np.dtype(kind).itemsize
@@ -206,22 +213,22 @@ def _judge_runs(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     runs = _unpacked(batches)
     if runs is None:
         return
-    f, size = runs[0], runs[4]
+    f, size = runs[0], runs[5]
     # Most hashes occur once: only the others, and runs that may repeat inside, go on.
     sorted_f = np.sort(f)
     again = np.unique(sorted_f[1:][sorted_f[1:] == sorted_f[:-1]])
     at = np.minimum(np.searchsorted(again, f), max(len(again) - 1, 0))
     use = (size >= _SELF) | (again[at] == f if len(again) else False)
-    f, span, doc, start, size = (x[use] for x in runs)
+    f, span, rest, doc, start, size = (x[use] for x in runs)
     if not len(f):
         return
-    order, first, repeats = _settle(f, span, doc, start, size)
+    order, first, repeats = _settle(f, span, rest, doc, start)
     f, doc, start, size = f[order], doc[order], start[order], size[order]
     end = start + (size & ~_SELF).astype(np.int64) + length - 1
     yield from _mark_rows(doc[repeats], start[repeats], end[repeats])
     candidate = first & (size > 0) & ((_classes(f, first) > 1) | (size >= _SELF))
     yield from _mark_rows(doc[candidate], start[candidate], end[candidate], f[candidate])
-    del runs, f, span, doc, start, size
+    del runs, f, span, rest, doc, start, size
     release_memory()
 
 
@@ -247,9 +254,9 @@ def _judge_part(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
     as runs again what only the whole shard can tell: the others, and for each hash with several spans a run without windows."""
 
     def judge(shard: int, blobs: list[bytes]) -> Iterator[pa.RecordBatch]:
-        f, span, doc, start, size = _unpacked([pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["runs"])])
-        order, first, repeats = _settle(f, span, doc, start, size)
-        f, span, doc, start, size = (x[order] for x in (f, span, doc, start, size))
+        f, span, more, doc, start, size = _unpacked([pa.RecordBatch.from_arrays([pa.array(blobs, pa.binary())], ["runs"])])
+        order, first, repeats = _settle(f, span, more, doc, start)
+        f, span, more, doc, start, size = (x[order] for x in (f, span, more, doc, start, size))
         end = start + (size & ~_SELF).astype(np.int64) + length - 1
         yield from _mark_rows(doc[repeats], start[repeats], end[repeats])
         several = _classes(f, first) > 1
@@ -257,7 +264,7 @@ def _judge_part(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.R
         yield from _mark_rows(doc[candidate], start[candidate], end[candidate], f[candidate])
         lonely = first & ~several
         witness = np.flatnonzero(several & np.append(True, f[1:] != f[:-1]))
-        rest = [np.concatenate([x[lonely], x[witness]]) for x in (f, span, doc, start)]
+        rest = [np.concatenate([x[lonely], x[witness]]) for x in (f, span, more, doc, start)]
         yield _run_rows([shard], [_packed([*rest, np.concatenate([size[lonely], np.zeros(len(witness), dtype=np.uint32)])])])
 
     last, held = None, []
@@ -582,7 +589,7 @@ def _remove(docs: DataFrame, length: int, want_text: bool, crowd: int, shard_byt
     """``docs`` less its text (and, without ``want_text``, less all but doc_id), with the digest columns and ``_rl_text``."""
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    shards = 8 * max(width, 4 * max(1, docs.rdd.getNumPartitions()))
+    shards = 2 * max(width, docs.rdd.getNumPartitions())
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = materialize(source.mapInArrow(partial(_find_runs, length=length, shards=shards), MARKS), "runs")
     judged, used = _judged(found, length, crowded_bytes)

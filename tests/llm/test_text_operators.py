@@ -330,10 +330,30 @@ def test_repeats_in_stretches(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "STRETCH", 64)
     rolling = suffix_dedup._Rolling()
     data = np.frombuffer(("abcdefghij" * 60 + "z").encode(), dtype=np.uint8)
-    _, _, start, count, _ = suffix_dedup.runs_of(data, 100, rolling)
+    _, _, _, start, count, _ = suffix_dedup.runs_of(data, 100, rolling)
     assert start[0] == 0 and (start[1:] == start[:-1] + count[:-1]).all() and start[-1] + count[-1] == len(data) - 99
 
 
+def test_spans_that_collide_in_the_rolling_hash_are_no_repeats(spark):
+    """Two texts whose blocks end in the Thue-Morse word and in its complement: equal in any polynomial hash modulo 2**64, and no window twice."""
+    rolling, rng = suffix_dedup._Rolling(), np.random.default_rng(3)
+    rolling.reach(36)
+    low, x = None, b""
+    for _ in range(20):
+        grams = rng.integers(97, 123, size=(100_000, 36)).astype(np.uint8)
+        prefix = np.zeros((len(grams), 37), dtype=np.uint64)
+        np.cumsum((grams.astype(np.uint64) + np.uint64(1)) * rolling.up[:36], axis=1, out=prefix[:, 1:])
+        h = rolling.between(prefix.T, np.zeros(1, dtype=np.int64), np.full(1, 36))[0]
+        if low is None or h.min() < low:
+            low, x = h.min(), grams[int(h.argmin())].tobytes()
+    x, r = x.decode(), random.Random(5)
+    noise = [f"{r.getrandbits(32):08x}" for _ in range(1024)]
+    bits = [bin(i).count("1") & 1 for i in range(1024)]
+    rows = [(1, "".join(x + n + str(b) for n, b in zip(noise, bits))), (2, "".join(x + n + str(1 - b) for n, b in zip(noise, bits)))]
+    got = {r["doc_id"]: tuple(r)[1:] for r in suffix_dedup.repeat_digests(docs_of(spark, rows)).collect()}
+    assert got == plain_repeats(rows, 100) and got[2][1] == 0
+
+
 def test_repeats_of_odd_rows(spark):
     long = "".join(random.Random(10).choices("ab ", k=300_000))
     rows = [(1, long), (2, long), (3, "short"), (4, None), (5, "q" * 50_000), (6, "é" * 300)]
