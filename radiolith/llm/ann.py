@@ -1,9 +1,10 @@
 """Approximate nearest neighbours by inner product: stable projections in a kd-tree, with a chi-square stopping test.
 
 Largest inner product is nearest distance once every vector has one more component that brings it to the greatest norm (of its
-band: norms within a factor of two in the square) and queries have zero there.  Points are projected to a few dimensions by a Gaussian
-(2-stable) matrix, so the squared projected distance over the squared true one follows the chi-square law.  A point as near as a query's k-th best
-has, with probability ``CONFIDENCE``, a projected distance within the law's quantile times that best distance: beyond it nothing is verified.
+band: norms within a factor of two in the square) and queries have zero there.  The vectors are projected to a few dimensions by a Gaussian
+(2-stable) matrix, so the squared projected distance over the squared true one follows the chi-square law.  The component more is the same for all queries, so it isn't
+projected but kept as an exact axis.  A point as near as a query's k-th best has, with probability ``CONFIDENCE``, a squared projected distance, over the
+law's quantile, that with the square of its exact axis is within the square of that best distance: beyond it nothing is verified.
 
 Cells.  A kd-tree on the projections of a bounded sample (``SAMPLE`` rows) deals all rows to at most ``MOST_CELLS`` cells a band, whose boxes
 are those of all their rows.  A query first goes to the cells nearest to its projection, until they hold ``FIRST_ROWS`` rows, and with the k-th best score
@@ -17,7 +18,7 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,7 @@ from .common import discard, materialize, release_memory
 from .vectors import matrix, squared_norm, takes_part
 
 DIMENSIONS = 24
-CONFIDENCE = 0.92
+CONFIDENCE = 0.95
 LEAF = 256
 #: Rows that the cells are fitted on, rows that a cell should have, and most cells.
 SAMPLE = 65_536
@@ -50,6 +51,7 @@ def chi_square_cdf(x: float, dimensions: int) -> float:
     return 1.0 - math.exp(-half) * total
 
 
+@lru_cache(maxsize=64)
 def chi_square_quantile(p: float, dimensions: int) -> float:
     low, high = 0.0, 1.0
     while chi_square_cdf(high, dimensions) < p:
@@ -61,16 +63,16 @@ def chi_square_quantile(p: float, dimensions: int) -> float:
 
 
 def projection(length: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, length]).standard_normal((length + 1, dimensions))
+    return np.random.default_rng([seed, length]).standard_normal((length, dimensions))
 
 
-def projection(length: int, dimensions: int = DIMENSIONS, seed: int = SEED) -> np.ndarray:
-    return np.random.default_rng([seed, length]).standard_normal((length + 1, dimensions))
-
+def placed(points: np.ndarray, top: float | None, confidence: float = CONFIDENCE, dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Projections over the root of the law's quantile, and the component that brings the squared norm to ``top`` (0 for queries, whose ``top`` is None).
 
-def lifted(points: np.ndarray, top: float) -> np.ndarray:
-    """Points with the component that brings their squared norm to ``top``."""
-    return np.column_stack([points, np.sqrt(np.maximum(top - (points * points).sum(axis=1), 0.0))])
+    What is within a distance has, with probability ``confidence``, its place within that distance of the query's."""
+    near = points @ projection(points.shape[1], dimensions) / math.sqrt(chi_square_quantile(confidence, dimensions))
+    more = np.zeros(len(points)) if top is None else np.sqrt(np.maximum(top - (points * points).sum(axis=1), 0.0))
+    return np.column_stack([near, more])
 
 
 class CellTree:
@@ -155,15 +157,14 @@ class Part:
     def __init__(self, points: np.ndarray, ids: np.ndarray, top_norm: float, confidence: float, dimensions: int):
         by_id = np.argsort(ids, kind="stable")
         points, ids = points[by_id], ids[by_id]
-        self.matrix, self.top = projection(points.shape[1], dimensions), top_norm
-        near = lifted(points, top_norm) @ self.matrix
+        self.top, self.setting = top_norm, (confidence, dimensions)
+        near = placed(points, top_norm, *self.setting)
         self.tree = KdTree(near)
         self.points, self.ids, self.near = points[self.tree.order], ids[self.tree.order], near[self.tree.order]
-        self.stop = chi_square_quantile(confidence, dimensions)
 
     def search(self, queries: np.ndarray, query_ids: np.ndarray, k: int, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
         tree, ids = self.tree, self.ids
-        near = queries @ self.matrix[:-1]
+        near = placed(queries, None, *self.setting)
         distance = tree.distances(near)
         visits = np.argsort(distance, axis=1, kind="stable")
         reach = (queries * queries).sum(axis=1) + self.top  # squared distance is this less twice the product
@@ -173,7 +174,7 @@ class Part:
         active, verified = np.arange(n), 0
         for turn in range(len(tree.leaves)):
             leaf = visits[active, turn]
-            limit = np.maximum(reach[active] - 2 * worst[active], 0.0) * self.stop
+            limit = np.maximum(reach[active] - 2 * worst[active], 0.0)
             going = ~(distance[active, leaf] > limit)  # also while there aren't k yet
             active, leaf, limit = active[going], leaf[going], limit[going]
             if not len(active):
@@ -219,32 +220,32 @@ class Part:
 class Cells:
     """All cells: length and band of their vectors, greatest squared norm of the band, rows, and boxes of the projections."""
 
-    def __init__(self, trees: dict, tops: dict, offsets: dict, dimensions: int):
-        self.trees, self.tops, self.offsets, self.dimensions = trees, tops, offsets, dimensions
+    def __init__(self, trees: dict, tops: dict, offsets: dict, confidence: float, dimensions: int):
+        self.trees, self.tops, self.offsets, self.setting = trees, tops, offsets, (confidence, dimensions)
         self.size = sum(t.leaves for t in trees.values())
         self.dim, self.top = np.zeros(self.size, dtype=np.int64), np.zeros(self.size)
         for key, tree in trees.items():
             span = slice(offsets[key], offsets[key] + tree.leaves)
             self.dim[span], self.top[span] = key[0], tops[key]
         self.rows = np.zeros(self.size, dtype=np.int64)
-        self.low, self.high = np.zeros((self.size, dimensions)), np.zeros((self.size, dimensions))
+        self.low, self.high = np.zeros((self.size, dimensions + 1)), np.zeros((self.size, dimensions + 1))
 
     def parts(self) -> np.ndarray:
         return np.maximum(1, -(-self.rows // PART))
 
-    def visits(self, dim: int, queries: np.ndarray, stop: float, worst: np.ndarray | None, first_rows: int) -> tuple[np.ndarray, np.ndarray]:
+    def visits(self, dim: int, queries: np.ndarray, worst: np.ndarray | None, first_rows: int) -> tuple[np.ndarray, np.ndarray]:
         """(query's row, cell) of the first cells, or, with the k-th best scores, of the other cells that are still open."""
         cells = np.flatnonzero((self.dim == dim) & (self.rows > 0))
         if not len(cells) or not len(queries):
             return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64)
-        near = queries @ projection(dim, self.dimensions)[:-1]
+        near = placed(queries, None, *self.setting)
         apart = np.zeros((len(queries), len(cells)))
-        for d in range(self.dimensions):
+        for d in range(near.shape[1]):
             q = near[:, d : d + 1]
             gap = np.maximum(np.maximum(self.low[cells, d] - q, q - self.high[cells, d]), 0.0)
             apart += gap * gap
-        # Open while apart <= stop * (|q|^2 + top - 2 worst): by this order what is open comes before what is not, whatever the score.
-        value = apart / stop - self.top[cells]
+        # Open while apart <= |q|^2 + top - 2 worst: by this order what is open comes before what is not, whatever the score.
+        value = apart - self.top[cells]
         order = np.argsort(value, axis=1, kind="stable")
         before = np.cumsum(self.rows[cells][order], axis=1) - self.rows[cells][order]
         taken = np.zeros(value.shape, dtype=bool)
@@ -268,12 +269,12 @@ def _by_length(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]
         yield dim, at, matrix(column.take(pa.array(at)))
 
 
-def _sampled(batches: Iterator[pa.RecordBatch], tops: dict, dimensions: int) -> Iterator[pa.RecordBatch]:
+def _sampled(batches: Iterator[pa.RecordBatch], tops: dict, confidence: float, dimensions: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for dim, _, x in _by_length(batch.column(0)):
             band = _band((x * x).sum(axis=1))
             for b in np.unique(band).tolist():
-                own = lifted(x[band == b], tops[dim, b]) @ projection(dim, dimensions)
+                own = placed(x[band == b], tops[dim, b], confidence, dimensions)
                 n = len(own)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, dim), pa.int32()), pa.array(np.full(n, b), pa.int32()), pa.array([v.astype("<f4").tobytes() for v in own], pa.binary())], ["dim", "band", "near"])
 
@@ -291,7 +292,7 @@ def _dealt(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.Recor
             band = _band((x * x).sum(axis=1))
             for b in np.unique(band).tolist():
                 own = at[band == b]
-                near = lifted(x[band == b], cells.tops[dim, b]) @ projection(dim, cells.dimensions)
+                near = placed(x[band == b], cells.tops[dim, b], *cells.setting)
                 cell[own] = cells.offsets[dim, b] + (found := cells.trees[dim, b].assign(near))
                 for c in np.unique(found).tolist():
                     mine, c = near[found == c], cells.offsets[dim, b] + c
@@ -307,22 +308,22 @@ def _dealt(batches: Iterator[pa.RecordBatch], cells: Cells) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, kind), pa.array([rows[c] for c in names], pa.int64()), *boxes], ["cell", "vec_id", "embedding", "n", "low", "high"])
 
 
-def _count_visits(batches: Iterator[pa.RecordBatch], cells: Cells, stop: float, again: bool, first_rows: int) -> Iterator[pa.RecordBatch]:
+def _count_visits(batches: Iterator[pa.RecordBatch], cells: Cells, again: bool, first_rows: int) -> Iterator[pa.RecordBatch]:
     total = np.zeros(cells.size, dtype=np.int64)
     for batch in batches:
         worst = batch.column(2).to_numpy(zero_copy_only=False)
         for dim, at, x in _by_length(batch.column(1)):
-            _, cell = cells.visits(dim, x, stop, worst[at] if again else None, first_rows)
+            _, cell = cells.visits(dim, x, worst[at] if again else None, first_rows)
             total += np.bincount(cell, minlength=cells.size)
     on = np.flatnonzero(total)
     yield pa.RecordBatch.from_arrays([pa.array(on, pa.int32()), pa.array(total[on])], ["cell", "visits"])
 
 
-def _visit(batches: Iterator[pa.RecordBatch], cells: Cells, stop: float, again: bool, first_rows: int) -> Iterator[pa.RecordBatch]:
+def _visit(batches: Iterator[pa.RecordBatch], cells: Cells, again: bool, first_rows: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         worst = batch.column(2).to_numpy(zero_copy_only=False)
         for dim, at, x in _by_length(batch.column(1)):
-            row, cell = cells.visits(dim, x, stop, worst[at] if again else None, first_rows)
+            row, cell = cells.visits(dim, x, worst[at] if again else None, first_rows)
             for a in range(0, len(row), 4096):
                 own, to = pa.array(at[row[a : a + 4096]]), pa.array(cell[a : a + 4096], pa.int32())
                 yield pa.RecordBatch.from_arrays([to, *(batch.column(k).take(own) for k in range(3))], ["cell", "vec_id", "embedding", "worst"])
@@ -382,31 +383,30 @@ def _found(vectors: DataFrame, is_query, k: int, confidence: float, dimensions:
         for b in (r["band"] - 1, r["band"], r["band"] + 1):
             tops[r["dim"], b] = max(tops.get((r["dim"], b), 0.0), min(r["top"], 2.0 ** (b + 1) * (1 + 1e-12)))
     every = max(1, -(-n // SAMPLE))
-    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(every)) == 0).select("embedding").mapInArrow(partial(_sampled, tops=tops, dimensions=dimensions), "dim int, band int, near binary").toArrow()
+    sample = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(SEED)), F.lit(every)) == 0).select("embedding").mapInArrow(partial(_sampled, tops=tops, confidence=confidence, dimensions=dimensions), "dim int, band int, near binary").toArrow()
     points = defaultdict(list)
     for d, b, near in zip(*(sample.column(c).to_pylist() for c in range(3))):
         points[d, b].append(np.frombuffer(near, dtype="<f4"))
     leaf = max(1.0, max(cell_rows, n / MOST_CELLS) / every)
-    trees = {key: CellTree(np.array(points[key], dtype=np.float64).reshape(-1, dimensions), leaf) for key in tops}
+    trees = {key: CellTree(np.array(points[key], dtype=np.float64).reshape(-1, dimensions + 1), leaf) for key in tops}
     offsets, at = {}, 0
     for key, tree in trees.items():
         offsets[key], at = at, at + tree.leaves
-    cells = Cells(trees, tops, offsets, dimensions)
+    cells = Cells(trees, tops, offsets, confidence, dimensions)
     kind = vectors.schema["embedding"].dataType.simpleString()
     dealt = materialize(rows.mapInArrow(partial(_dealt, cells=cells), f"cell int, vec_id long, embedding {kind}, n long, low array<double>, high array<double>"), "cells")
-    box = [f(F.get(c, F.lit(d))).alias(f"{c}{d}") for c, f in (("low", F.min), ("high", F.max)) for d in range(dimensions)]
+    box = [f(F.get(c, F.lit(d))).alias(f"{c}{d}") for c, f in (("low", F.min), ("high", F.max)) for d in range(dimensions + 1)]
     for r in dealt.where("n is not null").groupBy("cell").agg(F.sum("n").alias("n"), *box).collect():
         cells.rows[r["cell"]] = r["n"]
-        cells.low[r["cell"]], cells.high[r["cell"]] = ([r[f"{c}{d}"] for d in range(dimensions)] for c in ("low", "high"))
+        cells.low[r["cell"]], cells.high[r["cell"]] = ([r[f"{c}{d}"] for d in range(dimensions + 1)] for c in ("low", "high"))
     discard(rows)
     discard(repeated)
     corpus = dealt.where("vec_id is not null").select("cell", "vec_id", "embedding")
-    stop = chi_square_quantile(confidence, dimensions)
     queries = corpus.where(is_query(F.col("vec_id"))).select("vec_id", "embedding", F.lit(float("-inf")).alias("worst"))
     visited = f"cell int, vec_id long, embedding {kind}, worst double"
 
     def round_of(asking: DataFrame, again: bool, name: str) -> DataFrame:
-        setting = dict(cells=cells, stop=stop, again=again, first_rows=first_rows)
+        setting = dict(cells=cells, again=again, first_rows=first_rows)
         visits = np.zeros(cells.size, dtype=np.int64)
         for r in asking.mapInArrow(partial(_count_visits, **setting), "cell int, visits long").groupBy("cell").agg(F.sum("visits")).collect():
             visits[r[0]] = r[1]
