@@ -32,9 +32,11 @@ from .common import discard, heavy_keys, materialize, parts_for, release_memory,
 
 LENGTH = 100
 #: Runs that a task settles at a time, windows of a text hashed at a time, bytes of spans in a shard.
-BUFFER = 1 << 19
+BUFFER = 1 << 18
 STRETCH = 1 << 19
 SHARD_BYTES = 1 << 20
+#: Bytes of runs that leave a task at a time.
+BATCH = 1 << 20
 #: Spans with one hash in one shard.
 CROWD = 2048
 #: Bytes of runs (44 each) of a shard that one task judges.
@@ -142,13 +144,14 @@ def _find_runs(batches: Iterator[pa.RecordBatch], length: int, shards: int) -> I
         order = np.lexsort((start, doc, shard))
         f, span, rest, doc, start, size, shard = (x[order] for x in (f, span, rest, doc, start, size, shard))
         cuts = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))
-        ids, blobs = [], []
+        ids, blobs, held_bytes = [], [], 0
         for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(shard)).tolist()):
             ids.append(int(shard[a]))
             blobs.append(b"".join(x[a:b].tobytes() for x in (f, span, rest, doc, start, size)))
-            if len(ids) == 256:
+            held_bytes += len(blobs[-1])
+            if held_bytes >= BATCH:
                 yield _run_rows(ids, blobs)
-                ids, blobs = [], []
+                ids, blobs, held_bytes = [], [], 0
         if ids:
             yield _run_rows(ids, blobs)
 
