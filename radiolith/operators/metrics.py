@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
 
-def auc(df: DataFrame, label: str, score: str, target: str) -> DataFrame:
+
+def auc(df: DataFrame, label: str, score: str, target: str, parts: int | None = None) -> DataFrame:
     """Area under the ROC curve of each label by average ranks, NULL where a class is missing; rows without score or target are left out.
 
-    Equal scores are counted before they are ranked, so the sort is over distinct scores and a popular score is one row.
+    Equal scores are counted before they are ranked, so a popular score is one row; the ranks of a label's distinct scores run over ranges of them.
     """
     rows = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double")) & F.col(target).isNotNull())
     ties = rows.groupBy(label, score).agg(F.count("*").alias("_n"), F.count_if(F.col(target) > 0.5).alias("_p"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = ties.withColumn("_rank", before + (F.col("_n") + 1) / F.lit(2.0))
+    ranked = running_sums(ties, [label], score, ["_n"], parts).withColumn("_rank", F.col("before__n") + (F.col("_n") + 1) / F.lit(2.0))
     sums = ranked.groupBy(label).agg(F.sum(F.col("_rank") * F.col("_p")).alias("_s"), F.sum("_p").alias("positives"), F.sum("_n").alias("n"))
     p, n = F.col("positives").cast("double"), F.col("n") - F.col("positives")
     return sums.select(label, "n", "positives", F.when((p > 0) & (n > 0), (F.col("_s") - p * (p + 1) / 2) / (p * n)).alias("auc"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None) -> Callable:
     return add
 
 
-from . import audit_queries, io_queries, model_queries, study_queries  # noqa: E402, F401
+from . import audit_queries, distribution_queries, io_queries, model_queries, study_queries  # noqa: E402, F401
