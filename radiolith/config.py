@@ -39,11 +39,11 @@ def scalar(text: str):
 
 
 def set_path(config: dict, path: str, value) -> None:
-    """Set a value by dotted path, making mappings on the way."""
+    """Set a value by dotted path, making mappings on the way; a path through what is no mapping is a ValueError."""
     *parents, last = path.split(".")
     for key in parents:
-        if not isinstance(config.get(key), dict):
-            config[key] = {}
+        if not isinstance(config.setdefault(key, {}), dict):
+            raise ValueError(f"{path}: {key} holds no mapping")
         config = config[key]
     config[last] = value
 

@@ -44,14 +44,15 @@ def series_signatures(slices: DataFrame, keys: list[str], content: str, order: l
     return pick.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_i", F.col(content).alias("c")))), lambda s: s["c"]), "|").alias("signature"), F.max("_n").alias("slice_count"))
 
 
-def cross_study_edges(members: DataFrame, key: str, study: str) -> DataFrame:
+def cross_study_edges(members: DataFrame, key: str, study: str, per_salt: int = PER_SALT) -> DataFrame:
     """Of every key that several studies share, links from the least of them to each other: study_a, study_b, distinct.
 
-    The least study comes from an aggregate and a join, so a key that very many studies share is never gathered in a list.
+    The least study comes from an aggregate and a join, so a key that very many studies share is never gathered in a list, and its studies are split over tasks (a blank slice).
     """
     distinct = members.where(F.col(key).isNotNull() & F.col(study).isNotNull()).select(F.col(key).alias("_k"), F.col(study).alias("study_b")).distinct()
-    least = distinct.groupBy("_k").agg(F.min("study_b").alias("study_a"))
-    return distinct.join(least, "_k").where("study_a < study_b").select("study_a", "study_b").distinct()
+    least = distinct.groupBy("_k").agg(F.min("study_b").alias("study_a"), F.count("*").alias("_n")).where("_n > 1")
+    heavy = heavy_keys(least.select("_k", "_n"), "_n", distinct.count(), per_salt)
+    return spread_join(distinct, least.drop("_n"), ["_k"], heavy, F.xxhash64("study_b"), "inner").where("study_a < study_b").select("study_a", "study_b").distinct()
 
 
 def level_counts(groups: DataFrame) -> DataFrame:

@@ -2,26 +2,27 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_vector
+from ..functions.joins import PER_SALT, heavy_keys, spread_join
 from ..functions.scratch import materialize
 from .graph import components
+from .ranges import running_sums
 
 
-def study_groups(studies: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def study_groups(studies: DataFrame, edges: DataFrame | None = None, per_salt: int = PER_SALT) -> DataFrame:
     """``study_id`` and ``group``: studies that share a patient or are linked, directly or through others, are one group.
 
     ``studies`` has study_id and patient_hash (NULL: no known patient); links with an unknown end don't count.  The group is named by
     its least study.  Studies of a patient link to the patient's least one, so a patient with many is a star, not all pairs.
     """
-    patients = studies.where("patient_hash is not null and patient_hash <> ''").groupBy("patient_hash").agg(F.min("study_id").alias("a"))
-    links = studies.join(patients, "patient_hash").where("study_id <> a").select("a", F.col("study_id").alias("b"))
+    known = studies.where("patient_hash is not null and patient_hash <> ''").select("study_id", "patient_hash")
+    patients = known.groupBy("patient_hash").agg(F.min("study_id").alias("a"), F.count("*").alias("_n"))
+    heavy = heavy_keys(patients.select("patient_hash", "_n"), "_n", known.count(), per_salt)  # one default patient may have any share of the studies
+    links = spread_join(known, patients.drop("_n"), ["patient_hash"], heavy, F.xxhash64("study_id"), "inner").where("study_id <> a").select("a", F.col("study_id").alias("b"))
     if edges is not None:
         known = studies.select("study_id").distinct()
         own = edges.select(F.col("study_a").alias("a"), F.col("study_b").alias("b"))
@@ -40,52 +41,51 @@ def group_labels(studies: DataFrame, groups: DataFrame, n_labels: int) -> DataFr
     return folded.join(sizes, "group").select("group", "size", F.col("_l.value").alias("labels"), F.col("_l.total").alias("totals"))
 
 
-def place_labelled(groups: pd.DataFrame, folds: int, totals: np.ndarray) -> tuple[list[int], np.ndarray]:
-    """Greedy folds of labelled groups, rarest labels first: the fold with fewest groups, then the one whose label sums come nearest
-    to their share, then the first.  Also how many studies each fold then has."""
-    goal = totals / folds
-    have, groups_in, size = np.zeros((folds, len(totals))), np.zeros(folds, dtype=int), np.zeros(folds, dtype=int)
-    out = []
-    for labels, n in zip(groups["labels"], groups["size"]):
-        v = np.asarray(labels, dtype=float)
-        cost = (((have + v - goal) / np.maximum(goal, 1.0)) ** 2).mean(axis=1)
-        fold = int(np.lexsort((np.arange(folds), cost, groups_in))[0])
-        have[fold] += v
-        groups_in[fold] += 1
-        size[fold] += n
-        out.append(fold)
-    return out, size
+def deal_classes(classes: list[tuple[str, int]], folds: int) -> dict[str, tuple[int, list[int]]]:
+    """Of classes (a digit for each label, 1 where a group of the class has it; how many groups), rarest labels first: how many groups every fold takes, and which folds take one of the
+    groups that are left.
+
+    Those are the folds with the fewest groups, then the ones whose label sums then come nearest to their share, then the first; so folds' groups, and each class' groups in
+    them, differ by one at most.
+    """
+    if not classes:
+        return {}
+    sets = np.array([[int(d) for d in c] for c, _ in classes], dtype=float)
+    counts = np.array([n for _, n in classes], dtype=float)
+    totals = counts @ sets
+    goal, weight = totals / folds, 1.0 / np.maximum(totals, 1.0)
+    have, taken = np.zeros((folds, sets.shape[1])), np.zeros(folds, dtype=int)
+    out = {}
+    for k in sorted(range(len(classes)), key=lambda k: (-float(sets[k] @ weight), classes[k][0])):
+        base, left = divmod(classes[k][1], folds)
+        have += base * sets[k]
+        taken += base
+        cost = (((have + sets[k] - goal) / np.maximum(goal, 1.0)) ** 2).mean(axis=1)
+        extra = np.lexsort((np.arange(folds), cost, taken))[:left]
+        have[extra] += sets[k]
+        taken[extra] += 1
+        out[classes[k][0]] = (base, extra.tolist())
+    return out
 
 
 def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: DataFrame | None = None, n_labels: int = 12) -> DataFrame:
     """``study_id``, ``group`` and ``fold``.
 
-    Groups with a positive label are placed one after another, since each choice depends on all before it: one short row for each such group
-    goes to a single task.  The others only have to level the folds' sizes, which needs no sequence: in a seeded order, their running study
+    Groups with a positive label are dealt by class, the set of labels that they have: what is decided one after another are classes, at most ``2 ** n_labels`` of them, by their counts; a group's fold
+    follows from its rank, by seeded hash, in its class.  The others only have to level the folds' sizes: in a seeded order, their running study
     count is cut where the folds' remaining room ends.
     """
     groups = study_groups(studies, edges)
     table = materialize(group_labels(studies, groups, n_labels), "groups")  # read by five jobs
     positive = F.exists("labels", lambda x: x > 0)
-    totals = table.select(F.posexplode("totals").alias("label", "v")).groupBy("label").agg(F.sum("v").alias("v")).orderBy("label").collect()
-    sums = np.array([r["v"] for r in totals] or [0.0] * n_labels, dtype=float)
-    weight = F.array(*(F.lit(float(1.0 / max(x, 1.0))) for x in sums))
-    priority = F.aggregate(F.zip_with("labels", weight, lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    labelled = table.where(positive).withColumns({"priority": priority, "tie": F.xxhash64("group", F.lit(seed))})
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True) if batches else pd.DataFrame()
-        if len(rows):
-            rows = rows.sort_values(["priority", "tie", "group"], ascending=[False, True, True], kind="stable")
-            fold, _ = place_labelled(rows, folds, sums)
-            yield pd.DataFrame({"group": rows["group"], "size": rows["size"], "fold": fold})
-
-    def one_task(batches):
-        held = [b for b in batches if len(b)]
-        return place(iter(held)) if held else iter(())
-
-    short = labelled.select("group", "size", "labels", "priority", "tie").repartition(1)  # the shuffle keeps what makes the rows in as many tasks as it has
-    placed = materialize(short.mapInPandas(one_task, "group string, size long, fold int"), "placed")
+    class_ = F.array_join(F.transform("labels", lambda x: F.when(x > 0, "1").otherwise("0")), "")
+    labelled = table.where(positive).select("group", "size", class_.alias("class"), F.struct(F.xxhash64("group", F.lit(seed)).alias("h"), F.col("group").alias("g")).alias("order"), F.lit(1).alias("one"))
+    plan = deal_classes(sorted(tuple(r) for r in labelled.groupBy("class").count().collect()), folds)
+    dealt = studies.sparkSession.createDataFrame([(c, base, extra) for c, (base, extra) in plan.items()], "class string, base long, extra array<int>")
+    rank, even = F.col("before_one"), F.col("base") * folds
+    fold = F.when(rank < even, rank % folds).otherwise(F.get("extra", (rank - even).cast("int"))).cast("int")
+    ranked = running_sums(labelled, ["class"], "order", ["one"]).join(F.broadcast(dealt), "class")  # a row for each class
+    placed = materialize(ranked.select("group", "size", fold.alias("fold")), "placed")
     taken = {r["fold"]: r["n"] for r in placed.groupBy("fold").agg(F.sum("size").alias("n")).collect()}
     rest = table.where(~positive)
     n_rest = rest.agg(F.coalesce(F.sum("size"), F.lit(0))).collect()[0][0]
