@@ -4,7 +4,8 @@ A document is a bag of sentences.  A sentence's log-odds are a bias plus the wei
 words' first letters (so that inflected forms share evidence); the document's probability is
 one minus the product of the sentences' probabilities of being clean, each over that of a sentence without any
 feature, and of a document's own of being called toxic for no sentence at all (a leak, so that labels without an offending word aren't laid on every
-sentence).  So plain sentences add nothing, however many there are.  Which features may
+sentence).  So plain sentences add nothing, however many there are; and of what sentences add that alone would not make a document toxic, the share that
+as many sentences of clean documents have, and three deviations of it, is taken off, so that stray features of a long clean text don't add up.  Which features may
 carry weight is settled by a likelihood-ratio screen over the labelled training rows, the weights by gradient
 descent on the noisy-or likelihood.  Both use a bounded, stratified sample of labelled rows (``PER_LABEL`` of
 each label, by hash order); everything that is scored is scored whole.
@@ -49,12 +50,14 @@ class ToxicityModel:
     """``weights`` by feature and the ``bias`` of a sentence without any.
 
     With a ``leak``, the least a document of any sentences takes off the logarithm of being clean, sentences count beyond
-    what one without any feature has; without it their noisy-or is plain.
+    what one without any feature has; without it their noisy-or is plain.  ``stray`` is what sentences of clean documents add that alone don't make a document
+    toxic: its mean for each sentence, and that of its square.
     """
 
     weights: dict[str, float]
     bias: float
     leak: float | None = None
+    stray: tuple[float, float] = (0.0, 0.0)
 
     def scorer(self) -> SentenceScorer:
         return SentenceScorer(self)
@@ -79,12 +82,17 @@ def _softplus(z: float) -> float:
     return max(z, 0.0) + math.log1p(math.exp(-abs(z)))
 
 
+#: What a sentence adds at least that alone makes a document toxic.
+STRONG = -math.log(1.0 - ACCEPT)
+
+
 class SentenceScorer:
     """Scores sentences and whole documents with a model."""
 
     def __init__(self, model: ToxicityModel):
         self.bias = model.bias
         self.leak = model.leak
+        self.stray = model.stray
         self.word = _WordWeights(model.weights)
 
     def sentences(self, text: str | None) -> list[tuple[int, int, float]]:
@@ -100,7 +108,11 @@ class SentenceScorer:
         """Noisy-or of the sentences, their number, and the one likeliest to offend."""
         found = self.sentences(text)
         plain = 0.0 if self.leak is None else _softplus(self.bias)
-        clean = sum(_softplus(z) - plain for _, _, z in found if self.leak is None or z > self.bias) + (found and self.leak or 0.0)
+        adds = [_softplus(z) - plain for _, _, z in found if self.leak is None or z > self.bias]
+        weak = sum(x for x in adds if x < STRONG)
+        if self.leak is not None:
+            weak = max(0.0, weak - self.stray[0] * len(found) - 3.0 * math.sqrt(self.stray[1] * len(found)))
+        clean = weak + sum(x for x in adds if x >= STRONG) + (found and self.leak or 0.0)
         return min(1.0, max(0.0, -math.expm1(-clean))), len(found), max(found, key=lambda s: s[2], default=None)
 
 
@@ -136,36 +148,47 @@ def _screened(sample: DataFrame, totals: dict[int, int]) -> list[tuple[str, floa
     return [(r[0], r[1]) for r in rows]
 
 
-def _bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of the sampled rows: label; and of the features of their sentences that have one:
-    row, sentence and feature numbers (``row`` by sentence).  Comes as Arrow columns, a few bytes for each feature found."""
+def _bags(sample: DataFrame, names: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the sampled rows: label; of the features of their sentences that have one:
+    row, sentence and feature numbers (``row`` by sentence); and how many sentences each row has.  Comes as Arrow columns, a few bytes for each feature found."""
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            labels, counts, features = [], [], []
+            labels, counts, features, every = [], [], [], []
             for text, label in zip(batch.column(0), batch.column(1).to_pylist()):
-                sizes, ids = [], []
+                sizes, ids, n = [], [], 0
                 for m in _SENTENCE.finditer((text.as_py() or "").lower()):
                     if words := _WORD.findall(m[0]):
+                        n += 1
                         if own := [index[f] for w in set(words) for f in features_of(w) if f in index]:
                             sizes.append(len(own))
                             ids += own
                 labels.append(label)
                 counts.append(sizes)
                 features.append(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32()))], ["toxic", "sizes", "ids"])
+                every.append(n)
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(counts, pa.list_(pa.int32())), pa.array(features, pa.list_(pa.int32())), pa.array(every, pa.int32())], ["toxic", "sizes", "ids", "sentences"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, sizes array<int>, ids array<int>").toArrow().combine_chunks()
+    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, sizes array<int>, ids array<int>, sentences int").toArrow().combine_chunks()
     lists = [rows.column(c).combine_chunks() for c in ("sizes", "ids")]
     sizes, ids = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
     row = np.repeat(np.arange(len(rows)), lists[0].value_lengths().to_numpy(zero_copy_only=False))
-    return rows.column("toxic").to_numpy(), row, np.repeat(np.arange(len(sizes)), sizes), ids
+    return rows.column("toxic").to_numpy(), row, np.repeat(np.arange(len(sizes)), sizes), ids, rows.column("sentences").to_numpy()
+
+
+def _stray(bags, weights: np.ndarray, bias: float) -> tuple[float, float]:
+    """Mean, and mean square, of what a sentence of the clean rows adds where it alone wouldn't make its document toxic."""
+    labels, row, owner, feature, sentences = bags
+    z = bias + np.bincount(owner, weights=weights[feature], minlength=len(row))
+    adds = (np.logaddexp(0.0, z) - np.logaddexp(0.0, bias))[labels[row] == 0]
+    weak, n = adds[adds < STRONG], max(1, int(sentences[labels == 0].sum()))
+    return float(weak.sum() / n), float((weak * weak).sum() / n)
 
 
 def _fit_weights(bags, n_features: int, class_weight: dict[int, float], steps: int = 600, rate: float = 0.1, ridge: float = 1e-5) -> tuple[np.ndarray, float, float]:
     """Weights, bias and leak by Adam on the noisy-or likelihood of the bags."""
-    labels, row, owner, feature = bags
+    labels, row, owner, feature = bags[:4]
     weight = np.where(labels > 0, class_weight[1], class_weight[0])
     weight = weight / weight.sum()
     theta = np.zeros(n_features + 2)
@@ -208,13 +231,14 @@ def fit(docs: DataFrame, labels: DataFrame, train, per_label: int = PER_LABEL) -
     if bags is None:
         return ToxicityModel({}, -20.0)
     weights, bias, leak = _fit_weights(bags, len(names), {y: counts[y] / totals[y] for y in (0, 1)})
-    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if w > 1e-3}, bias, leak)
+    return ToxicityModel({f: float(w) for f, w in zip(names, weights) if w > 1e-3}, bias, leak, _stray(bags, weights, bias))
 
 
 def score(docs: DataFrame, model: ToxicityModel, accept: float = ACCEPT) -> DataFrame:
     """``docs`` row by row: doc_id, score, predicted, sentences, and the place and score of the worst sentence.
 
-    Null and empty texts have no sentence and score 0.  Reads doc_id and text only; no shuffle.
+    Null and empty texts have no sentence and score 0, and so does every row of a model without weights.  Texts of any length are scored whole.  Rows that repeat are
+    scored each, a null doc_id stays null, an empty table gives an empty result.  Reads doc_id and text only; no shuffle.
     """
     schema = "doc_id long, score double, predicted int, n_sentences int, worst_start int, worst_end int, worst_score double"
 
@@ -252,7 +276,9 @@ def in_training_folds(doc_id):
 
 
 def without_toxic(docs: DataFrame, model: ToxicityModel, accept: float = ACCEPT) -> DataFrame:
-    """The rows of ``docs`` whose text scores below ``accept``; all columns stay. No shuffle."""
+    """The rows of ``docs`` whose text scores below ``accept``; all columns stay. No shuffle.
+
+    Null and empty texts stay, rows that repeat are judged each, texts of any length whole; doc_id isn't read."""
 
     @F.pandas_udf("double")
     def noisy_or(texts):

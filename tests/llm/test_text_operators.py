@@ -1,4 +1,6 @@
 import hashlib
+import math
+import os
 import random
 import zlib
 
@@ -480,3 +482,53 @@ def test_toxicity_on_held_out_rows(spark):
     assert found >= 0.95 and wrong <= 0.01
     long = ". ".join(" ".join(r.choices(plain, k=8)) for _ in range(100_000))
     assert model.scorer().document(long)[0] < toxicity.ACCEPT
+
+
+def test_toxicity_of_long_clean_texts(spark):
+    """Sentences of sf0.1's clean documents stay clean as texts of up to 100,000 of them, and one offending sentence among them is found."""
+    folder = "/root/testdata/sf0.1"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    model = toxicity.fit(docs, labels, toxicity.in_training_folds)
+    scorer, r = model.scorer(), random.Random(4)
+    rows = docs.join(labels, "doc_id").select("text", "toxic").collect()
+    clean = [x["text"] for x in rows if x["toxic"] == 0 and scorer.document(x["text"])[0] < toxicity.ACCEPT]
+    lines = [line for text in clean for line in text.split("\n") if line.strip()]
+    for n in (100, 10_000, 30_000, len(lines)):
+        text = "\n".join(r.sample(lines, min(n, len(lines))))
+        score, sentences, _ = scorer.document(text)
+        assert score < 0.2, (n, sentences, score)
+        offender = max((s for x in rows if x["toxic"] == 1 for s in [scorer.document(x["text"])[2]] if s), key=lambda s: s[2])
+        assert sentences > n / 2 and offender[2] > 1
+    worst = next(x["text"] for x in rows if x["toxic"] == 1 and (scorer.document(x["text"])[2] or (0, 0, 0))[2] > 1.5)
+    a, b, _ = scorer.document(worst)[2]
+    assert scorer.document(text + "\n" + worst[a:b] + ".")[0] >= toxicity.ACCEPT
+
+
+def test_toxicity_fit_is_a_minimum_of_the_plain_likelihood():
+    """The weights of Adam against the noisy-or likelihood written out: no step along any weight lowers it."""
+    rng = np.random.default_rng(3)
+    bags = [([[int(k) for k in rng.choice(6, rng.integers(1, 3), replace=False)] for _ in range(rng.integers(1, 5))]) for _ in range(120)]
+    labels = np.array([int(any(0 in s or 1 in s for s in b)) if rng.random() > 0.1 else int(rng.integers(2)) for b in bags])
+    row = np.repeat(np.arange(len(bags)), [len(b) for b in bags])
+    sizes = [len(s) for b in bags for s in b]
+    packed = (labels, row, np.repeat(np.arange(len(row)), sizes), np.array([k for b in bags for s in b for k in s]))
+    class_weight = {0: 2.0, 1: 1.0}
+    weights, bias, leak = toxicity._fit_weights(packed, 6, class_weight, steps=4000, rate=0.02)
+
+    def loss(w):
+        total, mass = 0.0, 0.0
+        for bag, y in zip(bags, labels):
+            clean = leak + sum(math.log1p(math.exp(bias + sum(w[k] for k in s))) - math.log1p(math.exp(bias)) for s in bag)
+            total -= class_weight[y] * (math.log(-math.expm1(-clean)) if y else -clean)
+            mass += class_weight[y]
+        return total / mass + 0.5e-5 * float(w @ w)
+
+    best = loss(weights)
+    for k in range(6):
+        for step in (-0.05, 0.05):
+            moved = weights.copy()
+            moved[k] = max(0.0, moved[k] + step)
+            assert loss(moved) >= best - 1e-6
+    assert min(weights[0], weights[1]) > 2 * max(weights[2:])
