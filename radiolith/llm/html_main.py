@@ -27,6 +27,7 @@ from collections.abc import Iterator, Mapping
 from functools import partial
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -494,47 +495,88 @@ def site_lists(nodes: DataFrame, texts: DataFrame, low: float = LOW) -> tuple[Da
     return common.join(placed.where("not common").groupBy("host").agg(F.count("*").alias("rare")), "host", "left"), placed
 
 
-def _rare_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes of pages (host, page, html, common nodes) that aren't among the common ones of their host."""
-    known: dict[int, frozenset[int]] = {}
+def _beside_lists(rows: DataFrame, lists: DataFrame, use, schema: str, heavy: DataFrame | None, small: bool) -> DataFrame:
+    """``rows`` (``_rl_own``, the host, first) through ``use(batches, lists_of)``, where ``lists_of(host)`` has the host's common nodes and texts, or None.
+
+    A ``small`` table of lists is sent to the workers once.  Otherwise rows are dealt by host, large hosts over salts, and each part's list comes once, before its rows.
+    """
+    if small:
+        held = {r["_rl_host"]: (r["nodes"], r["texts"]) for r in lists.select("_rl_host", "nodes", "texts").collect()}
+        held = {host: ([(x["node"], x["pages"], x["novel"], x["style_entropy"]) for x in nodes], texts or []) for host, (nodes, texts) in held.items()}
+        shared = rows.sparkSession.sparkContext.broadcast(held)  # its size is checked by the caller
+        return rows.mapInArrow(lambda batches: use(batches, lambda host: shared.value.get(host)), schema)
+    names = rows.columns
+    salt = F.lit(0) if heavy is None else F.coalesce(F.pmod(F.xxhash64(*names[1:3]), F.col("_rl_salts")), F.lit(0)).cast("int")
+    salted = rows if heavy is None else rows.join(F.broadcast(heavy), "_rl_own", "left")  # at most 65,536 hosts
+    dealt = salted.select(salt.alias("_rl_salt"), F.lit(1).alias("_rl_side"), *names, F.lit(None).cast("array<struct<node:bigint,pages:double,novel:double,style_entropy:double>>").alias("_rl_nodes"), F.lit(None).cast("array<bigint>").alias("_rl_texts"))
+    named = lists.withColumnRenamed("_rl_host", "_rl_own")
+    copies = named.withColumn("_rl_salt", F.lit(0)) if heavy is None else named.join(F.broadcast(heavy), "_rl_own", "left").withColumn("_rl_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_rl_salts", F.lit(1)) - 1)))
+    first = copies.select("_rl_salt", F.lit(0).alias("_rl_side"), *(F.col("_rl_own") if n == "_rl_own" else F.lit(None).cast(rows.schema[n].dataType).alias(n) for n in names), F.col("nodes").alias("_rl_nodes"), F.col("texts").alias("_rl_texts"))
+    keyed = first.unionByName(dealt).repartition("_rl_own", "_rl_salt").sortWithinPartitions("_rl_own", "_rl_salt", "_rl_side")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here: dict[int, tuple] = {}
+
+        def pages() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                side = batch.column(1).to_numpy(zero_copy_only=False)
+                cuts = [0, *(np.flatnonzero(side[1:] != side[:-1]) + 1).tolist(), len(side)]
+                for a, b in zip(cuts, cuts[1:]):
+                    if a == b:
+                        continue
+                    some = batch.slice(a, b - a)
+                    if side[a] == 1:
+                        yield some.select(names)
+                        continue
+                    here.clear()
+                    for host, nodes, texts in zip(some.column("_rl_own").to_pylist(), some.column("_rl_nodes").to_pylist(), some.column("_rl_texts").to_pylist()):
+                        here[host] = ([(x["node"], x["pages"], x["novel"], x["style_entropy"]) for x in nodes or ()], texts or [])
+
+        yield from use(pages(), here.get)
+
+    return keyed.mapInArrow(run, schema)
+
+
+def _rare_of(batches: Iterator[pa.RecordBatch], lists_of) -> Iterator[pa.RecordBatch]:
+    """The nodes of pages (host, page, html) that aren't among the common ones of their host."""
+    last, known = None, frozenset()
     for batch in batches:
         found = set()
-        for host, page, html, nodes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
-            if host not in known:
-                if len(known) > 256:
-                    known.clear()
-                known[host] = frozenset(x["node"] for x in nodes.as_py())
-            found.update((host, page, k) for k in parse(html.as_py())[0] if k not in known[host])
+        for host, page, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+            if host != last:
+                last, known = host, frozenset(x[0] for x in (lists_of(host) or ((), ()))[0])
+            found.update((host, page, k) for k in parse(html.as_py())[0] if k not in known)
         columns = list(zip(*found)) if found else [()] * 3
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["host", "page", "node"])
 
 
-def page_lists(pages: DataFrame, placed: DataFrame) -> DataFrame:
+def page_lists(pages: DataFrame, placed: DataFrame, lists: DataFrame, heavy: DataFrame | None = None, small: bool = True) -> DataFrame:
     """``_rl_own``, ``_rl_page`` (hash of the html) and the list ``more`` of the rare nodes of every page that has some.
 
-    ``pages`` (_rl_own, _rl_page, html, nodes) are those of hosts with rare nodes.  Pages of a host with the same hash share a list; were their html
+    ``pages`` (_rl_own, _rl_page, html) are those of hosts with rare nodes.  Pages of a host with the same hash share a list; were their html
     different it would hold nodes of both, which changes neither.
     """
-    has = pages.select("_rl_own", "_rl_page", "html", "nodes").mapInArrow(_rare_of, "host long, page long, node long").distinct()
+    has = _beside_lists(pages.select("_rl_own", "_rl_page", "html"), lists, _rare_of, "host long, page long, node long", heavy, small).distinct()
     met = has.join(placed.where("not common"), ["host", "node"]).groupBy(F.col("host").alias("_rl_own"), F.col("page").alias("_rl_page"))
     return met.agg(F.collect_list(F.struct("node", "pages", "novel", "style_entropy", "texts")).alias("more"))
 
 
-def _extract(batches: Iterator[pa.RecordBatch], low: float, priors: bool) -> Iterator[pa.RecordBatch]:
+def _extract(batches: Iterator[pa.RecordBatch], lists_of, low: float, priors: bool) -> Iterator[pa.RecordBatch]:
+    """Rows (host, page_id, url, html, more)."""
     known: dict[int, SiteTree] = {}
     for batch in batches:
         texts = []
-        for html, host, nodes, low_texts, more in zip(*(batch.column(k) for k in range(2, 7))):
-            key = host.as_py()
+        for key, html, more in zip(batch.column(0).to_pylist(), batch.column(3), batch.column(4)):
             if key not in known:
                 if len(known) > 256:
                     known.clear()
-                known[key] = SiteTree({x["node"]: (x["pages"], x["novel"], x["style_entropy"]) for x in nodes.as_py() or ()}, frozenset(low_texts.as_py() or ()))
+                nodes, low_texts = lists_of(key) or ((), ())
+                known[key] = SiteTree({x[0]: x[1:] for x in nodes}, frozenset(low_texts))
             site = known[key]
             if rare := more.as_py():
                 site = site.with_more({x["node"]: (x["pages"], x["novel"], x["style_entropy"]) for x in rare}, frozenset(t for x in rare for t in x["texts"] or ()))
             texts.append(main_text(html.as_py(), site, low, priors))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
 def extract_pages(pages: DataFrame, low: float = LOW, priors: bool = True, broadcast_bytes: int = BROADCAST_BYTES, salt_pages: int = SALT_PAGES) -> DataFrame:
@@ -551,26 +593,24 @@ def extract_pages(pages: DataFrame, low: float = LOW, priors: bool = True, broad
     discard(nodes)
     discard(texts)
     size, n_rare = lists.agg(F.sum(64 + 32 * F.size("nodes") + 8 * F.size("texts")), F.sum("rare")).collect()[0]
-    own = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("_rl_own"), F.xxhash64("html").alias("_rl_page"))
-    if (size or 0) <= broadcast_bytes:
-        joined = own.join(F.broadcast(lists), F.col("_rl_own") == F.col("_rl_host"), "left")
-    else:
-        heavy = heavy_keys(lists.select(F.col("_rl_host").alias("_rl_own"), F.col("all").cast("long").alias("n")), "n", pages.count(), salt_pages)
-        joined = spread_join(own, lists.withColumnRenamed("_rl_host", "_rl_own"), ["_rl_own"], heavy, F.xxhash64("page_id", "url"))
+    own = pages.select(F.xxhash64(host_of(F.col("url"))).alias("_rl_own"), F.col("page_id").cast("long").alias("page_id"), "url", "html", F.xxhash64("html").alias("_rl_page"))
+    small = (size or 0) <= broadcast_bytes
+    heavy = None if small else heavy_keys(lists.select(F.col("_rl_host").alias("_rl_own"), F.col("all").cast("long").alias("n")), "n", pages.count(), salt_pages)
     if n_rare:
-        more = materialize(page_lists(joined.where("rare > 0"), placed), "page-lists")
+        mixed = own.join(lists.where("rare > 0").select(F.col("_rl_host").alias("_rl_own")), "_rl_own", "left_semi")
+        more = materialize(page_lists(mixed, placed, lists, heavy, small), "page-lists")
         size = more.agg(F.sum(64 + F.aggregate("more", F.lit(0).cast("long"), lambda n, x: n + 48 + 8 * F.coalesce(F.size(x["texts"]), F.lit(0))))).collect()[0][0] or 0
         page = ["_rl_own", "_rl_page"]
         if size <= broadcast_bytes:
-            joined = joined.join(F.broadcast(more), page, "left")
+            joined = own.join(F.broadcast(more), page, "left")
         else:
             copies = own.groupBy(*page).agg(F.count("*").alias("n"))
-            joined = spread_join(joined, more, page, heavy_keys(copies, "n", pages.count(), salt_pages), F.xxhash64("page_id", "url"))
+            joined = spread_join(own, more, page, heavy_keys(copies, "n", pages.count(), salt_pages), F.xxhash64("page_id", "url"))
     else:
-        joined = joined.withColumn("more", F.lit(None).cast("array<struct<node:long,pages:double,novel:double,style_entropy:double,texts:array<long>>>"))
+        joined = own.withColumn("more", F.lit(None).cast("array<struct<node:long,pages:double,novel:double,style_entropy:double,texts:array<long>>>"))
     discard(placed)
-    joined = joined.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", "_rl_own", "nodes", "texts", "more")
-    return joined.mapInArrow(partial(_extract, low=low, priors=priors), "page_id long, url string, text string")
+    rows = joined.select("_rl_own", "page_id", "url", "html", "more")
+    return _beside_lists(rows, lists, partial(_extract, low=low, priors=priors), "page_id long, url string, text string", heavy, small)
 
 
 __all__ = ["extract_pages", "importances", "main_text", "page_lists", "parse", "site_lists", "style_tree"]
