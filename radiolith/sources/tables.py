@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.constants import LABELS
+from ..functions.scratch import discard, materialize
 from ..operators.files import exists
 from ..operators.series import last_row_wins
 
@@ -107,13 +108,28 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def study(manifest: DataFrame, study_id: str) -> DataFrame:
-    """One study's record; on a table bucketed or sorted by study a pruned read."""
+    """One study's record; of a manifest by :func:`write_manifest` the filter reaches the scan and all other row groups are skipped."""
     return manifest.where(F.col("study_id") == study_id)
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """A CSV folder with one file, header even if there is no row."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+#: Rows of a CSV export that go to one file.
+ONE_FILE = 1_000_000
+
+
+def write_csv(df: DataFrame, path: str, order_by: list[str] = (), one_file: int = ONE_FILE) -> None:
+    """A CSV folder, header even if there is no row: one file for up to ``one_file`` rows, else as many as that takes, in order of ``order_by`` from file to file."""
+    rows = materialize(df, "export")
+    parts = max(1, -(-rows.count() // one_file))
+    placed = rows.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by) if order_by else rows.coalesce(1) if parts == 1 else rows.repartition(parts)
+    placed.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    discard(rows)
+
+
+def write_manifest(manifest: DataFrame, path: str, files: int | None = None, studies_each: int = 1024) -> None:
+    """A manifest sorted by study over ``files`` files in row groups of few studies, so that :func:`study` reads one row group of one file."""
+    n = files or int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = manifest.repartitionByRange(n, "study_id").sortWithinPartitions("study_id")
+    placed.write.mode("overwrite").option("parquet.block.row.count.limit", studies_each).parquet(path)
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] = ()) -> None:
@@ -124,7 +140,7 @@ def write_folds(manifest: DataFrame, assigned: DataFrame, path: str) -> None:
     """The manifest once, partitioned by fold, and the assignments; a fold's training view is all other partitions."""
     joined = manifest.join(assigned.select("study_id", "fold"), "study_id")
     write_parquet(joined, f"{path}/manifest", ["fold"])
-    write_csv(assigned.select("study_id", "fold").orderBy("study_id"), f"{path}/assignments")
+    write_csv(assigned.select("study_id", "fold"), f"{path}/assignments", ["study_id"])
 
 
 def append_metrics(df: DataFrame, path: str) -> None:

@@ -114,7 +114,7 @@ def find_duplicates(spark: SparkSession, audit_root: str) -> DataFrame:
     groups, members, edges = duplicates.find_duplicates(_table(spark, audit_root, "headers", tables.HEADER).withColumnRenamed("InstanceNumber", "instance_number"), _table(spark, audit_root, "pixels", tables.PIXELS))
     tables.write_parquet(groups, f"{audit_root}/duplicates/groups")
     tables.write_parquet(members, f"{audit_root}/duplicates/members")
-    tables.write_csv(edges.orderBy("study_a", "study_b"), f"{audit_root}/duplicates/edges")
+    tables.write_csv(edges, f"{audit_root}/duplicates/edges", ["study_a", "study_b"])
     return duplicates.level_counts(spark.read.parquet(f"{audit_root}/duplicates/groups"))
 
 
@@ -130,7 +130,7 @@ def build_manifest(spark: SparkSession, audit_root: str, out: str, series_csv: s
     if labels_csv:
         labelled = manifest.label_arrays(tables.read_labels(spark, labels_csv).withColumnRenamed("StudyInstanceUID", "study_uid"), "study_uid", LABELS)
     built = manifest.study_manifest(windows, meta, labelled, manifest.first_patient(slices))
-    tables.write_parquet(built, out)
+    tables.write_manifest(built, out)
     exploded = manifest.windows_of(spark.read.parquet(out))
     return exploded.agg(F.count_distinct("study_id").alias("studies"), F.count_distinct("study_id", "series_id").alias("series"), F.count("*").alias("windows"))
 

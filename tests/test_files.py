@@ -215,3 +215,26 @@ def test_queries_have_unique_names_and_plans(spark):
     names, sql = entry.queries(), entry.oracle_sql()
     assert set(sql) <= set(names)
     assert entry.entry(spark).columns[:2] == ["study_uid", "series_uid"]
+
+
+def test_exports_of_several_files_keep_their_order(spark, tmp_path):
+    df = spark.range(1000).select((F.col("id") * 7 % 1000).alias("id"), F.lit('a "b"').alias("t"))
+    tables.write_csv(df, str(tmp_path / "many"), ["id"], one_file=300)
+    parts = sorted((tmp_path / "many").glob("part-*"))
+    ids = [int(line.split(",")[0]) for p in parts for line in p.read_text().splitlines()[1:]]
+    assert len(parts) == 4 and ids == list(range(1000))
+    tables.write_csv(df, str(tmp_path / "one"), ["id"])
+    assert len(list((tmp_path / "one").glob("part-*"))) == 1 and tables.read_csv(spark, str(tmp_path / "one")).count() == 1000
+
+
+def test_one_study_is_one_row_group(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    rows = spark.range(500).select(F.concat(F.lit("s"), F.lpad((F.col("id") * 37 % 500).cast("string"), 4, "0")).alias("study_id"))
+    manifest = tables.conform(rows, tables.MANIFEST)
+    tables.write_manifest(manifest, str(tmp_path / "m"), files=4, studies_each=20)
+    groups = [pq.ParquetFile(p).metadata.row_group(k) for p in (tmp_path / "m").glob("part-*") for k in range(pq.ParquetFile(p).metadata.num_row_groups)]
+    spans = [(g.column(0).statistics.min, g.column(0).statistics.max) for g in groups]
+    assert len(spans) >= 20 and sum(a <= "s0123" <= b for a, b in spans) == 1
+    found = tables.study(tables.read_manifest(spark, str(tmp_path / "m")), "s0123")
+    assert found.count() == 1 and "EqualTo(study_id,s0123)" in found._jdf.queryExecution().toString()
