@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,3 +63,68 @@ def gather(df: DataFrame, selection: DataFrame, keys: list[str]) -> DataFrame:
 def best_epoch(metrics: DataFrame, score: str = "score", epoch: str = "epoch") -> DataFrame:
     """The row of the greatest score, the earliest of equals."""
     return metrics.orderBy(F.desc_nulls_last(score), epoch).limit(1)
+
+
+def evidence_mask(scores: str, least: float) -> Column:
+    """The labels (at most 63) whose score is ``least`` or more, as bits: that of label i is bit i."""
+    bits = F.transform(scores, lambda x, i: F.when(x >= least, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
+def most_covered(masks: list[int], k: int) -> int:
+    """The most labels that ``k`` windows cover together, exactly, by branch and bound over the windows' label masks.
+
+    Windows whose labels another has too are left out.  A branch takes one of the windows that have the rarest label still open, or gives that label up; it ends where even the greatest gains of as
+    many windows as are left would not pass the best cover so far.
+    """
+    kept: list[int] = []
+    for m in sorted(set(masks), key=lambda m: (-m.bit_count(), m)):
+        if m and all(m & ~other for other in kept):
+            kept.append(m)
+    best = 0
+
+    def search(covered: int, given_up: int, left: int) -> None:
+        nonlocal best
+        best = max(best, covered.bit_count())
+        gains = sorted(((m & ~covered & ~given_up).bit_count() for m in kept), reverse=True)[:left]
+        if not gains or not gains[0] or covered.bit_count() + sum(gains) <= best:
+            return
+        open_ = 0
+        for m in kept:
+            open_ |= m & ~covered & ~given_up
+        bits = [1 << i for i in range(open_.bit_length()) if open_ >> i & 1]
+        rarest = min(bits, key=lambda b: sum(1 for m in kept if m & b))
+        for m in sorted((m for m in kept if m & rarest), key=lambda m: -(m & ~covered & ~given_up).bit_count()):
+            search(covered | (m & ~given_up), given_up, left - 1)
+        search(covered, given_up | rarest, left)
+
+    search(0, 0, k)
+    return best
+
+
+def oracle_coverage(df: DataFrame, group: str, k: int, least: float, scores: str = "scores") -> DataFrame:
+    """group, evidence (labels that some window shows) and oracle (the most of them that any ``k`` windows show together).
+
+    Of a group only distinct label sets come together, at most ``2 ** labels``.
+    """
+
+    @F.pandas_udf("int")
+    def oracle(sets: pd.Series) -> pd.Series:
+        return sets.map(lambda s: most_covered([int(m) for m in s], k))
+
+    masks = df.select(group, evidence_mask(scores, least).alias("_m")).distinct().groupBy(group).agg(F.collect_set("_m").alias("_s"), F.bit_or("_m").alias("_all"))
+    return masks.select(group, F.bit_count("_all").alias("evidence"), oracle("_s").alias("oracle"))
+
+
+def coverage_at(selected: DataFrame, group: str, least: float, name: str, scores: str = "scores") -> DataFrame:
+    """group and, as ``name``, how many labels its selected windows show together."""
+    return selected.groupBy(group).agg(F.bit_count(F.bit_or(evidence_mask(scores, least))).alias(name))
+
+
+def regret(df: DataFrame, group: str, index: str, k: int, least: float, selectors: dict[str, DataFrame], scores: str = "scores") -> DataFrame:
+    """group, evidence, oracle, and of each selector (rows of group and index) how many labels it covers and how many fewer than the best choice of ``k`` windows."""
+    out = oracle_coverage(df, group, k, least, scores)
+    for name, chosen in selectors.items():
+        found = coverage_at(df.join(chosen.select(group, index), [group, index], "left_semi"), group, least, name, scores)
+        out = out.join(found, group, "left").withColumn(name, F.coalesce(name, F.lit(0))).withColumn(f"{name}_regret", F.col("oracle") - F.col(name))
+    return out

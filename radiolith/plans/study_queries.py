@@ -116,6 +116,26 @@ def gather_selected(spark, sf):
     return selection.gather(w, chosen, ["study", "window"]).select("study", "window", "rank", F.round(F.get("scores", F.lit(0)), 6).alias("first_score"))
 
 
+_MASK = "list_sum(list_transform(range(1, 13), lambda i: CASE WHEN scores[i] >= 1.5 THEN (1 << (i - 1)::INT)::BIGINT ELSE 0 END))::BIGINT"
+
+
+# Any two windows by enumeration; the selectors' two by their ranks.
+@query(f"""WITH {_RECALL_SAFE}, m AS (SELECT study, "window", {_MASK} AS m FROM w),
+    best AS (SELECT a.study, max(bit_count(a.m | b.m)) AS oracle FROM m a JOIN m b ON a.study = b.study GROUP BY 1),
+    e AS (SELECT study, bit_count(bit_or(m)) AS evidence FROM m GROUP BY 1),
+    safe AS (SELECT study, "window", row_number() OVER (PARTITION BY study ORDER BY p DESC, "window") AS r FROM p),
+    q AS (SELECT study, "window", row_number() OVER (PARTITION BY study ORDER BY u DESC, "window") AS r FROM u),
+    places AS (SELECT study, "window", row_number() OVER x - 1 AS i, count(*) OVER (PARTITION BY study) AS n FROM w WINDOW x AS (PARTITION BY study ORDER BY "window")),
+    f AS (SELECT e.study, evidence, oracle, (SELECT bit_count(bit_or(m.m)) FROM q JOIN m USING (study, "window") WHERE q.study = e.study AND q.r <= 2) AS utility,
+        (SELECT bit_count(bit_or(m.m)) FROM safe JOIN m USING (study, "window") WHERE safe.study = e.study AND safe.r <= 2) AS recall_safe,
+        (SELECT bit_count(bit_or(m.m)) FROM places JOIN m USING (study, "window") WHERE places.study = e.study AND i >= (n - least(2, n)) // 2 AND i < (n - least(2, n)) // 2 + 2) AS central FROM e JOIN best USING (study))
+    SELECT study, evidence, oracle, utility, oracle - utility AS utility_regret, recall_safe, oracle - recall_safe AS recall_safe_regret, central, oracle - central AS central_regret FROM f""")
+def selector_regret(spark, sf):
+    w = R.windows(spark, sf)
+    chosen = {"utility": selection.top_k_utility(w, "study", "window", 2), "recall_safe": selection.top_k_recall_safe(w, "study", "window", 2), "central": selection.central(w, "study", "window", 2)}
+    return selection.regret(w, "study", "window", 2, 1.5, chosen)
+
+
 def _edges(spark, sf):
     docs = R.table(spark, sf, "documents")
     keyed = docs.select(F.col("doc_id").alias("study"), F.sha2("text", 256).alias("k")).unionByName(docs.select(F.col("doc_id").alias("study"), F.concat_ws("/", "lang", "n_chars").alias("k")))

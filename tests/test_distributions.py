@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from radiolith.config import set_path
-from radiolith.operators import duplicates, metrics, perceptual, ranges, split, stats
+from radiolith.operators import duplicates, metrics, perceptual, ranges, selection, split, stats
 
 
 def test_running_sums_over_ranges(spark):
@@ -184,3 +184,28 @@ def test_overrides_through_scalars_are_refused():
         set_path(config, "a.x.y", 2)
     set_path(config, "a.b.c", 2)
     assert config == {"a": {"x": 1, "b": {"c": 2}}}
+
+
+def test_most_covered_equals_enumeration():
+    from itertools import combinations
+
+    rng = np.random.default_rng(7)
+    for trial in range(60):
+        masks = [int(sum(1 << b for b in rng.choice(12, rng.integers(0, 5), replace=False))) for _ in range(15)]
+        for k in (1, 2, 3, 5, 15):
+            best = 0
+            for chosen in combinations(masks, k):
+                together = 0
+                for m in chosen:
+                    together |= m
+                best = max(best, together.bit_count())
+            assert selection.most_covered(masks, k) == best
+    assert selection.most_covered([], 3) == 0 and selection.most_covered([0], 3) == 0
+
+
+def test_regret_of_selectors(spark):
+    rows = [("s", 0, [2.0, 2.0, 0.0, 0.0]), ("s", 1, [2.0, 0.0, 0.0, 0.0]), ("s", 2, [0.0, 0.0, 1.6, 1.7]), ("t", 0, [0.0, 0.0, 0.0, None])]
+    df = spark.createDataFrame(rows, "study string, window int, scores array<double>")
+    got = {r["study"]: r for r in selection.regret(df, "study", "window", 2, 1.5, {"first": df.where("window < 2"), "none": df.limit(0)}).collect()}
+    assert (got["s"]["evidence"], got["s"]["oracle"], got["s"]["first"], got["s"]["first_regret"], got["s"]["none_regret"]) == (4, 4, 2, 2, 4)
+    assert (got["t"]["evidence"], got["t"]["oracle"], got["t"]["first_regret"]) == (0, 0, 0)
