@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from radiolith.llm import packing, simhash, suffix_dedup, toxicity
 from radiolith.llm.common import connected_components
@@ -51,12 +52,25 @@ def test_stages(spark, folder, tmp_path):
     assert ids[3] == ids[2]
     # The same as the operators one by one, held against each other's brute-force versions in the other tests.
     again = toxicity.without_toxic(spark.read.parquet(f"{sf}/documents.parquet"), toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), toxicity.in_training_folds))
-    again = suffix_dedup.without_repeats(simhash.one_of_each_similar(again))
+    again = suffix_dedup.without_repeats(simhash.one_of_each_near(again))
     assert {r["doc_id"]: r["text"] for r in again.collect()} == texts
     assert packing.pack_documents(again, corpus_pipeline.vocabulary()).count() == len(seen[3])
     assert corpus_pipeline.run(spark, sf).count() == len(seen[3])
 
 
+def test_stages_carry_columns_of_clashing_names(spark, folder):
+    sf, rows, _ = folder
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    extra = ("fp", "component", "score", "predicted", "marks", "start", "end", "hash", "n", "`a.b`")
+    wide = docs.select("*", *(F.col("doc_id").cast("string").alias(c.strip("`")) for c in extra))
+    for _, stage in corpus_pipeline.STAGES[:3]:
+        plain, out = stage(spark, docs, sf), stage(spark, wide, sf)
+        assert out.columns == wide.columns
+        got = out.collect()
+        assert {r["doc_id"]: r["text"] for r in got} == {r["doc_id"]: r["text"] for r in plain.collect()}
+        assert all(r[c.strip("`")] == (None if r["doc_id"] is None else str(r["doc_id"])) for r in got for c in extra)
+
+
 def test_stages_on_empty_tables(spark, folder):
     sf, _, _ = folder
     docs = spark.read.parquet(f"{sf}/documents.parquet").limit(0)
