@@ -98,3 +98,31 @@ def perceptual_near_duplicates(spark, sf):
     images = e.select((F.col("vec_id") * 2).alias("image_id"), "e").unionByName(e.select((F.col("vec_id") * 2 + 1).alias("image_id"), noisy.alias("e")))
     hashed = images.select("image_id", perceptual.perceptual_hash("e", 8, 8).alias("hash"))
     return perceptual.near_duplicates(hashed, "image_id", "hash").withColumn("hash", F.lower(F.lpad(F.hex("hash"), 16, "0")))
+
+
+@query("""WITH p AS (SELECT label, unnest(embedding::DOUBLE[]) AS x FROM embeddings), m AS (SELECT label, avg(x) AS mean FROM p GROUP BY 1),
+    d AS (SELECT label, mean, count(*) AS n, sum((x - mean) ** 2) AS s2, sum((x - mean) ** 3) AS s3, sum((x - mean) ** 4) AS s4 FROM p JOIN m USING (label) GROUP BY 1, 2)
+    SELECT label, n, round(mean, 8) + 0.0::DOUBLE AS mean, round(sqrt(s2 / n), 8) AS deviation, round(sqrt(n) * s3 / s2 ** 1.5, 6) + 0.0::DOUBLE AS skewness, round(n * s4 / s2 ** 2, 6) AS kurtosis FROM d""")
+def series_moments(spark, sf):
+    from ..operators import proxies
+
+    e = R.table(spark, sf, "embeddings").select("label", proxies.image_moments("embedding").alias("m"))
+    out = proxies.merged_moments(e, ["label"], "m")
+    return out.withColumns({c: F.round(c, 8) + 0.0 for c in ("mean", "deviation")} | {c: F.round(c, 6) + 0.0 for c in ("skewness", "kurtosis")})
+
+
+@query("""WITH w AS (SELECT label, vec_id, embedding::DOUBLE[] AS a, lag(embedding::DOUBLE[]) OVER (PARTITION BY label ORDER BY vec_id) AS b FROM embeddings),
+    c AS (SELECT label, vec_id, list_transform(a, lambda x: x - list_avg(a)) AS a, list_transform(b, lambda x: x - list_avg(b)) AS b FROM w)
+    SELECT label, vec_id, round(list_inner_product(a, b) / sqrt(list_inner_product(a, a) * list_inner_product(b, b)), 8) + 0.0::DOUBLE AS likeness FROM c""")
+def neighbour_likeness(spark, sf):
+    from ..operators import proxies
+
+    out = proxies.neighbour_likeness(R.table(spark, sf, "embeddings"), ["label"], [F.col("vec_id")], "embedding")
+    return out.select("label", "vec_id", (F.round("likeness", 8) + 0.0).alias("likeness"))
+
+
+@query()
+def image_proxies(spark, sf):
+    from ..operators import proxies
+
+    return R.table(spark, sf, "embeddings").select("vec_id", proxies.image_proxies("embedding", 8, 8).alias("p")).select("vec_id", "p.*")

@@ -209,3 +209,83 @@ def test_regret_of_selectors(spark):
     got = {r["study"]: r for r in selection.regret(df, "study", "window", 2, 1.5, {"first": df.where("window < 2"), "none": df.limit(0)}).collect()}
     assert (got["s"]["evidence"], got["s"]["oracle"], got["s"]["first"], got["s"]["first_regret"], got["s"]["none_regret"]) == (4, 4, 2, 2, 4)
     assert (got["t"]["evidence"], got["t"]["oracle"], got["t"]["first_regret"]) == (0, 0, 0)
+
+
+def test_moments_merge_to_those_of_all_values(spark):
+    from radiolith.operators import proxies
+
+    rng = np.random.default_rng(8)
+    images = [("a", rng.exponential(size=n) + 1e6 * (n == 7)) for n in (50, 7, 200)] + [("b", np.full(9, 4.0)), (None, rng.normal(size=30))]
+    rows = [(k, [float(x) for x in v]) for k, v in images] + [("a", None), ("a", []), ("a", [float("nan"), None])]
+    df = spark.createDataFrame(rows, "k string, v array<double>").select("k", proxies.image_moments("v").alias("m"))
+    got = {r["k"]: r for r in proxies.merged_moments(df, ["k"], "m").collect()}
+    for k in ("a", None):
+        x = np.concatenate([v for key, v in images if key == k])
+        d = x - x.mean()
+        assert (got[k]["n"], got[k]["mean"], got[k]["deviation"]) == (len(x), pytest.approx(x.mean()), pytest.approx(x.std()))
+        assert (got[k]["skewness"], got[k]["kurtosis"]) == (pytest.approx((d**3).mean() / x.std() ** 3), pytest.approx((d**4).mean() / x.std() ** 4))
+    assert got["b"]["deviation"] == 0 and got["b"]["skewness"] is None
+
+
+def test_largest_component_against_flood_fill():
+    from radiolith.operators.proxies import largest_component
+
+    rng = np.random.default_rng(9)
+    for density in (0.0, 0.3, 0.5, 0.6, 0.8, 1.0):
+        for shape in ((13, 17), (1, 9), (9, 1), (16, 16)):
+            mask = rng.random(shape) < density
+            seen, best = np.zeros(shape, dtype=bool), set()
+            for start in zip(*np.nonzero(mask)):
+                if seen[start]:
+                    continue
+                part, todo = set(), [start]
+                seen[start] = True
+                while todo:
+                    y, x = todo.pop()
+                    part.add((y, x))
+                    for at in ((y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)):
+                        if 0 <= at[0] < shape[0] and 0 <= at[1] < shape[1] and mask[at] and not seen[at]:
+                            seen[at] = True
+                            todo.append(at)
+                if len(part) > len(best):
+                    best = part
+            assert set(zip(*np.nonzero(largest_component(mask)))) == best
+    spiral = np.ones((15, 15), dtype=bool)
+    spiral[1:-1, 1:-1] = False
+    spiral[7, 1:10] = True
+    assert largest_component(spiral).sum() == spiral.sum()
+
+
+def test_proxies_against_plain_loops(spark):
+    from radiolith.operators import proxies
+
+    rng = np.random.default_rng(10)
+    image = rng.random((12, 10)) * 0.3
+    image[2:7, 4:9] += 1.0
+    image[10, 0] = 1.2
+    df = spark.createDataFrame([(1, image.ravel().tolist()), (2, [5.0] * 120), (3, [1.0]), (4, None), (5, [float("nan")] * 120)], "id long, v array<double>")
+    got = {r["id"]: r["p"] for r in df.select("id", proxies.image_proxies("v", 12, 10).alias("p")).collect()}
+    x = (image - image.min()) / (image.max() - image.min())
+    laplacian = [4 * x[i, j] - x[i - 1, j] - x[i + 1, j] - x[i, j - 1] - x[i, j + 1] for i in range(1, 11) for j in range(1, 9)]
+    assert got[1]["box_share"] == pytest.approx(25 / 120) and got[1]["laplacian"] == pytest.approx(np.var(laplacian))
+    assert got[1]["centre_offset"] == pytest.approx(np.hypot((4 - 5.5) / 12, (6 - 4.5) / 10))
+    y, total, high = x - x.mean(), 0.0, 0.0
+    for u in range(12):
+        for v in range(10):
+            f = sum(y[i, j] * np.exp(-2j * np.pi * (u * i / 12 + v * j / 10)) for i in range(12) for j in range(10))
+            fu, fv = (u if u < 6 else u - 12) / 12, (v if v < 5 else v - 10) / 10
+            total += abs(f) ** 2
+            high += abs(f) ** 2 * (np.hypot(fu, fv) > 0.25)
+    assert got[1]["high_band"] == pytest.approx(high / total)
+    assert got[2]["box_share"] == 0 and got[2]["centre_offset"] is None and got[3]["laplacian"] is None and got[4]["laplacian"] is None and got[5]["laplacian"] is None
+
+
+def test_likeness_of_neighbours(spark):
+    from radiolith.operators import proxies
+
+    rng = np.random.default_rng(11)
+    a, b = rng.normal(size=20), rng.normal(size=20)
+    rows = [("s", 1, a.tolist()), ("s", 2, b.tolist()), ("s", 3, (2 * b + 1).tolist()), ("s", 4, [1.0] * 20), ("s", 5, [1.0]), ("t", 1, a.tolist())]
+    df = spark.createDataFrame(rows, "k string, i int, v array<double>")
+    got = {(r["k"], r["i"]): r["likeness"] for r in proxies.neighbour_likeness(df, ["k"], [F.col("i")], "v").collect()}
+    assert got["s", 2] == pytest.approx(np.corrcoef(a, b)[0, 1]) and got["s", 3] == pytest.approx(1) and [got[k] for k in (("s", 1), ("s", 4), ("s", 5), ("t", 1))] == [None] * 4
