@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, discard, heavy_keys, materialize, release_memory, spread_join
+from .common import connected_components, discard, heavy_keys, materialize, release_memory, shuffle_width, spread_join
 
 THRESHOLD = 3
 SHINGLE = 3
@@ -50,10 +50,14 @@ FEW = 8
 KEY_PART = 1024
 #: Shingles in a part, so that a part of long documents has fewer of them.
 PART_SHINGLES = 1 << 20
-#: Of one in so many documents, shingles that so many hold are common: they come last in the order of the keys; most of them.
+#: Shingles that the product of both, 2048, or more of all documents hold are common: they come last in the order of the keys; most of them (the
+#: order decides what a search costs, not what it finds, so those beyond are keys like any other).
 COMMON_SAMPLE = 64
 COMMON_LEAST = 32
 MOST_COMMON = 100_000
+#: First bits of a shingle's hash that make the groups they are counted in, and shingles that a task holds before it deals them.
+COUNT_BITS = 10
+COUNT_HELD = 1 << 21
 #: Most fingerprints that are at home in one part of an anchor.
 HOME_PART = 1024
 
@@ -281,7 +285,7 @@ def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGL
                 nodes.append(_set_name(x))
                 sizes.append(len(x))
                 wide.append(b"".join(_majority(_mixed(x, k)).tobytes() for k in range(WIDE_WORDS)))
-                keys.append(_first_keys(x, ~np.isin(x, common) if len(common) else np.ones(len(x), dtype=bool), similarity).view(np.int64))
+                keys.append(_first_keys(x, ~_among(x, common), similarity).view(np.int64))
             ends = np.cumsum([0, *map(len, keys)])
             flat = np.concatenate(keys) if keys else np.zeros(0, dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
@@ -291,17 +295,81 @@ def set_marks(docs: DataFrame, common: np.ndarray, shingle: int = SIMILAR_SHINGL
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, node long, n int, wide binary, keys array<long>, fp long")
 
 
-def common_shingles(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
-    """Hashes of the shingles that ``COMMON_LEAST`` of a sample of the documents have, the commonest ``MOST_COMMON`` at most."""
+def _deal_shingles(batches: Iterator[pa.RecordBatch], shingle: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Shingles by group: their hashes, and how many rows hold each."""
+    held, size = [], 0
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for text in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(shingle_hashes(text.as_py(), shingle)).view(np.int64))], ["key"])
+    def deal():
+        own = np.sort(np.concatenate(held))
+        held.clear()
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.empty(0, np.int64)
+        n, own = np.diff(np.append(head, len(own))).astype("u4"), own[head]
+        group = (own >> np.uint64(64 - COUNT_BITS)).astype(np.int32)
+        cuts = np.flatnonzero(np.append(True, group[1:] != group[:-1])) if len(own) else head
+        pieces = list(zip(cuts.tolist(), np.append(cuts[1:], len(own)).tolist()))
+        for at in range(0, len(pieces), 64):
+            some = pieces[at : at + 64]
+            blobs = ([x[i:j].tobytes() for i, j in some] for x in (own, n))
+            yield pa.RecordBatch.from_arrays([pa.array([int(group[i]) for i, _ in some], pa.int32()), *(pa.array(x, pa.binary()) for x in blobs)], ["group", "hashes", "counts"])
+
+    release_memory()
+    for batch in batches:
+        for text in batch.column(0):
+            held.append(np.unique(shingle_hashes(text.as_py(), shingle)))
+            size += len(held[-1])
+            if size >= most:
+                yield from deal()
+                size = 0
+    if held:
+        yield from deal()
+    release_memory()
+
+
+def _held_by(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_deal_shingles`` come ordered by group: the hashes whose counts sum to ``least`` or more, with the sums."""
+    last, hashes, counts = None, [], []
 
-    sample = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(COMMON_SAMPLE)) == 0).select("text").distinct()
-    counts = sample.mapInArrow(run, "key long").groupBy("key").count().where(F.col("count") >= COMMON_LEAST)
-    return np.array([r[0] for r in counts.orderBy(F.desc("count"), "key").limit(MOST_COMMON).select("key").collect()], dtype=np.int64).view(np.uint64)
+    def sift():
+        own, n = np.frombuffer(b"".join(hashes), dtype="u8"), np.frombuffer(b"".join(counts), dtype="u4")
+        hashes.clear()
+        counts.clear()
+        order = np.argsort(own)
+        own, n = own[order], n[order].astype(np.int64)
+        head = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        total = np.add.reduceat(n, head)
+        many = total >= least
+        yield pa.RecordBatch.from_arrays([pa.array(own[head[many]].view(np.int64)), pa.array(total[many])], ["key", "n"])
+
+    for batch in batches:
+        for group, own, n in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            if group != last and hashes:
+                yield from sift()
+            last = group
+            hashes.append(own.as_py())
+            counts.append(n.as_py())
+    if hashes:
+        yield from sift()
+    release_memory()
+
+
+def common_shingles(docs: DataFrame, shingle: int = SIMILAR_SHINGLE) -> np.ndarray:
+    """Hashes, in order, of the shingles that ``COMMON_SAMPLE`` times ``COMMON_LEAST`` or more of all rows have, the commonest ``MOST_COMMON`` at most.
+
+    Every shingle of every row is counted: tasks deal theirs by the first bits of their hashes, and a group's are summed at once.
+    """
+    dealt = docs.select("text").mapInArrow(partial(_deal_shingles, shingle=shingle, most=COUNT_HELD), "group int, hashes binary, counts binary")
+    placed = dealt.repartitionById(min(shuffle_width(docs.sparkSession), 1 << COUNT_BITS), F.col("group")).sortWithinPartitions("group")
+    counts = materialize(placed.mapInArrow(partial(_held_by, least=COMMON_SAMPLE * COMMON_LEAST), "key long, n long"), "common")
+    out = counts.orderBy(F.desc("n"), "key").limit(MOST_COMMON).select("key").toArrow().column(0).to_numpy()
+    discard(counts)
+    return np.sort(out.view(np.uint64))
+
+
+def _among(own: np.ndarray, common: np.ndarray) -> np.ndarray:
+    """Which of ``own`` the sorted ``common`` has."""
+    if not len(common):
+        return np.zeros(len(own), dtype=bool)
+    return common[np.minimum(np.searchsorted(common, own), len(common) - 1)] == own
 
 
 def _first(n: int, similarity: float) -> int:

@@ -3,6 +3,7 @@ import math
 import os
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -200,6 +201,22 @@ def test_similar_documents_go(spark, monkeypatch, key_part, few, sample):
     assert simhash.one_of_each_similar(docs_of(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("held", [1 << 21, 50])
+def test_common_shingles_are_counted_over_all_documents(spark, monkeypatch, held):
+    monkeypatch.setattr(simhash, "COMMON_SAMPLE", 2)
+    monkeypatch.setattr(simhash, "COMMON_LEAST", 20)
+    monkeypatch.setattr(simhash, "COUNT_HELD", held)
+    r = random.Random(21)
+    make = lambda n: " ".join("".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(n))
+    lines = [make(9) for _ in range(6)]
+    rows = [(i, " ".join([line for k, line in enumerate(lines) if i % 80 < 37 + k] + [make(3), lines[0] if i % 3 else ""])) for i in range(80)] + [(80, None), (81, " "), (82, "x")]
+    counts = Counter(h for _, t in rows for h in np.unique(simhash.shingle_hashes(t, 5)).tolist())
+    want = sorted(h for h, n in counts.items() if n >= 40)
+    assert 0 < len(want) < len([h for h, n in counts.items() if n > 30])
+    assert simhash.common_shingles(docs_of(spark, rows)).tolist() == want
+    assert simhash.common_shingles(docs_of(spark, [])).tolist() == []
+
+
 def test_pipeline_takes_five_words_and_four_fifths(spark):
     import corpus_pipeline
 
