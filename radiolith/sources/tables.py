@@ -112,14 +112,17 @@ def study(manifest: DataFrame, study_id: str) -> DataFrame:
     return manifest.where(F.col("study_id") == study_id)
 
 
-#: Rows of a CSV export that go to one file.
+#: Rows of a CSV export that go to one file, and bytes of their values: a multi-line CSV is read by one task.
 ONE_FILE = 1_000_000
+ONE_FILE_BYTES = 64 << 20
 
 
-def write_csv(df: DataFrame, path: str, order_by: list[str] = (), one_file: int = ONE_FILE) -> None:
-    """A CSV folder, header even if there is no row: one file for up to ``one_file`` rows, else as many as that takes, in order of ``order_by`` from file to file."""
+def write_csv(df: DataFrame, path: str, order_by: list[str] = (), one_file: int = ONE_FILE, one_file_bytes: int = ONE_FILE_BYTES) -> None:
+    """A CSV folder, header even if there is no row: one file for up to ``one_file`` rows of ``one_file_bytes`` bytes, else as many as that takes, in order of ``order_by`` from file to file."""
     rows = materialize(df, "export")
-    parts = max(1, -(-rows.count() // one_file))
+    size = sum((F.coalesce(F.octet_length(F.col(f"`{c}`").cast("string")), F.lit(0)).cast("long") for c in rows.columns), F.lit(0))
+    n, size = rows.agg(F.count("*"), F.coalesce(F.sum(size), F.lit(0))).collect()[0]
+    parts = max(1, -(-n // one_file), -(-size // one_file_bytes))
     placed = rows.repartitionByRange(parts, *order_by).sortWithinPartitions(*order_by) if order_by else rows.coalesce(1) if parts == 1 else rows.repartition(parts)
     placed.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
     discard(rows)

@@ -227,6 +227,17 @@ def test_exports_of_several_files_keep_their_order(spark, tmp_path):
     assert len(list((tmp_path / "one").glob("part-*"))) == 1 and tables.read_csv(spark, str(tmp_path / "one")).count() == 1000
 
 
+def test_exports_of_long_rows_take_several_files(spark, tmp_path):
+    df = spark.range(40).select("id", F.when(F.col("id") % 4 != 0, F.concat(F.repeat(F.lit("é\n\""), 30_000), F.col("id").cast("string"))).alias("t"))
+    for order in ([], ["id"]):
+        path = tmp_path / f"long{len(order)}"
+        tables.write_csv(df, str(path), order, one_file_bytes=1 << 20)
+        sizes = [p.stat().st_size for p in path.glob("part-*")]
+        assert len(sizes) > 2 and max(sizes) < 3 << 20
+        got = tables.read_csv(spark, str(path)).select(F.col("id").cast("long").alias("id"), "t")
+        assert got.count() == 40 and got.exceptAll(df).isEmpty()
+
+
 def test_one_study_is_one_row_group(spark, tmp_path):
     import pyarrow.parquet as pq
 
