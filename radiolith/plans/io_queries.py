@@ -70,7 +70,7 @@ def label_csv(spark, sf):
 def series_csv_last_row(spark, sf):
     path = _new(spark, "series-csv")
     e = R.table(spark, sf, "events").select(F.col("user_id").alias("SeriesInstanceUID"), F.col("event_type").alias("Anatomical_Plane"), F.col("event_id").alias("Fluid_Sensitive"))
-    e.coalesce(1).sortWithinPartitions("Fluid_Sensitive").write.option("header", True).csv(path)
+    tables.write_csv(e, path, ["Fluid_Sensitive"])
     return tables.read_series(spark, path).select(F.col("SeriesInstanceUID").alias("series"), F.col("Anatomical_Plane").alias("plane"), F.col("Fluid_Sensitive").alias("fluid"))
 
 

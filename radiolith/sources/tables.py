@@ -88,7 +88,8 @@ def read_labels(spark: SparkSession, path: str, labels: list[str] = LABELS) -> D
 def read_series(spark: SparkSession, path: str) -> DataFrame:
     """Series metadata, one row for each SeriesInstanceUID: the last in the file.
 
-    A row's place is that of its file by name and its number in it; a multi-line CSV is read whole by one task, in order.
+    A row's place is that of its file by name and its number in it; a multi-line CSV is read whole by one task, in order, so a long table
+    comes in several files, as :func:`write_csv` makes them.
     """
     rows = conform(require(read_csv(spark, path), "SeriesInstanceUID"), SERIES_CSV)
     place = F.struct(F.col("_metadata.file_path"), F.monotonically_increasing_id())

@@ -238,6 +238,20 @@ def test_exports_of_long_rows_take_several_files(spark, tmp_path):
         assert got.count() == 40 and got.exceptAll(df).isEmpty()
 
 
+def test_series_are_written_in_several_files_and_the_last_row_wins(spark, tmp_path, monkeypatch):
+    from radiolith.plans import io_queries
+
+    events = spark.range(2000).select(F.col("id").alias("event_id"), (F.col("id") * 7 % 50).alias("user_id"), F.concat(F.lit("t"), F.col("id") % 9).alias("event_type")).repartition(5)
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    monkeypatch.setattr(tables.write_csv, "__defaults__", ((), 300, 1 << 20))
+    monkeypatch.setattr(io_queries, "_new", lambda spark, name: str(tmp_path / name))
+    got = {r["series"]: (r["plane"], r["fluid"]) for r in io_queries.series_csv_last_row(spark, str(tmp_path)).collect()}
+    last = {}
+    for i in range(2000):
+        last[str(i * 7 % 50)] = (f"t{i % 9}", str(i))
+    assert got == last and len(list((tmp_path / "series-csv").glob("part-*"))) == 7
+
+
 def test_one_study_is_one_row_group(spark, tmp_path):
     import pyarrow.parquet as pq
 
