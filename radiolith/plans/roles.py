@@ -14,13 +14,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices without series or vendor tables: what needs no join."""
-    li = table(spark, sf_dir, "lineitem")
+_RAW = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_returnflag", "l_linestatus", "l_quantity", "l_discount", "l_tax"]
+
+
+def _roles(li: DataFrame) -> DataFrame:
+    """Line items as slices; columns of theirs that have no role stay."""
     cents = F.round(F.col("l_extendedprice") * 100).cast("long")
     return li.select(
-        F.col("l_orderkey").cast("string").alias("series_uid"),
-        F.concat_ws("/", "l_orderkey", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "l_partkey", "l_suppkey", cents).alias("relative_path"),
+        "series_uid",
+        F.concat_ws("/", "series_uid", F.lpad(F.col("l_linenumber").cast("string"), 3, "0"), "l_partkey", "l_suppkey", cents).alias("relative_path"),
         F.datediff("l_shipdate", F.lit("1970-01-01")).cast("double").alias("position_scalar"),
         F.col("l_linenumber").cast("double").alias("instance_number"),
         F.when(F.col("l_returnflag") == "R", "Sagittal").when(F.col("l_returnflag") == "A", "Coronal").otherwise("Axial").alias("derived_plane"),
@@ -28,10 +30,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linestatus") == "O", "ok").otherwise("error").alias("status"),
         F.col("l_quantity").cast("long").alias("rows"),
         F.round(F.col("l_discount") * 100).cast("long").alias("columns"),
-        "l_partkey", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+        "l_partkey", "l_orderkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax", *(c for c in li.columns if c not in _RAW and c != "series_uid"),
     )
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slices without series or vendor tables: what needs no join."""
+    return _roles(table(spark, sf_dir, "lineitem").select(*_RAW).withColumn("series_uid", F.col("l_orderkey").cast("string")))
+
+
 LINES = """SELECT l_orderkey::VARCHAR AS series_uid,
     concat_ws('/', l_orderkey, lpad(l_linenumber::VARCHAR, 3, '0'), l_partkey, l_suppkey, round(l_extendedprice * 100)::BIGINT) AS relative_path,
     date_diff('day', DATE '1970-01-01', l_shipdate::DATE)::DOUBLE AS position_scalar, l_linenumber::DOUBLE AS instance_number,
@@ -42,10 +49,15 @@ LINES = """SELECT l_orderkey::VARCHAR AS series_uid,
 
 
 def slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slices with study, vendor and patient."""
-    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").cast("string").alias("study_uid"))
+    """Slices with study, vendor and patient.
+
+    The joins take the columns as they are, and what is made of them is made after both.  The last one deals by series, as what is grouped by series or by study and
+    series then needs no other dealing.
+    """
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("series_uid"), F.col("o_custkey").cast("string").alias("study_uid"))
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("manufacturer"))
-    return lines(spark, sf_dir).join(orders, "l_orderkey").join(parts, "l_partkey").withColumn("patient_hash", F.md5(F.col("study_uid").cast("binary")))
+    li = table(spark, sf_dir, "lineitem").select(*_RAW).join(parts, "l_partkey").withColumn("series_uid", F.col("l_orderkey").cast("string")).join(orders, "series_uid")
+    return _roles(li).withColumn("patient_hash", F.md5(F.col("study_uid").cast("binary")))
 
 
 SLICES = f"""SELECT s.*, o_custkey::VARCHAR AS study_uid, p_brand AS manufacturer, md5(o_custkey::VARCHAR) AS patient_hash

@@ -140,3 +140,15 @@ def test_upsert_and_quarantine(spark):
     bad = spark.createDataFrame([("p", "error", "E", "m" * 2000), ("q", "ok", None, None)], "relative_path string, status string, error_type string, error_message string")
     rows = series.quarantine(bad, bad).collect()
     assert [(r["stage"], r["relative_path"], len(r["error_message"])) for r in rows] == [("header", "p", 1000), ("pixel", "p", 1000)]
+
+
+def test_slices_are_dealt_once_for_each_join(spark):
+    from radiolith.plans import audit_queries
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = audit_queries.series_inventory(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    dealt = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(dealt) == 5 and not any("study_uid" in line for line in dealt)  # both sides of two joins, and the stated planes
