@@ -8,7 +8,7 @@ class.  Every other word belongs to one of ``RARE_CLASSES`` by its first letters
 probability (c + 1) / (tokens + types + 1), so the model is a distribution over all words with one unseen type a class.
 
 Training.  Truncated backpropagation over windows of ``WINDOW`` tokens, the state carried from window to window, with
-documents as lanes.  Training documents are dealt by hash to as many tasks as the corpus' tokens ask for (``TASK_TOKENS``), each trains on all of its
+documents as lanes.  Training documents are dealt by hash to as many tasks as a round's tokens ask for (``TASK_TOKENS``), each trains on all of its
 own in the order of their hash, and the tasks' parameters are averaged up a tree; a first round over a hash share of the documents gives all tasks a
 common start for the second, over the rest.  Every training document is used once, and how the table lies in files has no part in the model.
 
@@ -21,12 +21,12 @@ import heapq
 import itertools
 import math
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -52,15 +52,27 @@ SEED = 11
 END = b""
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words of a text with A-Z in lower case, as bytes."""
-    return (text or "").encode("utf-8").lower().split()
+def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """All words of a batch's texts with A-Z in lower case, in order, and how many each text has."""
+    parts = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    words = parts.flatten()
+    filled = np.asarray(pc.binary_length(words)) > 0  # white space at either end leaves an empty part
+    sums = np.append(0, np.cumsum(filled))
+    bounds = parts.offsets.to_numpy() - parts.offsets[0].as_py()
+    return words.filter(pa.array(filled)), np.diff(sums[bounds])
 
 
 def rare_class(word: bytes, classes: int = RARE_CLASSES) -> int:
     return zlib.crc32(word.decode("utf-8", "ignore")[:2].encode("utf-8")) % classes
 
 
+def rare_classes(words: pa.Array) -> np.ndarray:
+    """The rare class of each word; only different beginnings are hashed one by one."""
+    heads = pc.utf8_slice_codeunits(words, 0, 2).dictionary_encode()
+    classes = np.array([rare_class(x.encode("utf-8")) for x in heads.dictionary.to_pylist()], dtype=np.int32)
+    return classes[heads.indices.to_numpy()]
+
+
 # --- corpus counts -------------------------------------------------------------------------------------------------
 
 
@@ -68,21 +80,27 @@ def count_words(docs: DataFrame) -> DataFrame:
     """``word`` (binary; the empty word is the end of a document) and ``c`` over all rows of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter = Counter()
+        seen: list[pa.Table] = []
+        size = ends = 0
 
-        def rows():
-            out = pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], ["word", "c"])
-            seen.clear()
-            return out
+        def summed() -> pa.Table:
+            return pa.concat_tables(seen).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns(["word", "c"])
 
         for batch in batches:
-            for text in batch.column(0):
-                seen.update(words_of(text.as_py()))
-            seen[END] += len(batch)
-            if len(seen) > 400_000:
-                yield rows()
+            found = pc.value_counts(words_of(batch.column(0))[0])
+            seen.append(pa.table({"word": found.field("values").cast(pa.binary()), "c": found.field("counts")}))
+            size += len(found)
+            ends += len(batch)
+            if size > 800_000:
+                seen = [summed()]
+                size = len(seen[0])
+                if size > 400_000:
+                    yield from seen.pop().to_batches()
+                    size = 0
         if seen:
-            yield rows()
+            yield from summed().to_batches()
+        if ends:
+            yield pa.RecordBatch.from_arrays([pa.array([END], pa.binary()), pa.array([ends], pa.int64())], ["word", "c"])
 
     return docs.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
@@ -108,15 +126,6 @@ class Lexicon:
         self.rare_tokens = np.zeros(RARE_CLASSES)
         self.rare_types = np.zeros(RARE_CLASSES)
 
-    def codes(self):
-        """Word to place in ``words``; -1 for all others."""
-
-        class Codes(dict):
-            def __missing__(self, word):
-                return -1
-
-        return Codes(zip(self.words, range(len(self.words))))
-
     def model_ids(self) -> np.ndarray:
         """Of every word here: its token in the model, or after those its rare class."""
         vocabulary = self.classes * CLASS_SIZE
@@ -140,13 +149,12 @@ def build_lexicon(counts: DataFrame, most: int = LEXICON, vocabulary: int = VOCA
     own = pa.array(out.words[: out.known], pa.binary())
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, n, v = set(own.to_pylist()), np.zeros(RARE_CLASSES, dtype=np.int64), np.zeros(RARE_CLASSES, dtype=np.int64)
+        n, v = np.zeros(RARE_CLASSES, dtype=np.int64), np.zeros(RARE_CLASSES, dtype=np.int64)
         for batch in batches:
-            for word, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if word not in known:
-                    r = rare_class(word)
-                    n[r] += c
-                    v[r] += 1
+            rest = batch.filter(pc.invert(pc.is_in(batch.column(0), value_set=own)))
+            r = rare_classes(rest.column(0).cast(pa.string()))
+            np.add.at(n, r, rest.column(1).to_numpy())
+            v += np.bincount(r, minlength=RARE_CLASSES)
         yield pa.RecordBatch.from_arrays([pa.array(range(RARE_CLASSES), pa.int32()), pa.array(n), pa.array(v)], ["r", "n", "v"])
 
     for r, n, v in counts.mapInArrow(total, "r int, n long, v long").groupBy("r").agg(F.sum("n"), F.sum("v")).collect():
@@ -389,18 +397,30 @@ class _Coder:
 
     def __init__(self, lexicon: Lexicon):
         self.lexicon, self.known = lexicon, lexicon.classes * CLASS_SIZE
-        self.code, self.ids = lexicon.codes(), lexicon.model_ids()
-
-    def __call__(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        words = words_of(text)
-        words.append(END)
-        codes = np.fromiter(map(self.code.__getitem__, words), dtype=np.int32, count=len(words))
-        out = np.flatnonzero(codes < 0)
+        self.words, self.ids = pa.array(lexicon.words, pa.binary()), lexicon.model_ids()
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+        """Codes (-1 outside the lexicon) and model tokens of all texts one after the other, each with its end; where each text begins, and where the last one ends; the words outside of each."""
+        words, sizes = words_of(texts)
+        starts = np.append(0, np.cumsum(sizes + 1))
+        word = np.ones(starts[-1], dtype=bool)
+        word[starts[1:] - 1] = False
+        found = pc.index_in(words.cast(pa.binary()), value_set=self.words)
+        own = pc.fill_null(found, -1).to_numpy()
+        codes = np.full(len(word), self.lexicon.end, dtype=np.int32)
+        codes[word] = own
         ids = self.ids[codes]
-        missing = [words[i] for i in out.tolist()]
-        if missing:
-            ids[out] = [self.known + rare_class(w) for w in missing]
-        return codes, ids, missing
+        out = np.flatnonzero(own < 0)
+        missing = words.filter(pc.is_null(found)).dictionary_encode()
+        kinds = len(missing.dictionary)
+        places = missing.indices.to_numpy()
+        text = np.repeat(np.arange(len(sizes)), sizes)[out]
+        ids[out + text] = self.known + rare_classes(missing.dictionary)[places]  # a text's words come after the ends of those before it
+        pairs, n = np.unique(text * max(1, kinds) + places, return_counts=True)
+        text, at = np.divmod(pairs, max(1, kinds))
+        rare = pa.StructArray.from_arrays([missing.dictionary.take(pa.array(at)).cast(pa.binary()), pa.array(n, pa.int32())], ["word", "n"])
+        offsets = np.searchsorted(text, np.arange(len(sizes) + 1))
+        return codes, ids, starts, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rare)
 
 
 _READY: dict[int, _Coder] = {}
@@ -442,19 +462,21 @@ def _code_part(batches: Iterator[pa.RecordBatch], shared: _Shared) -> Iterator[p
     floor = math.log10(lexicon.tokens + lexicon.types + 1)
     class_floor = np.log10(lexicon.rare_tokens + lexicon.rare_types + 1)
     row = TaskContext.get().partitionId() << 33
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())])), pa.binary())
+    names = ["_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "outside", "rare", "ids"]
+    # What a token adds to the model's score beyond the class that the model predicts: nothing, if it is known.
+    beyond = np.concatenate([np.zeros(coder.known), class_floor])
     for batch in batches:
-        out = []
-        for doc, test, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-            codes, ids, missing = coder(text.as_py())
-            known = log_c[codes]
-            rare = ids >= coder.known
-            outside = known[rare].sum() - class_floor[ids[rare] - coder.known].sum()
-            words = [{"word": w, "n": n} for w, n in Counter(missing).items()]
-            out.append((row, doc, test, len(ids), int((seen[codes] > 0).sum()), float(known.sum() - len(ids) * floor), float(outside), words, ids.astype("<i2").tobytes()))
-            row += 1
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], ["_rl_row", "doc_id", "held_out", "n_tokens", "n_known", "base_part", "outside", "rare", "ids"])
+        if not len(batch):
+            continue
+        codes, ids, starts, words = coder(batch.column(2))
+        known, at, sizes = log_c[codes], starts[:-1], np.diff(starts)
+        base = np.add.reduceat(known, at) - sizes * floor
+        outside = np.add.reduceat(np.where(ids >= coder.known, known - beyond[ids], 0.0), at)
+        counted = np.add.reduceat((seen[codes] > 0).astype(np.int64), at)
+        blobs = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((starts * 2).astype(np.int32)), pa.py_buffer(ids.astype("<i2"))])
+        rows = np.arange(row, row + len(sizes))
+        row += len(sizes)
+        yield pa.RecordBatch.from_arrays([pa.array(rows), batch.column(0), batch.column(1), pa.array(sizes), pa.array(counted), pa.array(base), pa.array(outside), words, blobs], names)
 
 
 def _train_part(batches: Iterator[pa.RecordBatch], shared: _Shared, start: np.ndarray, rate: float) -> Iterator[pa.RecordBatch]:
@@ -512,8 +534,8 @@ def fit(coded: DataFrame, shared: _Shared, rate: float = RATE) -> Gru:
     tasks = max(1, -(-shared.value.tokens // TASK_TOKENS))
     learn = coded.where("not held_out").select("ids", F.xxhash64("doc_id", "ids", F.lit(SEED)).alias("_rl_place"))
     share = F.pmod(F.col("_rl_place"), F.lit(FIRST_SHARE))
-    task = F.pmod(F.shiftright("_rl_place", 8), F.lit(tasks)).cast("int")
-    for chosen, pace in ((share == 0, rate), (share != 0, rate / 2)):
+    for chosen, pace, tasks in ((share == 0, rate, -(-tasks // FIRST_SHARE)), (share != 0, rate / 2, tasks)):  # the first round has a share of the tokens, so of the tasks too
+        task = F.pmod(F.shiftright("_rl_place", 8), F.lit(tasks)).cast("int")
         dealt = learn.where(chosen).withColumn("task", task).repartition(4 * tasks, "task").sortWithinPartitions("task", "_rl_place")
         parts = materialize(dealt.select("task", "ids").mapInArrow(partial(_train_part, shared=shared, start=model.flat(), rate=pace), _SUMS), "trained")
         width = tasks

@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from radiolith.llm import lm
@@ -156,6 +157,39 @@ def test_scores_do_not_follow_the_file_layout(spark, monkeypatch):
     assert one.keys() == many.keys() and all(one[i] == pytest.approx(many[i], rel=1e-5) for i in one)
 
 
+def test_words_of_a_batch_are_those_of_each_text():
+    texts = ["left out", None, "", " \t\x0b\x0c\r\n ", "  AÉb  x\x85y\x1cz  A", "one\0two ONE\n", "alpha 中文 alpha zz zz zy"]
+    for whole in (pa.array(texts), pa.array(texts, pa.large_string())):
+        batch = whole.slice(1)
+        want = [(t or "").encode().lower().split() for t in texts[1:]]
+        words, sizes = lm.words_of(batch)
+        assert sizes.tolist() == list(map(len, want)) and [w.encode() for w in words.to_pylist()] == sum(want, [])
+        lexicon = lexicon_of({b"": 9, b"alpha": 5, b"a": 4, b"one": 3})
+        codes, ids, starts, rare = lm._Coder(lexicon)(batch)
+        place = {w: i for i, w in enumerate(lexicon.words)}
+        for i, own in enumerate(want):
+            at = slice(starts[i], starts[i + 1])
+            assert codes[at].tolist() == [place.get(w, -1) for w in [*own, b""]]
+            assert ids[at].tolist() == [place.get(w, lexicon.classes * lm.CLASS_SIZE + lm.rare_class(w)) for w in [*own, b""]]
+            assert {r["word"]: r["n"] for r in rare[i].as_py()} == Counter(w for w in own if w not in place)
+
+
+def test_first_round_has_tasks_for_its_share_of_tokens(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_TOKENS", 600)
+    trained, write = [], lm.materialize
+
+    def counted(df, name):
+        out = write(df, name)
+        if name == "trained":
+            trained.append(out.count())
+        return out
+
+    monkeypatch.setattr(lm, "materialize", counted)
+    lm.score(docs_of(spark, corpus(400)), lexicon_words=50)
+    tasks = max(trained)
+    assert tasks > 8 and trained[0] <= -(-tasks // lm.FIRST_SHARE) + 1  # each task of either round has tokens for a task; all had one in the first round too
+
+
 def plain_score(model, lexicon, count, text):
     """The document's log10 probability, a token after the other in double precision, from the equations alone."""
     words = [*(text or "").encode().lower().split(), b""]
