@@ -77,7 +77,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has long columns ``a`` and ``b``; null ends are ignored and an empty table gives an empty result.
     """
-    return components(edges.where("a <> b"), "a", "b")
+    return components(edges.where("a <> b"), "a", "b", shuffle=False)
 
 
 __all__ = ["KEPT", "bound_batches", "connected_components", "discard", "heavy_keys", "materialize", "parts_for", "release_memory", "remainder_of_crc32", "scratch_root", "shuffle_width", "spread_join", "table"]

@@ -24,7 +24,7 @@ def duplicate_members(df: DataFrame, key: str, member: str, level: str, per_salt
     groups = duplicate_groups(df, key, member, level)
     rows = df.where(F.col(key).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(member).alias("member"))
     heavy = heavy_keys(groups.select("key", F.col("size").alias("n")), "n", rows.count(), per_salt)
-    found = spread_join(rows, groups, ["key"], heavy, F.xxhash64("member"), "inner")
+    found = spread_join(rows, groups, ["key"], heavy, F.xxhash64("member"), "inner", shuffle=True)
     return found.select("level", "key", "member", (F.col("member") == F.col("first_member")).alias("stands"))
 
 
@@ -52,7 +52,7 @@ def cross_study_edges(members: DataFrame, key: str, study: str, per_salt: int =
     distinct = members.where(F.col(key).isNotNull() & F.col(study).isNotNull()).select(F.col(key).alias("_k"), F.col(study).alias("study_b")).distinct()
     least = distinct.groupBy("_k").agg(F.min("study_b").alias("study_a"), F.count("*").alias("_n")).where("_n > 1")
     heavy = heavy_keys(least.select("_k", "_n"), "_n", distinct.count(), per_salt)
-    return spread_join(distinct, least.drop("_n"), ["_k"], heavy, F.xxhash64("study_b"), "inner").where("study_a < study_b").select("study_a", "study_b").distinct()
+    return spread_join(distinct, least.drop("_n"), ["_k"], heavy, F.xxhash64("study_b"), "inner", shuffle=True).where("study_a < study_b").select("study_a", "study_b").distinct()
 
 
 def level_counts(groups: DataFrame) -> DataFrame:

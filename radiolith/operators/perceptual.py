@@ -162,5 +162,5 @@ def near_duplicates(rows: DataFrame, key: str, hashed: str, most_bits: int = MOS
     least = led.groupBy("lead").agg(F.min("first").alias("least"))
     known = led.join(least, "lead").join(links, "hash", "left").select("hash", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.col("least").alias("component"))
     heavy = heavy_keys(classes.select("hash", "n"), "n", named.count())
-    out = spread_join(named, known, ["hash"], heavy, F.xxhash64("key"))
+    out = spread_join(named, known, ["hash"], heavy, F.xxhash64("key"), shuffle=True)
     return out.select(F.col("key").alias(key), "hash", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "key").alias("component"))

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import label_vector
-from ..functions.joins import PER_SALT, heavy_keys, spread_join
+from ..functions.joins import PER_SALT, heavy_keys, shuffled, spread_join
 from ..functions.scratch import materialize
 from .graph import components
 from .ranges import running_sums
@@ -22,23 +22,23 @@ def study_groups(studies: DataFrame, edges: DataFrame | None = None, per_salt: i
     known = studies.where("patient_hash is not null and patient_hash <> ''").select("study_id", "patient_hash")
     patients = known.groupBy("patient_hash").agg(F.min("study_id").alias("a"), F.count("*").alias("_n"))
     heavy = heavy_keys(patients.select("patient_hash", "_n"), "_n", known.count(), per_salt)  # one default patient may have any share of the studies
-    links = spread_join(known, patients.drop("_n"), ["patient_hash"], heavy, F.xxhash64("study_id"), "inner").where("study_id <> a").select("a", F.col("study_id").alias("b"))
+    links = spread_join(known, patients.drop("_n"), ["patient_hash"], heavy, F.xxhash64("study_id"), "inner", shuffle=True).where("study_id <> a").select("a", F.col("study_id").alias("b"))
     if edges is not None:
         known = studies.select("study_id").distinct()
         own = edges.select(F.col("study_a").alias("a"), F.col("study_b").alias("b"))
-        own = own.join(known.withColumnRenamed("study_id", "a"), "a", "left_semi").join(known.withColumnRenamed("study_id", "b"), "b", "left_semi")
+        own = own.join(shuffled(known.withColumnRenamed("study_id", "a")), "a", "left_semi").join(shuffled(known.withColumnRenamed("study_id", "b")), "b", "left_semi")
         links = links.unionByName(own.select("a", "b"))
     found = components(links)
-    return studies.select("study_id").distinct().join(found, F.col("study_id") == F.col("node"), "left").select("study_id", F.coalesce("component", "study_id").alias("group"))
+    return studies.select("study_id").distinct().join(shuffled(found), F.col("study_id") == F.col("node"), "left").select("study_id", F.coalesce("component", "study_id").alias("group"))
 
 
 def group_labels(studies: DataFrame, groups: DataFrame, n_labels: int) -> DataFrame:
     """One row for each group: number of studies, the element-wise greatest labels and their sums."""
-    rows = studies.join(groups, "study_id").select("group", "study_id", label_vector("labels", n_labels).alias("labels"))
+    rows = studies.join(shuffled(groups), "study_id").select("group", "study_id", label_vector("labels", n_labels).alias("labels"))
     long = rows.select("group", F.posexplode("labels").alias("label", "value")).groupBy("group", "label").agg(F.max("value").alias("value"), F.sum("value").alias("total"))
     folded = long.groupBy("group").agg(F.array_sort(F.collect_list(F.struct("label", "value", "total"))).alias("_l"))
     sizes = rows.groupBy("group").agg(F.count("*").alias("size"))
-    return folded.join(sizes, "group").select("group", "size", F.col("_l.value").alias("labels"), F.col("_l.total").alias("totals"))
+    return folded.join(shuffled(sizes), "group").select("group", "size", F.col("_l.value").alias("labels"), F.col("_l.total").alias("totals"))
 
 
 def deal_classes(classes: list[tuple[str, int]], folds: int) -> dict[str, tuple[int, list[int]]]:
@@ -92,7 +92,7 @@ def assign_folds(studies: DataFrame, folds: int = 5, seed: int = 2026, edges: Da
     room = fill_evenly(np.array([taken.get(f, 0) for f in range(folds)]), int(n_rest))
     levelled = _level(rest, room, seed + 1)
     both = placed.select("group", "fold").unionByName(levelled)
-    return groups.join(both, "group").select("study_id", "group", F.col("fold").cast("int").alias("fold"))
+    return groups.join(shuffled(both), "group").select("study_id", "group", F.col("fold").cast("int").alias("fold"))
 
 
 def fill_evenly(sizes: np.ndarray, more: int) -> np.ndarray:

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.joins import shuffled
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -75,10 +77,11 @@ SERIES_METADATA = """SELECT o_orderkey::VARCHAR AS series_uid, CASE o_orderstatu
     substr(o_orderpriority, 1, 1)::INT AS fluid_sensitive FROM orders"""
 
 
-def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+def labelled(spark: SparkSession, sf_dir: str, shuffle: bool = False) -> DataFrame:
     """Studies (documents) with two labels, NULL where nobody labelled them."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
-    return docs.join(table(spark, sf_dir, "labels"), "doc_id", "left").withColumn("study_uid", F.col("doc_id").cast("string"))
+    labels = table(spark, sf_dir, "labels")
+    return docs.join(shuffled(labels) if shuffle else labels, "doc_id", "left").withColumn("study_uid", F.col("doc_id").cast("string"))
 
 
 LABELLED = "SELECT d.doc_id, lang, source, n_chars, quality, toxic, d.doc_id::VARCHAR AS study_uid FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id"

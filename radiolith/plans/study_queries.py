@@ -154,7 +154,8 @@ def components(spark, sf):
 
 def _studies(spark, sf):
     lab = F.when(F.col("quality").isNotNull(), F.array(F.col("quality").cast("double"), F.col("toxic").cast("double"), F.when(F.col("lang") == "en", 0.0).otherwise(F.col("quality").cast("double"))))
-    return R.labelled(spark, sf).select(F.col("study_uid").alias("study_id"), F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 3)).alias("patient_hash"), lab.alias("labels"))
+    studies = R.labelled(spark, sf, shuffle=True)  # several jobs read them
+    return studies.select(F.col("study_uid").alias("study_id"), F.concat("source", F.lit("-"), F.floor(F.col("doc_id") / 3)).alias("patient_hash"), lab.alias("labels"))
 
 
 @query()

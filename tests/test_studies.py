@@ -97,6 +97,26 @@ def test_duplicates_stay_together(spark):
     assert got["study-0"] == got["study-9"]
 
 
+def test_folds_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    for module in (graph, split):
+        def noted(df, name, write=module.materialize):
+            plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+            return write(df, name)
+
+        monkeypatch.setattr(module, "materialize", noted)
+    studies = [(f"study-{i}", f"p{i // 3}", [float(i % 2)] * 12) for i in range(60)]
+    df = spark.createDataFrame(studies, "study_id string, patient_hash string, labels array<double>")
+    links = spark.createDataFrame([("study-0", "study-9")], "study_a string, study_b string")
+    out = split.assign_folds(df, 3, 7, links)
+    plans.append(("folds", out._jdf.queryExecution().executedPlan().toString()))
+    assert {"edges", "labels", "groups"} <= {name for name, _ in plans}
+    for name, plan in plans:
+        # Only what a row for each class, bucket or range says may be broadcast.
+        assert plan.count("BroadcastHashJoin") <= {"placed": 2, "folds": 1}.get(name, 0), (name, plan)
+    assert out.count() == 60
+
+
 @pytest.mark.parametrize("seed, folds", [(1, 3), (2, 7)])
 def test_generated_studies_keep_the_invariants(spark, seed, folds):
     rng = np.random.default_rng(seed)
